@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestar.llm import exact_dedup
+from lodestar.llm import exact_dedup, pii
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_pii": pii.op3_pii,
     }
 
 
