@@ -43,12 +43,29 @@ GENERATORS = {
 # Words near a span that name what it is.
 CONTEXT_WORDS = r"(?i)\b(?:phone|tel|call|mobile|fax|card|visa|mail|email|contact|ip|host|address|reach|write)\b"
 
+# What any match of a pattern holds. A text without it is not searched further.
+NEEDS = {
+    "email": "@",
+    "ip": r"[0-9]\.[0-9]",
+    "card": "[0-9]",
+    "phone": r"\+[0-9]",
+    "digits": "[0-9]",
+    "address": r"@|\(at\)|\[at\]",
+    "quad": "[0-9][.,]",
+}
+
 CONTEXT_CHARS = 24
+SPAN_TYPE = "array<struct<start:int,stop:int,span:string,before:string,after:string>>"
 REDACTION = "[{}]"
 
 
-def _spans(text: Column, pattern: str) -> Column:
+def _spans(text: Column, name: str) -> Column:
     """Leftmost matches that don't overlap: array of (start, stop, span, before, after); code points, stop exclusive."""
+    pattern = BASE[name] if name in BASE else GENERATORS[name][1]
+    return F.when(text.rlike(NEEDS[name]), _search(text, pattern)).otherwise(F.expr(f"cast(array() as {SPAN_TYPE})"))
+
+
+def _search(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
@@ -113,7 +130,7 @@ def base_spans(text: Column) -> Column:
     """Array of (start, kind, stop) of all base spans, kind as its place in KINDS."""
     each = []
     for place, kind in enumerate(KINDS):
-        each.append(_plain(F.filter(_spans(text, BASE[kind]), _validator(kind)), place))
+        each.append(_plain(F.filter(_spans(text, kind), _validator(kind)), place))
     return F.array_sort(F.concat(*each))
 
 
@@ -127,9 +144,8 @@ def _plain(spans: Column, place: int) -> Column:
 
 def _with_features(text: Column, generator: str) -> Column:
     """Proposed spans: array of (start, kind, stop, f)."""
-    kind, pattern = GENERATORS[generator]
-    place = F.lit(KINDS.index(kind))
-    return F.transform(_spans(text, pattern), lambda s: F.struct(s["start"].alias("start"), place.alias("kind"), s["stop"].alias("stop"), _features(generator, s).alias("f")))
+    place = F.lit(KINDS.index(GENERATORS[generator][0]))
+    return F.transform(_spans(text, generator), lambda s: F.struct(s["start"].alias("start"), place.alias("kind"), s["stop"].alias("stop"), _features(generator, s).alias("f")))
 
 
 def _features(generator: str, s: Column) -> Column:

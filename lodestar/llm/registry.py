@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lodestar.llm import exact_dedup, pii
+from lodestar.llm import bpe, exact_dedup, packing, pii
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_pii": pii.op3_pii,
+        "op7_packing": packing.op7_packing,
+        "op8_bpe": bpe.op8_bpe,
     }
 
 
