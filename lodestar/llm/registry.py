@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, exact_dedup, packing, pii
+from lodestar.llm import bpe, exact_dedup, langid, packing, pii, quality
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_pii": pii.op3_pii,
+        "op5_langid": langid.op5_langid,
         "op7_packing": packing.op7_packing,
         "op8_bpe": bpe.op8_bpe,
+        "op10_quality": quality.op10_quality,
     }
 
 
