@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, exact_dedup, langid, packing, pii, quality
+from lodestar.llm import bpe, exact_dedup, jaccard, langid, packing, pii, quality
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_pii": pii.op3_pii,
+        "op4_jaccard": jaccard.op4_jaccard,
         "op5_langid": langid.op5_langid,
         "op7_packing": packing.op7_packing,
         "op8_bpe": bpe.op8_bpe,
@@ -19,4 +20,5 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.OP2_SQL,
+        "op4_jaccard": jaccard.OP4_SQL,
     }
