@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, exact_dedup, jaccard, langid, packing, pii, quality
+from lodestar.llm import bpe, embedding_dedup, exact_dedup, jaccard, langid, packing, pii, quality
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_pii": pii.op3_pii,
         "op4_jaccard": jaccard.op4_jaccard,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_embedding_dedup": embedding_dedup.OP1_SQL,
         "op2_exact_dedup": exact_dedup.OP2_SQL,
         "op4_jaccard": jaccard.OP4_SQL,
     }
