@@ -55,6 +55,7 @@ NEEDS = {
 }
 
 CONTEXT_CHARS = 24
+CHUNK = 256
 SPAN_TYPE = "array<struct<start:int,stop:int,span:string,before:string,after:string>>"
 REDACTION = "[{}]"
 
@@ -92,8 +93,13 @@ def _search(text: Column, pattern: str) -> Column:
             )
         )
 
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int,span:string,before:string>>)").alias("out"))
-    walked = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    # offsets are running sums; by chunks, so that the work doesn't grow with the square of the number of matches
+    none = F.expr("cast(array() as array<struct<start:int,stop:int,span:string,before:string>>)")
+    count = F.ceil(F.size(pairs) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(pairs, (i - 1) * CHUNK + 1, F.lit(CHUNK)))
+    lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda acc, p: acc + F.coalesce(F.char_length(p["g"]) + F.char_length(p["m"]), F.lit(0))))
+    firsts = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    walked = F.flatten(F.zip_with(chunks, F.slice(firsts, F.lit(1), F.size(chunks)), lambda c, first: F.aggregate(c, F.struct(first.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
     after = F.transform(gaps, lambda g: F.left(g, F.lit(CONTEXT_CHARS)))
     return F.transform(walked, lambda s, i: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["span"].alias("span"), s["before"].alias("before"), F.get(after, i + 1).alias("after")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, embedding_dedup, exact_dedup, jaccard, langid, packing, pii, quality
+from lodestar.llm import bpe, embedding_dedup, exact_dedup, jaccard, langid, lines, packing, pii, quality, secrets
 
 
 def queries() -> dict:
@@ -12,8 +12,10 @@ def queries() -> dict:
         "op3_pii": pii.op3_pii,
         "op4_jaccard": jaccard.op4_jaccard,
         "op5_langid": langid.op5_langid,
+        "op6_lines": lines.op6_lines,
         "op7_packing": packing.op7_packing,
         "op8_bpe": bpe.op8_bpe,
+        "op9_secrets": secrets.op9_secrets,
         "op10_quality": quality.op10_quality,
     }
 
@@ -23,4 +25,5 @@ def oracle_sql() -> dict:
         "op1_embedding_dedup": embedding_dedup.OP1_SQL,
         "op2_exact_dedup": exact_dedup.OP2_SQL,
         "op4_jaccard": jaccard.OP4_SQL,
+        "op6_lines": lines.OP6_SQL,
     }
