@@ -26,11 +26,10 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import table
+from lodestar.llm.common import Cache, held, table
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 CACHED_CHARS = 48
-REPLACEMENT = "�"
 
 
 def default_vocabulary() -> str:
@@ -171,19 +170,17 @@ class Transducer:
         return self._tokens(len(self.window))
 
 
-class Encoder(dict):
+class Encoder(Cache):
     """Maps a chunk without white space to the bytes of its ids, little-endian and unsigned, four to an id.
 
-    A bounded cache: chunks of usual length stay until there are too many, then
-    the cache starts anew. Chunks of any length are encoded by the transducer.
+    A bounded cache keeps chunks and words of usual length. Chunks of any length are encoded by the transducer.
     """
 
     def __init__(self, path: str) -> None:
         import regex
 
-        super().__init__()
+        super().__init__(CACHE_ENTRIES)
         self.merges = Merges(path)
-        self.words: dict[str, bytes] = {}
         specials = "|".join(re.escape(s) for s in sorted(self.merges.special, key=len, reverse=True))
         self._special = re.compile(f"({specials})") if specials else None
         # The vocabulary file's rules for words and for white space.
@@ -192,8 +189,10 @@ class Encoder(dict):
         self._chunk = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
+        known = self.older.get(chunk)
+        if known is not None:
+            self.keep(chunk, known)
+            return known
         parts = self._special.split(chunk) if self._special and "<|" in chunk else [chunk]
         out = bytearray()
         for i, part in enumerate(parts):
@@ -202,9 +201,10 @@ class Encoder(dict):
             elif part:
                 for word in self._word.findall(self.folded(part)):
                     out += self.word(word)
+        out = bytes(out)
         if len(chunk) <= CACHED_CHARS:
-            self[chunk] = bytes(out)
-        return bytes(out)
+            self.keep(chunk, out)
+        return out
 
     @staticmethod
     def folded(text: str) -> str:
@@ -212,13 +212,12 @@ class Encoder(dict):
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def word(self, word: str) -> bytes:
-        known = self.words.get(word)
+        """The ids of a word; it is also the chunk that holds nothing else."""
+        known = self.get(word) or self.older.get(word)
         if known is None:
             known = b"".join(self.merges.ids[t].to_bytes(4, "little") for t in self.tokens(word))
             if len(word) <= CACHED_CHARS:
-                if len(self.words) >= CACHE_ENTRIES:
-                    self.words.clear()
-                self.words[word] = known
+                self.keep(word, known)
         return known
 
     def tokens(self, word: str) -> Iterator[str]:
@@ -318,7 +317,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_column: str
     def make(path):
         import numpy as np
 
-        encoder, decoder = Encoder(path), Decoder(path)
+        encoder, decoder = held(("encoder", path), lambda: Encoder(path)), held(("decoder", path), lambda: Decoder(path))
 
         def one(batch):
             out = {"doc_id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if keep_ids else {})

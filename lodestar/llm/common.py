@@ -69,3 +69,28 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
 
 def groups_for(total: int, per_group: int, least: int = 1) -> int:
     return max(least, math.ceil(total / per_group))
+
+
+class Cache(dict):
+    """A bounded cache in two generations: when the younger is full it becomes the older, and what is used again is young again."""
+
+    def __init__(self, entries: int) -> None:
+        super().__init__()
+        self.entries = entries
+        self.older: dict = {}
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
+def held(key, build):
+    """What build() gives, once in each Python worker process."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_lodestar_held", {})
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]

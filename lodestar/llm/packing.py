@@ -14,17 +14,19 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.bpe import CACHE_ENTRIES, default_vocabulary, each_batch
-from lodestar.llm.common import groups_for, table
+from lodestar.llm.bpe import default_vocabulary, each_batch
+from lodestar.llm.common import Cache, groups_for, held, table
 
 SEQUENCE = 4096
 END_ID = 2
 DOCS_PER_GROUP = 8192
+#: Chunks whose ids a worker keeps, in each of two generations.
+CACHE_ENTRIES = 1_000_000
 #: Sequence ids of a group start at its number shifted by so many bits.
 GROUP_BITS = 32
 
 
-class LibraryEncoder(dict):
+class LibraryEncoder(Cache):
     """Ids of chunks without white space as bytes, filled from the tokenizers library, a batch of unseen chunks at a time."""
 
     def __init__(self, path: str) -> None:
@@ -36,7 +38,7 @@ class LibraryEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(CACHE_ENTRIES)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -46,10 +48,16 @@ class LibraryEncoder(dict):
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; a text with separators that only some libraries call white space goes to the library whole."""
         cut = [None if self.odd_space.search(t) else t.split() for t in texts]
-        unseen = list({c for chunks in cut if chunks for c in chunks} - self.keys())
-        if len(self) + len(unseen) > CACHE_ENTRIES and len(self) > 0:
+        unseen = set().union(*filter(None, cut)).difference(self)
+        if len(self) + len(unseen) > self.entries and len(self) > 0:
+            self.older = dict(self)
             self.clear()
-            unseen = list({c for chunks in cut if chunks for c in chunks})
+            unseen = set().union(*filter(None, cut))
+        if self.older:
+            again = unseen.intersection(self.older)
+            self.update((c, self.older[c]) for c in again)
+            unseen -= again
+        unseen = list(unseen)
         for at in range(0, len(unseen), 10_000):
             some = unseen[at : at + 10_000]
             self.update(zip(some, (self.raw(e.ids) for e in self.library.encode_batch(some, add_special_tokens=False)), strict=True))
@@ -65,7 +73,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUE
         return pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
     def make(path):
-        encoder = LibraryEncoder(path)
+        encoder = held(("library", path), lambda: LibraryEncoder(path))
         end = END_ID.to_bytes(4, "little")
 
         def one(batch):
