@@ -63,6 +63,8 @@ class Merges:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
+        self.joined = [a + b for a, b in pairs]
+        self.raw = {token: i.to_bytes(4, "little") for token, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.symbols = byte_symbols()
@@ -82,22 +84,19 @@ class Merges:
 
     def merge(self, parts: list[str]) -> list[str]:
         """The merge list applied to symbols in full: lowest rank first, leftmost first."""
-        rank, never = self.ranks.get, len(self.ranks)
-        while len(parts) > 1:
-            ranks = [rank(pair, never) for pair in zip(parts, parts[1:])]
+        rank, never, joined = self.ranks.get, len(self.ranks), self.joined
+        ranks = [rank(pair, never) for pair in zip(parts, parts[1:])]
+        while ranks:
             best = min(ranks)
             if best == never:
                 break
-            left, right = parts[(at := ranks.index(best))], parts[at + 1]
-            out, i = parts[:at], at
-            while i < len(parts):
-                if parts[i] == left and i + 1 < len(parts) and parts[i + 1] == right:
-                    out.append(left + right)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            at = ranks.index(best)
+            parts[at : at + 2] = (joined[best],)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((parts[at - 1], parts[at]), never)
+            if at < len(ranks):
+                ranks[at] = rank((parts[at], parts[at + 1]), never)
         return parts
 
     def adjacent(self, left: str, right: str) -> bool:
@@ -199,8 +198,14 @@ class Encoder(Cache):
             if i % 2:
                 out += self.merges.special[part].to_bytes(4, "little")
             elif part:
-                for word in self._word.findall(self.folded(part)):
-                    out += self.word(word)
+                folded = self.folded(part)
+                if folded.isalpha():
+                    out += self.word(folded)
+                elif folded[-1] in ",." and folded[:-1].isalpha():
+                    out += self.word(folded[:-1]) + self.word(folded[-1])
+                else:
+                    for word in self._word.findall(folded):
+                        out += self.word(word)
         out = bytes(out)
         if len(chunk) <= CACHED_CHARS:
             self.keep(chunk, out)
@@ -209,28 +214,27 @@ class Encoder(Cache):
     @staticmethod
     def folded(text: str) -> str:
         """Composed, and lower case by single characters: a capital sigma has one lower case wherever it stands."""
+        if text.isascii():
+            return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def word(self, word: str) -> bytes:
         """The ids of a word; it is also the chunk that holds nothing else."""
         known = self.get(word) or self.older.get(word)
         if known is None:
-            known = b"".join(self.merges.ids[t].to_bytes(4, "little") for t in self.tokens(word))
+            known = b"".join(map(self.merges.raw.__getitem__, self.tokens(word)))
             if len(word) <= CACHED_CHARS:
                 self.keep(word, known)
         return known
 
-    def tokens(self, word: str) -> Iterator[str]:
+    def tokens(self, word: str) -> list[str]:
         m = self.merges
         symbols = [m.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
         symbols[-1] += m.suffix
-        if len(symbols) <= m.lookahead // 2:  # the whole word lies within the lookahead
-            yield from m.merge(symbols)
-            return
+        if len(symbols) <= m.lookahead:  # the whole word lies within the lookahead
+            return m.merge(symbols)
         machine = Transducer(m)
-        for symbol in symbols:
-            yield from machine.feed(symbol)
-        yield from machine.end()
+        return [token for symbol in symbols for token in machine.feed(symbol)] + machine.end()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, four bytes to an id."""

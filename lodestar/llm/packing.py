@@ -14,56 +14,16 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.bpe import default_vocabulary, each_batch
-from lodestar.llm.common import Cache, groups_for, held, table
+from lodestar.llm.bpe import Encoder, each_batch
+from lodestar.llm.common import groups_for, held, table
 
 SEQUENCE = 4096
 END_ID = 2
 DOCS_PER_GROUP = 8192
-#: Chunks whose ids a worker keeps, in each of two generations.
-CACHE_ENTRIES = 1_000_000
 #: Sequence ids of a group start at its number shifted by so many bits.
 GROUP_BITS = 32
 
 
-class LibraryEncoder(Cache):
-    """Ids of chunks without white space as bytes, filled from the tokenizers library, a batch of unseen chunks at a time."""
-
-    def __init__(self, path: str) -> None:
-        import os
-        import re
-
-        import numpy as np
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        super().__init__(CACHE_ENTRIES)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.odd_space = re.compile("[\x1c-\x1f]")
-        self.raw = lambda ids: np.array(ids, "<u4").tobytes()
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; a text with separators that only some libraries call white space goes to the library whole."""
-        cut = [None if self.odd_space.search(t) else t.split() for t in texts]
-        unseen = set().union(*filter(None, cut)).difference(self)
-        if len(self) + len(unseen) > self.entries and len(self) > 0:
-            self.older = dict(self)
-            self.clear()
-            unseen = set().union(*filter(None, cut))
-        if self.older:
-            again = unseen.intersection(self.older)
-            self.update((c, self.older[c]) for c in again)
-            unseen -= again
-        unseen = list(unseen)
-        for at in range(0, len(unseen), 10_000):
-            some = unseen[at : at + 10_000]
-            self.update(zip(some, (self.raw(e.ids) for e in self.library.encode_batch(some, add_special_tokens=False)), strict=True))
-        return [b"".join(map(self.__getitem__, chunks)) if chunks is not None else self.raw(self.library.encode(t, add_special_tokens=False).ids) for t, chunks in zip(texts, cut, strict=True)]
-
-
 def pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, id_column: str = "doc_id") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens. Every document ends with END_ID."""
 
@@ -73,20 +33,18 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUE
         return pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
     def make(path):
-        encoder = held(("library", path), lambda: LibraryEncoder(path))
+        encoder = held(("encoder", path), lambda: Encoder(path))
         end = END_ID.to_bytes(4, "little")
 
         def one(batch):
             out = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
-                some = [t.as_py() or "" for t in texts[at : at + 256]]
-                for doc_id, raw in zip(ids[at : at + 256], encoder.encode_all(some), strict=True):
-                    raw += end
-                    for cut in range(0, len(raw), 4 * sequence):
-                        piece = raw[cut : cut + 4 * sequence]
-                        for name, value in zip(out, (doc_id, cut // 4, len(piece) // 4, zlib.crc32(piece), len(raw) // 4), strict=True):
-                            out[name].append(value)
+            for doc_id, text in zip(ids, texts, strict=True):
+                raw = encoder.encode(text.as_py() or "") + end
+                for cut in range(0, len(raw), 4 * sequence):
+                    piece = raw[cut : cut + 4 * sequence]
+                    for name, value in zip(out, (doc_id, cut // 4, len(piece) // 4, zlib.crc32(piece), len(raw) // 4), strict=True):
+                        out[name].append(value)
             return out
 
         return one
@@ -159,5 +117,3 @@ def op7_packing(spark, sf_dir: str) -> DataFrame:
     """All documents, packed into sequences of at most 4096 tokens."""
     return pack(table(spark, sf_dir, "documents"))
 
-
-__all__ = ["LibraryEncoder", "default_vocabulary", "first_fit_decreasing", "op7_packing", "pack", "pieces"]
