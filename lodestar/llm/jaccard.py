@@ -9,9 +9,12 @@ hashed set bounds the intersection of a pair from above; pairs that it can't
 refuse are settled by intersecting the sorted arrays.
 
 Only connectivity is asked for. A tile with many nodes pairs each with those at
-distances 1, 2, 4, ... first; after these links are verified, only pairs of such
-tiles that are still in different components are tried, so that groups of
-near copies cost no square of their size and no link between components is lost.
+distances 1, 2, 4, ... first. After these links are verified, such tiles that
+still hold several components are joined into clusters, and all pairs of
+different components in a cluster are tried, block by block, where the arrays
+are: no pair leaves a task but as a link, and pairs that links connect already
+are skipped. So no link between components is lost, and groups of near copies
+cost no square of their size in rows.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 FREQUENCY_BITS = 20
 FREQUENCY_SLICE_BITS = 14
 KEYS_PER_TILE_TASK = 1_000_000
-SHINGLES_PER_CHUNK = 500_000
-ALL_PAIRS_UP_TO = 8
+SHINGLES_PER_CHUNK = 1_000_000
+ALL_PAIRS_UP_TO = 64
 FLUSH_KEYS = 2_000_000
 LEAST_BITS, MOST_BITS = 64, 1 << 16
 
@@ -40,15 +43,10 @@ def needed(a, b):
 
 
 def probe_prefix(n):
-    """How many of the first shingles of a set of size n must hold one that a smaller set shares in its index prefix."""
+    """How many of the first shingles of a set of size n must hold one that a set it links with shares."""
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
-def index_prefix(n):
-    """The same for the smaller of two sets."""
-    return n - -(-2 * NUMERATOR * n // (NUMERATOR + DENOMINATOR)) + 1
-
-
 def bitmap(own) -> bytes:
     """A bit for each hashed element; the width is a power of two, at least the size of the set up to MOST_BITS."""
     import numpy as np
@@ -134,25 +132,25 @@ def _keys(docs: DataFrame, frequencies, buckets: int) -> DataFrame:
 
         counts = shared.value
         mask = np.uint64(len(counts) - 1)
-        nodes, sizes, keys, refs, held = {}, [], [], [], 0
+        nodes, sizes, keys, refs, places, held = {}, [], [], [], [], 0
 
         def flush():
-            every, ref = np.concatenate(keys), np.concatenate(refs)
+            every, ref, place = np.concatenate(keys), np.concatenate(refs), np.concatenate(places)
             bucket = ((every & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype("i8")
             order = np.argsort(bucket, kind="stable")
-            every, ref, bucket = (every[order] >> np.uint64(32)).astype("u4"), ref[order], bucket[order]
+            every, ref, place, bucket = (every[order] >> np.uint64(32)).astype("u4"), ref[order], place[order], bucket[order]
             names, size = np.frombuffer(b"".join(nodes), "V16"), np.array(sizes, "u4")
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = {"bucket": [], "nodes": [], "sizes": [], "keys": [], "refs": []}
+            out = {"bucket": [], "nodes": [], "sizes": [], "keys": [], "refs": [], "places": []}
             for b in range(buckets):
                 part = slice(cuts[b], cuts[b + 1])
                 if part.start == part.stop:
                     continue
-                used, local = np.unique(ref[part] >> 1, return_inverse=True)
-                values = (b, names[used].tobytes(), size[used].tobytes(), every[part].tobytes(), ((local << 1) | (ref[part] & 1)).astype("u4").tobytes())
+                used, local = np.unique(ref[part], return_inverse=True)
+                values = (b, names[used].tobytes(), size[used].tobytes(), every[part].tobytes(), local.astype("u4").tobytes(), place[part].tobytes())
                 for name, value in zip(out, values, strict=True):
                     out[name].append(value)
-            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("nodes", "sizes", "keys", "refs")]))
+            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("nodes", "sizes", "keys", "refs", "places")]))
 
         for batch in batches:
             for _, own in _sets(range(batch.num_rows), batch.column(0).to_pylist()):
@@ -164,15 +162,16 @@ def _keys(docs: DataFrame, frequencies, buckets: int) -> DataFrame:
                 rank = (counts[own & mask].astype("u8") << np.uint64(32)) | (own >> np.uint64(32))
                 first = own[np.argsort(rank, kind="stable")[: probe_prefix(n)]]
                 keys.append(first)
-                refs.append((ref << 1) | (np.arange(len(first)) < index_prefix(n)).astype("i8"))
+                refs.append(np.full(len(first), ref, "i8"))
+                places.append(np.minimum(np.arange(len(first)), 65535).astype("u2"))
                 held += len(first)
                 if held >= FLUSH_KEYS:
                     yield flush()
-                    nodes, sizes, keys, refs, held = {}, [], [], [], 0
+                    nodes, sizes, keys, refs, places, held = {}, [], [], [], [], 0
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, nodes binary, sizes binary, keys binary, refs binary")
+    return docs.select("text").mapInArrow(run, "bucket int, nodes binary, sizes binary, keys binary, refs binary, places binary")
 
 
 def _tiles(rows):
@@ -181,41 +180,47 @@ def _tiles(rows):
     import pyarrow as pa
 
     pair = np.dtype([("x", "<u8"), ("y", "<u8")])
-    col = {n: [r.as_py() for r in rows.column(n)] for n in ("nodes", "sizes", "keys", "refs")}
+    col = {n: [r.as_py() for r in rows.column(n)] for n in ("nodes", "sizes", "keys", "refs", "places")}
     names = np.frombuffer(b"".join(col["nodes"]), pair)
     sizes = np.frombuffer(b"".join(col["sizes"]), "u4").astype("i8")
     shift = np.cumsum([0, *(len(x) // 16 for x in col["nodes"])])[:-1]
     keys = np.frombuffer(b"".join(col["keys"]), "u4")
-    refs = np.concatenate([np.frombuffer(x, "u4").astype("i8") + (s << 1) for x, s in zip(col["refs"], shift, strict=True)])
+    refs = np.concatenate([np.frombuffer(x, "u4").astype("i8") + first for x, first in zip(col["refs"], shift, strict=True)])
+    place = np.frombuffer(b"".join(col["places"]), "u2").astype("i8")
     names, first, local = np.unique(names, return_index=True, return_inverse=True)
     sizes = sizes[first]
-    node, index = local[refs >> 1], (refs & 1).astype(bool)
-    order = np.lexsort((~index, node, sizes[node], keys))
-    keys, node, index = keys[order], node[order], index[order]
+    node = local[refs]
+    order = np.lexsort((place, node, sizes[node], keys))
+    keys, node, place = keys[order], node[order], place[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])
-    keys, node, index = keys[fresh], node[fresh], index[fresh]
+    keys, node, place = keys[fresh], node[fresh], place[fresh]
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     length = np.diff(np.append(edge, len(keys)))
-    run = np.repeat(np.arange(len(edge)), length)
-    shared = length[run] > 1
-    keys, node, index, run = keys[shared], node[shared], index[shared], run[shared]
-    pairs, far = [], length[run] > ALL_PAIRS_UP_TO
-    distance, longest = 1, int(length.max(initial=0))
-    while distance < longest:
-        here = np.arange(len(run) - distance)
-        fits = run[here] == run[here + distance]
-        if distance & (distance - 1):  # other distances than powers of two are for short tiles only
-            fits &= ~far[here]
-        fits &= index[here] & (DENOMINATOR * sizes[node[here]] >= NUMERATOR * sizes[node[here + distance]])
-        hit = here[fits]
+    shared = np.repeat(length, length) > 1
+    rest = np.repeat(edge + length, length)[shared] - 1 - np.flatnonzero(shared)  # how many of the tile stand after it
+    run, node, place = np.repeat(np.arange(len(edge)), length)[shared], node[shared], place[shared]
+    size, far = sizes[node], length[run] > ALL_PAIRS_UP_TO
+    pairs, distance, alive = [], 1, np.arange(len(run))
+    while True:
+        alive = alive[rest[alive] >= distance]
+        if distance & (distance - 1):  # distances other than powers of two are for short tiles only
+            here = alive[~far[alive]]
+        else:
+            here = alive
+        if not len(alive):
+            break
+        there = here + distance
+        least = needed(size[here], size[there])
+        # if this is the first shingle in common, all before it are not
+        hit = here[(place[here] + least <= size[here]) & (place[there] + least <= size[there])]
         a, b = node[hit], node[hit + distance]
         pairs.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
         distance = distance + 1 if distance < ALL_PAIRS_UP_TO else distance * 2
     code = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, "i8")
     code = code[code // max(1, len(names)) != code % max(1, len(names))]
     raw = names.view("V16")
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("tile", pa.int64()), ("indexed", pa.bool_())])
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("tile", pa.int64())])
     bucket = rows.column("bucket")[0].as_py()
 
     def as_binary(which):
@@ -223,21 +228,19 @@ def _tiles(rows):
 
     tables = []
     if len(code):
-        none = pa.nulls(len(code))
-        tables.append(pa.Table.from_arrays([pa.array(np.zeros(len(code), "i4")), as_binary(code // len(names)), as_binary(code % len(names)), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.bool_())], schema=schema))
+        tables.append(pa.Table.from_arrays([pa.array(np.zeros(len(code), "i4")), as_binary(code // len(names)), as_binary(code % len(names)), pa.nulls(len(code), pa.int64())], schema=schema))
     if far.any():
-        # tiles with the same members, all of them or none but those of another index prefix, are listed once
-        members, runs, flags = node[far], run[far], index[far]
+        # tiles with the same members are listed once
+        members, runs = node[far], run[far]
         cuts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1], [True]]))
         seen, keep = set(), np.zeros(len(members), bool)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = (members[a:b].tobytes(), flags[a:b].tobytes())
+            own = members[a:b].tobytes()
             if own not in seen:
                 seen.add(own)
                 keep[a:b] = True
-        members, runs, flags = members[keep], runs[keep], flags[keep]
-        none = pa.nulls(len(members)).cast(pa.binary())
-        tables.append(pa.Table.from_arrays([pa.array(np.ones(len(members), "i4")), as_binary(members), none, pa.array(sizes[members]), pa.array((bucket << 32) + runs), pa.array(flags)], schema=schema))
+        members, runs = members[keep], runs[keep]
+        tables.append(pa.Table.from_arrays([pa.array(np.ones(len(members), "i4")), as_binary(members), pa.nulls(len(members), pa.binary()), pa.array((bucket << 32) + runs)], schema=schema))
     return pa.concat_tables(tables) if tables else schema.empty_table()
 
 
@@ -284,26 +287,71 @@ def _arrays(batches):
         yield pa.RecordBatch.from_pydict({"node": [o[0] for o in owns], "own": [o[1] for o in owns]}, schema=pa.schema([("node", pa.binary()), ("own", pa.binary())]))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links among candidate pairs (a, b); nodes has node, n, bits and doc_id of one document for each."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    left = stash(joined.mapInArrow(_refuse_by_bits, "a binary, b binary, n_a long, n_b long"), "jaccard-candidates")
-
-    # pairs of one cluster of candidates meet in one place, or, for large clusters, in that of two chunks
-    clusters = components(left)
-    members = clusters.join(nodes.select("node", "n", "doc_id"), "node")
-    chunks = members.groupBy("component").agg(F.ceil(F.sum("n") / SHINGLES_PER_CHUNK).alias("chunks"))
-    members = stash(members.join(chunks, "component").select("node", "doc_id", "component", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")), "jaccard-members")
-    at = lambda x: members.select(F.col("node").alias(x), F.col("component"), F.col("chunk").alias(f"chunk_{x}"))
-    tile = F.xxhash64("component", F.least("chunk_a", "chunk_b"), F.greatest("chunk_a", "chunk_b"))
-    placed = stash(left.join(at("a"), "a").join(at("b").drop("component"), "b").select("a", "b", tile.alias("tile")), "jaccard-placed")
-    texts = docs.select("doc_id", "text").join(members.select("node", "doc_id"), "doc_id").select("node", "text")
-    own = texts.mapInArrow(_arrays, "node binary, own binary")
-    wanted = placed.select(F.col("tile").alias("to_tile"), F.col("a").alias("node")).union(placed.select(F.col("tile").alias("to_tile"), F.col("b").alias("node"))).distinct()
-    sent = wanted.join(own, "node").select("to_tile", "node", "own")
-    links = placed.groupBy("tile").cogroup(sent.groupBy("to_tile")).applyInArrow(_settle, "a binary, b binary")
-    return stash(links, "jaccard-links")
+def _join_block(rows):
+    """Links between components among the nodes of a block, or of two: bitmaps first, then, most promising first, the arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    nodes, sizes = rows.column("node").to_pylist(), rows.column("n").to_numpy()
+    arrays = [np.frombuffer(r, "u8") for r in rows.column("own").to_pylist()]
+    side, diagonal = rows.column("side").to_numpy(), rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
+    _, label = np.unique(np.array([c.hex() for c in rows.column("component").to_pylist()]), return_inverse=True)
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << int(4 * np.median(sizes)).bit_length()))
+    bits = np.zeros((len(nodes), width // 64), "u8")
+    for i, own in enumerate(arrays):
+        flags = np.zeros(width, bool)
+        flags[own & np.uint64(width - 1)] = True
+        bits[i] = np.packbits(flags).view("u8")
+    order = np.argsort(sizes, kind="stable")
+    ordered = sizes[order]
+    links = []
+    rare = np.bincount(label)
+    for i in sorted(range(len(nodes)), key=lambda k: (rare[label[k]], nodes[k])):
+        low = np.searchsorted(ordered, -(-NUMERATOR * sizes[i] // DENOMINATOR))
+        high = np.searchsorted(ordered, DENOMINATOR * sizes[i] // NUMERATOR, "right")
+        others = order[low:high]
+        others = others[(label[others] != label[i]) & (True if diagonal else side[others] != side[i])]
+        if not len(others):
+            continue
+        most = np.minimum(sizes[i] - np.bitwise_count(bits[i] & ~bits[others]).sum(1, dtype="i8"), sizes[others] - np.bitwise_count(bits[others] & ~bits[i]).sum(1, dtype="i8"))
+        least = needed(sizes[i], sizes[others])
+        spare = most - least
+        for j in others[np.argsort(-spare, kind="stable")][: int((spare >= 0).sum())]:
+            if label[j] != label[i] and len(np.intersect1d(arrays[i], arrays[j], assume_unique=True)) >= needed(sizes[i], sizes[j]):
+                label[label == label[j]] = label[i]
+                links.append((nodes[i], nodes[j]))
+    return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
+
+
+def _chunked(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """members (node, cluster) with n, chunk and chunks: a cluster's nodes are dealt to as many chunks as its size asks for."""
+    sized = members.join(nodes.select("node", "n"), "node")
+    chunks = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / SHINGLES_PER_CHUNK).alias("chunks"))
+    return sized.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+
+
+def _pair_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect what the given pairs (a, b) link. Pairs of one cluster of candidates meet in one place, or, for large clusters, in that of two chunks."""
+    clusters = components(pairs).withColumnRenamed("component", "cluster")
+    members = stash(_chunked(clusters, nodes), "jaccard-members")
+    at = lambda x: members.select(F.col("node").alias(x), F.col("cluster"), F.col("chunk").alias(f"chunk_{x}"))
+    tile = F.xxhash64("cluster", F.least("chunk_a", "chunk_b"), F.greatest("chunk_a", "chunk_b"))
+    placed = stash(pairs.join(at("a"), "a").join(at("b").drop("cluster"), "b").select("a", "b", tile.alias("tile")), "jaccard-placed")
+    to = F.col("tile").alias("to_tile")
+    wanted = placed.select(to, F.col("a").alias("node")).union(placed.select(to, F.col("b").alias("node"))).distinct()
+    sent = wanted.join(sets.hint("merge"), "node").select("to_tile", "node", "own")
+    return stash(placed.groupBy("tile").cogroup(sent.groupBy("to_tile")).applyInArrow(_settle, "a binary, b binary"), "jaccard-links")
+
+
+def _block_links(held: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components in the clusters that tiles (tile, node, component) make."""
+    hubs = held.groupBy("tile").agg(F.min("node").alias("hub"))
+    clusters = components(held.join(hubs, "tile").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()).withColumnRenamed("component", "cluster")
+    members = _chunked(clusters, nodes).join(held.select("node", "component").distinct(), "node")
+    sent = members.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    sent = sent.select("node", "n", "component", "cluster", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
+    blocks = sent.join(sets.hint("merge"), "node")
+    return stash(blocks.groupBy("cluster", "x", "y").applyInArrow(_join_block, "a binary, b binary"), "jaccard-block-links")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -327,26 +375,28 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     frequencies = _frequencies(signed.where("kind = 1"))
     total = rows.agg(F.sum("n")).head()[0] or 0
     buckets = groups_for(total // 4, KEYS_PER_TILE_TASK, 12)
-    tiles = _keys(base.where("doc_id is not null"), frequencies, buckets).groupBy("bucket").applyInArrow(_tiles, "kind int, a binary, b binary, n long, tile long, indexed boolean")
+    tiles = _keys(base.where("doc_id is not null"), frequencies, buckets).groupBy("bucket").applyInArrow(_tiles, "kind int, a binary, b binary, tile long")
     tiles = stash(tiles, "jaccard-tiles", ["kind"])
 
     nodes = stash(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-nodes")
-    pairs = tiles.where("kind = 0").select("a", "b").distinct()
-    links = _verified(pairs, nodes, base)
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    pairs = tiles.where("kind = 0").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    pairs = stash(pairs.mapInArrow(_refuse_by_bits, "a binary, b binary, n_a long, n_b long"), "jaccard-candidates")
+    held = tiles.where("kind = 1").select(F.col("a").alias("node"), "tile")
+
+    # the arrays of all nodes that are compared, made from the text of one document each; merged whatever their number
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(held.select("node")).distinct().join(nodes.select("node", "doc_id"), "node")
+    texts = base.join(wanted.hint("merge"), "doc_id").select("node", "text")
+    sets = stash(texts.mapInArrow(_arrays, "node binary, own binary"), "jaccard-sets")
+
+    links = _pair_links(pairs.select("a", "b"), nodes, sets)
     found = components(links)
 
-    # tiles whose pairs were not all listed: what they hold of different components is tried now
-    held = tiles.where("kind = 1").select(F.col("a").alias("node"), "n", "tile", "indexed")
+    # long tiles that still hold several components
     held = held.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = held.groupBy("tile").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("tile")
     held = stash(held.join(mixed, "tile"), "jaccard-mixed")
-    low = held.select("tile", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a")).where("indexed")
-    high = held.select("tile", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") != F.col("b")))
-    more = low.join(high, "tile").where((F.col("c_a") != F.col("c_b")) & ordered & (F.col("n_a") * DENOMINATOR >= F.col("n_b") * NUMERATOR))
-    more = stash(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-more")
-    if not more.isEmpty():
-        found = components(links.unionByName(_verified(more, nodes, base)))
+    found = components(links.unionByName(_block_links(held, nodes, sets)))
 
     named = rows.select("doc_id", "n", F.expr("if(doc_id is null, null, node)").alias("node")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
