@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import exact_dedup, jaccard, packing, pii, quality
-from lodestar.llm.common import stash, table
+from lodestar.llm.common import columns_of, stash, table
 
 #: Scores and trained spans are not expressible in SQL.
 ORACLE_SQL = None
@@ -26,7 +26,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.fit(quality.labelled_sample(docs, table(spark, sf_dir, "labels")))
-    return quality.score(docs, model).where(F.col("quality_score") >= quality.THRESHOLD).select(docs.columns)
+    return quality.score(docs, model).where(F.col("quality_score") >= quality.THRESHOLD).select(columns_of(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         changed = F.char_length("text").cast("long")
         redacted = redacted.withColumn("n_chars", F.when(changed != F.col("__chars"), changed).otherwise(F.col("n_chars")))
-    return redacted.select(docs.columns)
+    return redacted.select(columns_of(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,6 +186,7 @@ class Encoder(Cache):
         self._word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self._odd_space = re.compile("[\x1c-\x1f]")
         self._chunk = re.compile("[^\t-\r \x85\xa0  -     　]+")
+        self._space = re.compile("[\t-\r \x85\xa0  -     　]")
 
     def __missing__(self, chunk: str) -> bytes:
         known = self.older.get(chunk)
@@ -246,7 +247,7 @@ class Encoder(Cache):
         held = ""
         for piece in pieces:
             held += piece
-            cut = max((m.end() for m in re.finditer(r"\s", held[-4096:])), default=0)
+            cut = max((m.end() for m in self._space.finditer(held[-4096:])), default=0)
             cut = max(0, len(held) - 4096) + cut if cut else 0
             if cut:
                 yield self.encode(held[:cut])

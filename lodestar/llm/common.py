@@ -94,3 +94,15 @@ def held(key, build):
     if key not in kept:
         kept[key] = build()
     return kept[key]
+
+
+def let_go() -> None:
+    """Drop what held() keeps in this worker process: for steps that need the memory themselves."""
+    import sys
+
+    sys.__dict__.get("_lodestar_held", {}).clear()
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df as they are, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

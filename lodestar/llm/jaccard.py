@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import groups_for, stash, table
+from lodestar.llm.common import groups_for, let_go, stash, table
 from lodestar.llm.components import components
 
 #: The threshold as a ratio: 100 * intersection >= 75 * union.
@@ -33,7 +33,7 @@ FREQUENCY_SLICE_BITS = 14
 KEYS_PER_TILE_TASK = 1_000_000
 SHINGLES_PER_CHUNK = 1_000_000
 ALL_PAIRS_UP_TO = 64
-FLUSH_KEYS = 2_000_000
+FLUSH_KEYS = 1_000_000
 LEAST_BITS, MOST_BITS = 64, 1 << 16
 
 
@@ -83,6 +83,7 @@ def _signatures(batches):
     from lodestar.llm.shingles import set_digest
 
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bits", pa.binary())])
+    let_go()
     counts = np.zeros(1 << FREQUENCY_BITS, "u4")
     for batch in batches:
         out = {"kind": [], "doc_id": [], "n": [], "node": [], "bits": []}
@@ -130,6 +131,7 @@ def _keys(docs: DataFrame, frequencies, buckets: int) -> DataFrame:
 
         from lodestar.llm.shingles import set_digest
 
+        let_go()
         counts = shared.value
         mask = np.uint64(len(counts) - 1)
         nodes, sizes, keys, refs, places, held = {}, [], [], [], [], 0

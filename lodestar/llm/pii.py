@@ -66,42 +66,36 @@ def _spans(text: Column, name: str) -> Column:
     return F.when(text.rlike(NEEDS[name]), _search(text, pattern)).otherwise(F.expr(f"cast(array() as {SPAN_TYPE})"))
 
 
+def _let(value: Column, body) -> Column:
+    """body over value, which is computed once: a lambda's variable is not computed again where the lambda uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _search(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    return _let(F.split(text, pattern, -1), lambda gaps: _let(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), lambda pairs: _offsets(pairs, gaps)))
+
+
+def _offsets(pairs: Column, gaps: Column) -> Column:
+    """Offsets are running sums; by chunks, so that the work doesn't grow with the square of the number of matches."""
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.char_length(pair["g"])
         stop = start + F.char_length(pair["m"])
-        return F.when(
-            pair["m"].isNull(), F.struct(acc["at"].alias("at"), acc["out"].alias("out"))
-        ).otherwise(
-            F.struct(
-                stop.alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            start.alias("start"),
-                            stop.alias("stop"),
-                            pair["m"].alias("span"),
-                            F.right(pair["g"], F.lit(CONTEXT_CHARS)).alias("before"),
-                        )
-                    ),
-                ).alias("out"),
-            )
-        )
+        row = F.struct(start.alias("start"), stop.alias("stop"), pair["m"].alias("span"), F.right(pair["g"], F.lit(CONTEXT_CHARS)).alias("before"))
+        return F.when(pair["m"].isNull(), acc).otherwise(F.struct(stop.alias("at"), F.concat(acc["out"], F.array(row)).alias("out")))
 
-    # offsets are running sums; by chunks, so that the work doesn't grow with the square of the number of matches
     none = F.expr("cast(array() as array<struct<start:int,stop:int,span:string,before:string>>)")
-    count = F.ceil(F.size(pairs) / CHUNK).cast("int")
-    chunks = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(pairs, (i - 1) * CHUNK + 1, F.lit(CHUNK)))
-    lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda acc, p: acc + F.coalesce(F.char_length(p["g"]) + F.char_length(p["m"]), F.lit(0))))
-    firsts = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    walked = F.flatten(F.zip_with(chunks, F.slice(firsts, F.lit(1), F.size(chunks)), lambda c, first: F.aggregate(c, F.struct(first.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
-    after = F.transform(gaps, lambda g: F.left(g, F.lit(CONTEXT_CHARS)))
-    return F.transform(walked, lambda s, i: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["span"].alias("span"), s["before"].alias("before"), F.get(after, i + 1).alias("after")))
+    count = F.greatest(F.ceil(F.size(pairs) / CHUNK).cast("int"), F.lit(1))
+    cut = F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(pairs, (i - 1) * CHUNK + 1, F.lit(CHUNK)))
+
+    def walked(chunks: Column) -> Column:
+        lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda acc, p: acc + F.coalesce(F.char_length(p["g"]) + F.char_length(p["m"]), F.lit(0))))
+        firsts = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        own = F.zip_with(chunks, F.slice(firsts, F.lit(1), count), lambda c, first: F.aggregate(c, F.struct(first.alias("at"), none.alias("out")), step, lambda acc: acc["out"]))
+        return F.transform(F.flatten(own), lambda s, i: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["span"].alias("span"), s["before"].alias("before"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT_CHARS)).alias("after")))
+
+    return _let(cut, walked)
 
 
 def luhn(digits: Column) -> Column:
@@ -299,7 +293,7 @@ def find_pii(docs: DataFrame, model: Model) -> DataFrame:
     reached = lambda g: lambda c: model.score(c["f"]) >= F.lit(model.thresholds[g])
     proposed = [_plain(F.filter(_with_features(text, g), reached(g)), KINDS.index(GENERATORS[g][0])) for g in GENERATORS if model.thresholds[g] <= 1]
     none = F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)")
-    out = docs.withColumn("__base", base_spans(text)).withColumn("__more", F.array_sort(F.concat(none, *proposed)))
+    out = docs.drop("__base", "__more", "__spans").withColumn("__base", base_spans(text)).withColumn("__more", F.array_sort(F.concat(none, *proposed)))
     free = F.filter("__more", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["stop"]) & (b["stop"] > c["start"])))
     apart = F.aggregate(free, none, lambda acc, c: F.when((F.size(acc) == 0) | (F.coalesce(F.try_element_at(acc, F.lit(-1))["stop"], F.lit(0)) <= c["start"]), F.concat(acc, F.array(c))).otherwise(acc))
     return out.withColumn("__spans", F.array_sort(F.concat("__base", apart))).drop("__more")

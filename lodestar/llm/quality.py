@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.llm.common import bounded_sample, bucket_of, table
 
@@ -135,9 +136,10 @@ def fit(labelled: DataFrame):
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """docs (any columns) with quality_score, 0 to 1. NULL text is empty text and is scored; texts are read whole; rows are independent."""
+    """docs (any columns) with quality_score, 0 to 1, in place of a column of that name. NULL text is empty text and is scored; texts are read whole; rows are independent."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop("quality_score")
     schema = docs.schema
     at = schema.names.index("text")
 
@@ -154,8 +156,7 @@ def score(docs: DataFrame, model) -> DataFrame:
                 out.append(1 / (1 + float(np.exp(-np.clip(slope * margin + offset, -30, 30)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "quality_score"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return docs.mapInArrow(run, f"{ddl}, quality_score double")
+    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("quality_score", T.DoubleType())]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
