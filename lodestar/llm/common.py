@@ -37,11 +37,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stash(df: DataFrame, name: str, partition_by: list[str] | None = None, arrow_rows: int = 1000) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    While it is written, Arrow batches hold arrow_rows rows at most, so that whole
+    texts on their way to Python and back take little memory.
+    """
     path = scratch_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    before = df.sparkSession.conf.get(ARROW_ROWS)
+    df.sparkSession.conf.set(ARROW_ROWS, arrow_rows)
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        df.sparkSession.conf.set(ARROW_ROWS, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: Buckets of the table of shingle counts; fixed, so that its broadcast is 4 MB whatever the corpus.
 FREQUENCY_BITS = 20
 FREQUENCY_SLICE_BITS = 14
-KEYS_PER_TILE_TASK = 1_000_000
+KEYS_PER_TILE_TASK = 500_000
 SHINGLES_PER_CHUNK = 1_000_000
 ALL_PAIRS_UP_TO = 64
 FLUSH_KEYS = 1_000_000
