@@ -54,7 +54,15 @@ def stash(df: DataFrame, name: str, partition_by: list[str] | None = None, arrow
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     finally:
         df.sparkSession.conf.set(ARROW_ROWS, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete stashed tables that no later plan reads."""
+    for df in stashed:
+        drop_path(df.sparkSession, df._scratch)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stash
+from lodestar.llm.common import discard, stash
 
 
 def _forest(batches):
@@ -59,12 +59,15 @@ def components(links: DataFrame) -> DataFrame:
         large = stash(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = stash(low.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "small-star")
+        last, stars = stars, stash(low.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "small-star")
+        discard(last, large)
         before, state = state, _state(stars)
         if state == before:
             break
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out._scratch = stars._scratch
+    return out
 
 
 def _state(stars: DataFrame) -> tuple:

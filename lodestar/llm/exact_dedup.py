@@ -17,10 +17,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SPACE_CLASS, scratch_path, stash, table, text_or_empty
+from lodestar.llm.common import SPACE_CLASS, discard, drop_path, scratch_path, stash, table, text_or_empty
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state lives in RocksDB; a task closes its store when it has committed, so that no local copy outlives the stream.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalised(column: str = "text") -> Column:
@@ -47,8 +50,9 @@ def keyed_state(digests: DataFrame, path: str, files_per_batch: int | None = Non
             F.max(F.struct("points", F.expr("-doc_id").alias("order"), "doc_id", "locator")).alias("best"),
         )
     )
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKSDB)
+    before = {key: spark.conf.get(key) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -59,7 +63,8 @@ def keyed_state(digests: DataFrame, path: str, files_per_batch: int | None = Non
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(STATE_STORE, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     batches = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
     if not batches:
         return spark.createDataFrame([], state.schema)
@@ -100,8 +105,11 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex
         "doc_id", "digest", "sha", "points", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("keep_locator")
     )
     rows = stash(rows, "exact-rows")
+    drop_path(spark, path)
     differing = stash(_differing(base, rows), "exact-differing")
-    if not differing.isEmpty():
+    if differing.isEmpty():
+        discard(differing)
+    else:
         rows = _by_full_text(base, rows, differing)
     return rows.select(
         "doc_id",

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import groups_for, let_go, stash, table
+from lodestar.llm.common import discard, groups_for, let_go, stash, table
 from lodestar.llm.components import components
 
 #: The threshold as a ratio: 100 * intersection >= 75 * union.
@@ -334,26 +334,30 @@ def _chunked(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _pair_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect what the given pairs (a, b) link. Pairs of one cluster of candidates meet in one place, or, for large clusters, in that of two chunks."""
-    clusters = components(pairs).withColumnRenamed("component", "cluster")
-    members = stash(_chunked(clusters, nodes), "jaccard-members")
+    clusters = components(pairs)
+    members = stash(_chunked(clusters.withColumnRenamed("component", "cluster"), nodes), "jaccard-members")
     at = lambda x: members.select(F.col("node").alias(x), F.col("cluster"), F.col("chunk").alias(f"chunk_{x}"))
     tile = F.xxhash64("cluster", F.least("chunk_a", "chunk_b"), F.greatest("chunk_a", "chunk_b"))
     placed = stash(pairs.join(at("a"), "a").join(at("b").drop("cluster"), "b").select("a", "b", tile.alias("tile")), "jaccard-placed")
     to = F.col("tile").alias("to_tile")
     wanted = placed.select(to, F.col("a").alias("node")).union(placed.select(to, F.col("b").alias("node"))).distinct()
     sent = wanted.join(sets.hint("merge"), "node").select("to_tile", "node", "own")
-    return stash(placed.groupBy("tile").cogroup(sent.groupBy("to_tile")).applyInArrow(_settle, "a binary, b binary"), "jaccard-links")
+    links = stash(placed.groupBy("tile").cogroup(sent.groupBy("to_tile")).applyInArrow(_settle, "a binary, b binary"), "jaccard-links")
+    discard(clusters, members, placed)
+    return links
 
 
 def _block_links(held: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components in the clusters that tiles (tile, node, component) make."""
     hubs = held.groupBy("tile").agg(F.min("node").alias("hub"))
-    clusters = components(held.join(hubs, "tile").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()).withColumnRenamed("component", "cluster")
-    members = _chunked(clusters, nodes).join(held.select("node", "component").distinct(), "node")
+    clusters = components(held.join(hubs, "tile").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    members = _chunked(clusters.withColumnRenamed("component", "cluster"), nodes).join(held.select("node", "component").distinct(), "node")
     sent = members.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     sent = sent.select("node", "n", "component", "cluster", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
     blocks = sent.join(sets.hint("merge"), "node")
-    return stash(blocks.groupBy("cluster", "x", "y").applyInArrow(_join_block, "a binary, b binary"), "jaccard-block-links")
+    links = stash(blocks.groupBy("cluster", "x", "y").applyInArrow(_join_block, "a binary, b binary"), "jaccard-block-links")
+    discard(clusters)
+    return links
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -392,13 +396,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     sets = stash(texts.mapInArrow(_arrays, "node binary, own binary"), "jaccard-sets")
 
     links = _pair_links(pairs.select("a", "b"), nodes, sets)
-    found = components(links)
+    first = components(links)
+    discard(pairs)
 
     # long tiles that still hold several components
-    held = held.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = held.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = held.groupBy("tile").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("tile")
     held = stash(held.join(mixed, "tile"), "jaccard-mixed")
-    found = components(links.unionByName(_block_links(held, nodes, sets)))
+    more = _block_links(held, nodes, sets)
+    found = components(links.unionByName(more))
+    discard(tiles, nodes, sets, first, held, links, more)
 
     named = rows.select("doc_id", "n", F.expr("if(doc_id is null, null, node)").alias("node")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
