@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,26 +36,30 @@ def date_specificity(asked: Column, own: Column) -> Column:
     return F.when((F.size(a) > 0) & (a == b), 3).when(inside, 2).when(F.arrays_overlap(a, b), 1).otherwise(0)
 
 
-def parse_date_span(raw: str | None) -> dict | None:
-    """years, months and days named in a date text, each in order of appearance; ranges of days are expanded."""
-    if raw is None or not raw.strip():
-        return None
-    text = re.sub(r"new year['’]s day", "1 january", raw, flags=re.I).lower()
-    years = list(dict.fromkeys(int(y) for y in re.findall(r"(?<!\d)(?:18|19|20)\d\d(?!\d)", text)))
-    text = re.sub(r"(?<!\d)(?:18|19|20)\d\d(?!\d)", " ", text)
-    days: list[int] = []
-
-    def spread(m: re.Match) -> str:
-        a, b = int(m[1]), int(m[2])
-        if 1 <= a <= b <= 31:
-            days.extend(range(a, b + 1))
-        return " "
-
-    rest = re.sub(r"(?<!\d)(\d{1,2})\s*(?:to|–|—|-)\s*(\d{1,2})(?!\d)", spread, text)
-    months = []
-    for word in re.findall(r"[a-z]+", text):
-        for n, name in enumerate(MONTHS, 1):
-            if word == name or (len(word) >= 3 and word.rstrip(".") in (name[:3], name[:4])):
-                months.append(n)
-    days += [int(d) for d in re.findall(r"(?<!\d)\d{1,2}(?!\d)", rest) if 1 <= int(d) <= 31]
-    return {"raw": raw, "years": years, "months": list(dict.fromkeys(months)), "days": list(dict.fromkeys(days))}
+def date_span(raw: Column, source_field: Column | None = None, fallback_year: Column | None = None) -> Column:
+    """raw, source_field, years, months and days that a date text names; ranges of days are expanded, and come first. NULL if blank."""
+    text = F.regexp_replace(raw, r"(?iU)\bnew\s+year'?s\s+day\b", "1 January")
+    found = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    numbers = lambda values: F.transform(values, lambda v: v.try_cast("int"))
+    is_day = lambda v: v.between(1, 31)
+    years = numbers(found(r"(?U)\b((?:18|19|20)[0-9]{2})\b", 1))
+    if fallback_year is not None:
+        years = F.when((F.size(years) == 0) & fallback_year.isNotNull(), F.array(fallback_year.cast("int"))).otherwise(years)
+    span = r"(?iU)\b([0-9]{1,2})\s*(?:to|–|—|-)\s*([0-9]{1,2})\b"
+    ranges = F.zip_with(numbers(found(span, 1)), numbers(found(span, 2)), lambda a, b: F.when(is_day(a) & is_day(b) & (a <= b), F.sequence(a, b)).otherwise(F.expr("array()").cast("array<int>")))
+    words = found("[A-Za-z]+|[0-9]+", 0)
+    known = {name: n for n, name in enumerate(MONTHS, 1)}
+    known |= {name[:3]: n for name, n in known.items()} | {"sept": 9}
+    table = F.create_map(*[F.lit(x) for entry in known.items() for x in entry])
+    months = F.array_compact(F.transform(words, lambda w: F.try_element_at(table, F.lower(w))))
+    days = F.concat(F.flatten(ranges), F.filter(numbers(words), is_day))
+    return F.when(
+        F.trim(raw) != "",
+        F.struct(
+            F.trim(raw).alias("raw"),
+            (F.lit("date") if source_field is None else source_field).alias("source_field"),
+            F.array_distinct(years).alias("years"),
+            F.array_distinct(months).alias("months"),
+            F.array_distinct(days).alias("days"),
+        ),
+    )

@@ -52,3 +52,24 @@ def buckets(present: Column) -> Column:
 def median_exact(rows: DataFrame, value: str) -> DataFrame:
     """count, mean, exact median, min and max of a column, without sorting it in one task: equal values are counted first."""
     return rows.agg(F.count(value).alias("n"), F.round(F.avg(F.col(value).cast("double")), 6).alias("mean"), F.round(F.percentile(value, 0.5), 6).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def normal_answer(value: Column) -> Column:
+    """Answers compare without regard to case, dashes and spaces."""
+    from lodestar.functions import names
+
+    return names.fold_text(value)
+
+
+def failure_category(status: Column, correct: Column, suppressed: Column, errors: Column, qtype: Column) -> Column:
+    """Why an answer is not right, by the first cause that holds; NULL for a right one."""
+    broken = (status == "error") | F.exists(errors, lambda e: e.startswith("system_error") | e.startswith("unknown_system"))
+    ladder = F.when(broken, "system_failure").when(status == "invalid_citations", "citation_failure").when(status == "generation_error", "generation_failure")
+    ladder = ladder.when(status == "ambiguous", "ambiguous_suppressed").when(status.isin("not_found", "unresolved", "unsupported"), status)
+    ladder = ladder.when((status == "abstained") | suppressed, "abstained").when(qtype == "aggregation", "incorrect_or_incomplete").otherwise("incorrect")
+    return F.when(~F.coalesce(correct, F.lit(False)), ladder)
+
+
+def completeness(system: Column, qtype: Column, complete: Column, truncated: Column) -> Column:
+    """Whether a set was kept whole, where that is asked; NULL elsewhere."""
+    return F.when(system == "rag", None).when(qtype == "aggregation", complete & ~truncated).when(truncated, False)

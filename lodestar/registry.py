@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.queries import catalog
+from lodestar.queries import catalog, corpus
 
 
 def queries() -> dict:
-    return dict(catalog.QUERIES)
+    return dict(corpus.QUERIES)
 
 
 def oracle_sql() -> dict:
