@@ -28,11 +28,15 @@ def escape_cell(value: Column) -> Column:
     return out
 
 
+def _replacing(what: str, by: str):
+    return lambda text: F.replace(text, F.lit(what), F.lit(by))
+
+
 def unescape_cell(cell: Column) -> Column:
     """The inverse; other escapes stay as they are. Between doubled backslashes no backslash is one of a pair."""
     own = F.split(cell, r"\\\\")
     for plain, escaped in (("\r", "\\r"), ("\n", "\\n"), ("\t", "\\t")):
-        own = F.transform(own, lambda s, p=plain, e=escaped: F.replace(s, F.lit(e), F.lit(p)))
+        own = F.transform(own, _replacing(escaped, plain))
     return F.array_join(own, "\\")
 
 
