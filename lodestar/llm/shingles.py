@@ -67,7 +67,7 @@ def shingle_sets(texts: list[str]):
         bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
         rolled = np.zeros(max(0, len(words) - WORDS + 1), "u8")
         for i in range(WORDS):
-            rolled = mixed(rolled * np.uint64(0x2545F4914F6CDD1D) + words[i : len(words) - WORDS + 1 + i])
+            rolled = mixed(rolled * np.uint64(0x2545F4914F6CDD1D) + words[i : len(rolled) + i])
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a >= WORDS:
                 yield np.unique(rolled[a : b - WORDS + 1])

@@ -10,6 +10,7 @@ import pytest
 from conftest import same_rows
 
 from lodestar.llm import bpe, components, embedding_dedup, exact_dedup, jaccard, langid, lines, packing, pii, quality, registry, secrets
+from lodestar.llm import shingles as shingles_module
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
@@ -228,6 +229,15 @@ def test_jaccard_edges(docs):
     assert {r[2] for r in got if r[0] in (7, 8)} == {7}
 
 
+def test_shingles_of_few_words(spark):
+    for n in range(9):
+        text = " ".join(f"w{i}" for i in range(n))
+        assert [len(own) for own in shingles_module.shingle_sets([text])] == [len(shingles(text))]
+        assert [len(own) for own in shingles_module.shingle_sets(["", text, " "])] == [0, len(shingles(text)), 0]
+    one = spark.createDataFrame([(1, "only three words"), (2, ""), (3, None)], "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, jaccard.jaccard_join(one).collect())) == [(1, 1, 1), (2, 0, 2), (3, 0, 3)]
+
+
 def test_components(spark):
     links = [(b"a", b"b"), (b"b", b"c"), (b"x", b"y"), (b"z", b"z"), (None, b"a"), (b"c", b"a")] + [(f"n{i:03d}".encode(), f"n{i + 1:03d}".encode()) for i in range(200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a binary, b binary").repartition(7)).collect()))
