@@ -1,6 +1,7 @@
 """Secret scans: patterns propose, a random forest removes false positives.
 
-Candidates are long unbroken tokens. The forest sees a candidate's length and
+Candidates are long unbroken tokens, and values of any length that are assigned to
+a name of a secret. The forest sees a candidate's length and
 character transitions, how much of it a dictionary of syllables covers, the
 words before it, and the document's path. It is trained from labelled findings:
 those given by the caller, or a seeded set of findings made from formats that are
@@ -19,9 +20,14 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import table
 
 # What may be a secret.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,512}={0,2}(?![A-Za-z0-9+/_=-])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"
 # Words before a secret, and words before what is none.
 NAMES = ["token", "secret", "key", "apikey", "api_key", "password", "passwd", "pwd", "auth", "bearer", "credential", "access"]
+# A name that ends as those do, and its value: quoted, a parameter of a URL, or up to white space but for marks that end a clause.
+ASSIGNED = r"""(?i)(?P<name>token|secret|key|password|passwd|pwd|auth|bearer|credential|access)s?["']?[ \t]*+(?::=|=>|==?|:)[ \t]*+(?:"(?P<double>[^"\n]++)"|'(?P<single>[^'\n]++)'|(?P<bare>[^\s"']++))"""
+# The same within an unquoted value, where a value ends at the next mark; so the work stays linear.
+NESTED = r"""(?i)(?:token|secret|key|password|passwd|pwd|auth|bearer|credential|access)s?(?::=|=>|==?|:)([^\s"'&#,;:=]++)"""
+PARAMETER = r"[?&][A-Za-z0-9_.%-]{0,64}\Z"
 OTHERS = ["sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "uuid", "id", "etag", "revision", "version"]
 # Beginnings that issuers give their tokens.
 PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "AIza", "glpat-", "eyJ"]
@@ -34,13 +40,46 @@ CONTEXT = 32
 TREES, DEPTH, SEED = 24, 6, 9
 FINDINGS = 4_000
 THRESHOLD = 0.5
-FEATURES = ["length", "entropy", "digits", "uppers", "transitions", "vowels", "coverage", "hex", "prefix", "named", "assigned", "quoted", "other", "path", "runs"]
+FEATURES = ["length", "entropy", "digits", "uppers", "transitions", "vowels", "coverage", "hex", "prefix", "named", "assigned", "quoted", "other", "path", "runs", "marks", "template", "classes"]
 
 
 def candidate_pattern():
     return re.compile(CANDIDATE)
 
 
+def proposed(text: str, tokens=re.compile(CANDIDATE), assigned=re.compile(ASSIGNED), nested=re.compile(NESTED), parameter=re.compile(PARAMETER)) -> list[tuple[int, int]]:
+    """Sorted (start, stop) of all candidates: they may overlap, equal ones are listed once."""
+    found = {m.span() for m in tokens.finditer(text)}
+    at = 0
+    while m := assigned.search(text, at):
+        start, stop = m.span(m.lastgroup)
+        at = start  # a value may hold a name and value of its own
+        if m.lastgroup == "bare":
+            inner, at = start, stop
+            while n := nested.search(text, inner, stop):
+                inner = n.start(1)
+                found.add((inner, inner + _clause(n[1])))
+            value = re.split("[&#]", m["bare"], maxsplit=1)[0] if parameter.search(text, max(0, m.start() - 65), m.start("name")) else m["bare"]
+            stop = start + _clause(value)
+        found.add((start, stop))
+    return sorted(s for s in found if s[1] > s[0])
+
+
+def _clause(value: str) -> int:
+    """The length of value without marks at its end that end a clause, or a bracket that it doesn't open."""
+    n = len(value.rstrip(",;.)]}>"))
+    opened = sum(value[:n].count(c) for c in "([{<")
+    rest = value[n:]
+    while opened and rest and rest[0] in ")]}>":
+        opened, n, rest = opened - 1, n + 1, rest[1:]
+    return n
+
+
+def _parts(words: list[str]) -> set[str]:
+    """The words without a plural s, and their parts between underscores."""
+    return {p.removesuffix("s") if len(p) > 3 else p for w in words for p in (w, *w.split("_"))}
+
+
 def features(span: str, before: str, path: str) -> list[float]:
     """FEATURES of a candidate; before is the text that ends where it starts."""
     n = len(span)
@@ -55,8 +94,8 @@ def features(span: str, before: str, path: str) -> list[float]:
         while at >= 0:
             covered[at : at + len(piece)] = [True] * len(piece)
             at = low.find(piece, at + 1)
-    near = before.lower()
-    words = re.findall(r"[a-z_0-9]+", near)[-3:]
+    words = re.findall(r"[a-z_0-9]+", before.lower())[-3:]
+    parts = _parts(words)
     return [
         float(n),
         -sum(v / n * math.log2(v / n) for v in counts.values()),
@@ -67,15 +106,37 @@ def features(span: str, before: str, path: str) -> list[float]:
         sum(covered) / n,
         float(all(c in "0123456789abcdef" for c in low)),
         float(any(span.startswith(p) for p in PREFIXES)),
-        float(any(w in NAMES for w in words)),
+        float(any(p.endswith(tuple(NAMES)) for p in parts)),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))),
         float(before[-1:] in ("'", '"')),
-        float(any(w in OTHERS for w in words)),
+        float(not parts.isdisjoint(OTHERS)),
         float(any(path.lower().endswith(p) for p in PATHS)),
-        max((len(m[0]) for m in re.finditer(r"(.)\1*", span)), default=0) / n,
+        max((len(m[0]) for m in re.finditer(r"(.)\1*", span, re.S)), default=0) / n,
+        sum(k == "s" and c not in "+/_-=" for k, c in zip(kinds, span)) / n,
+        float(bool(re.search(r"[$<{(\[*%]", span[:1])) or "(" in span or " " in span),
+        float(len(set(kinds) - {"s"})),
     ]
 
 
+# How a name leads to its value, and values that stand for a secret and are none.
+_LEADS = ['{} = "', "{} = '", '{}="', "{}='", "{}=", "{}: ", '"{}": "', "{} := ", "?{}=", "&{}="]
+_PLACEHOLDERS = ["${{{}}}", "$({})", "<{}>", "{{{{ {} }}}}", "%{}%", "your_{}", "os.{}", "{}[0]", "self.{},", "get_{}()"]
+
+
+def _cased(rng, name: str) -> str:
+    """A name as it stands in code and settings."""
+    return rng.choice([name, name, name.upper(), f"DB_{name.upper()}", f"client_{name}", f"AWS_SECRET_{name.upper()}", f"db{name.capitalize()}"])
+
+
+def _password(rng, pick, alphabet: str) -> str:
+    """Four characters to fifteen, of at least two of letters, digits and other marks."""
+    marks = "!@#$%^&*?.,:;~+-_"
+    size = rng.randint(4, 15)
+    word = rng.choice(PIECES[:38]).translate(str.maketrans("aeio", "4310")) if rng.random() < 0.4 else rng.choice(PIECES[:38])
+    body = rng.choice([pick(alphabet, size), pick(alphabet + marks, size), word.capitalize() + pick("0123456789", rng.randint(1, 4)) + pick(marks, rng.randint(0, 2)), word + pick("0123456789", rng.randint(1, 4)), word + pick(marks, 1) + pick(alphabet, rng.randint(2, 6))])
+    return body if sum(map(bool, (re.search("[A-Za-z]", body), re.search("[0-9]", body), re.search("[^A-Za-z0-9]", body)))) > 1 else body[:13] + pick("0123456789", 2)
+
+
 def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, int]]:
     """Seeded findings (span, before, path, label): half are secrets, half look like them."""
     rng = random.Random(seed)
@@ -86,10 +147,17 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
     for i in range(count):
         before = " ".join(word() for _ in range(4)) + " "
         path = rng.choice(["", f"src{i % 20}", "a/readme.md", "conf/app.env", "conf/site.yml", "page.html"])
-        if i % 2:
-            body = rng.choice([lambda: pick("0123456789abcdef", rng.choice([32, 40, 64])), lambda: pick(alphabet, rng.randint(20, 48)), lambda: rng.choice(PREFIXES) + pick(alphabet, rng.randint(16, 36)), lambda: pick(alphabet + "+/", 40)])()
-            name = rng.choice(NAMES)
-            lead = rng.choice([f'{name} = "', f"{name}: ", f"{name}='", f'"{name}": "', f"{name}=", f"{name.upper()}="])
+        if i % 8 == 7:
+            out.append((_password(rng, pick, alphabet), before + rng.choice(_LEADS).format(_cased(rng, rng.choice(NAMES))), path, 1))
+        elif i % 8 == 6:
+            body = rng.choice([word, lambda: word().capitalize(), lambda: word().upper(), lambda: rng.choice(_PLACEHOLDERS).format(word()), lambda: str(rng.randrange(10 ** rng.randint(1, 6))), lambda: f"{word()} {word()}", lambda: f"{word()}.{word()}", lambda: f"{word()}-{word()}", lambda: f"{word()}()", lambda: rng.choice("*x.-?") * rng.randint(3, 15)])()
+            out.append((body, before + rng.choice(_LEADS).format(_cased(rng, rng.choice(NAMES))), path, 0))
+        elif i % 40 == 8:
+            out.append((pick(alphabet + "+/", rng.randint(400, 4000)), before + rng.choice(["data:image/png;base64,", "data:font/woff2;base64,", "src=", ""]), path, 0))
+        elif i % 2:
+            body = rng.choice([lambda: pick("0123456789abcdef", rng.choice([32, 40, 64])), lambda: pick(alphabet, rng.randint(20, 48)), lambda: rng.choice(PREFIXES) + pick(alphabet, rng.randint(16, 36)), lambda: pick(alphabet + "+/", 40), lambda: pick(alphabet + "+/", rng.randint(200, 4000)), lambda: "eyJ" + pick(alphabet + "-_", rng.randint(200, 2000))])()
+            name = _cased(rng, rng.choice(NAMES))
+            lead = rng.choice([f'{name} = "', f"{name}: ", f"{name}='", f'"{name}": "', f"{name}=", f"{name.upper()}=", f"?{name}=", f"&{name}="])
             if any(body.startswith(p) for p in PREFIXES) and rng.random() < 0.4:
                 lead = ""
             out.append((body, before + lead, path, 1))
@@ -104,7 +172,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
             elif kind == 3:
                 body, lead = pick("0123456789", rng.randint(16, 20)), ""
             elif kind == 4:
-                body, lead = rng.choice("-_=ae0") * rng.randint(16, 40), ""
+                body, lead = rng.choice("-_=ae0") * rng.choice([rng.randint(16, 40), rng.randint(16, 900)]), ""
             elif kind == 5:
                 h = "0123456789abcdef"
                 body, lead = f"{pick(h, 8)}-{pick(h, 4)}-{pick(h, 4)}-{pick(h, 4)}-{pick(h, 12)}", rng.choice(["uuid=", "id: ", ""])
@@ -164,8 +232,8 @@ def scan(docs: DataFrame, findings: list | None = None, threshold: float = THRES
 
     NULL and empty texts have no rows; NULL ids and paths pass, a NULL path is
     empty. Rows are independent: repeated rows give repeated findings. Other
-    columns are ignored. Texts are searched whole; a token longer than 512
-    characters is no candidate.
+    columns are ignored. Texts are searched whole and tokens have no greatest
+    length. Findings may overlap where a token is part of an assigned value.
     """
     forest = fit_forest(findings if findings is not None else labelled_findings())
     shared = docs.sparkSession.sparkContext.broadcast(forest)
@@ -175,15 +243,16 @@ def scan(docs: DataFrame, findings: list | None = None, threshold: float = THRES
 
         import pyarrow as pa
 
-        model, pattern = shared.value, candidate_pattern()
+        model = shared.value
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64()), ("secret_sha256", pa.string())])
         for batch in batches:
             out: dict = {n: [] for n in schema.names}
             for doc_id, text, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for m in pattern.finditer(text or ""):
-                    score = probability(model, features(m[0], text[max(0, m.start() - CONTEXT) : m.start()], path or ""))
+                for start, stop in proposed(text or ""):
+                    span = text[start:stop]
+                    score = probability(model, features(span, text[max(0, start - CONTEXT) : start], path or ""))
                     if score >= threshold:
-                        for name, value in zip(out, (doc_id, m.start(), m.end(), score, hashlib.sha256(m[0].encode()).hexdigest()), strict=True):
+                        for name, value in zip(out, (doc_id, start, stop, score, hashlib.sha256(span.encode("utf-8", "surrogatepass")).hexdigest()), strict=True):
                             out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 

@@ -416,6 +416,22 @@ def test_secret_scan(spark, docs):
     assert secrets.scan(docs, path_column="source").count() == 0
 
 
+def test_secrets_of_any_length_and_lead(spark):
+    key, rng = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", random.Random(3)
+    long = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1700))
+    rows = [(f"token={key}", key), (f"API_KEY={key}", key), ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), (f"see https://a.example/x?key={key}&page=1", key)]
+    rows += [(f"private_key: {long}==", long + "=="), ('password = "S3cret!pass"', "S3cret!pass"), ("https://a.example/?user=joe&pwd=Ab9!x&page=2", "Ab9!x"), ("(password=Tr0ub4dor&3)", "Tr0ub4dor&3")]
+    rows += [(t, None) for t in (f"commit={key}", f"id={key}", "password: required", "the key: value pairs", "passwd=${PW}", "a" * 600, "key = None or other", "=" * 600)]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {(r.doc_id, rows[r.doc_id][0][r.start : r.stop]) for r in secrets.scan(frame).collect()}
+    assert got == {(i, secret) for i, (_, secret) in enumerate(rows) if secret}
+
+
+def test_candidates_take_linear_time():
+    for piece in ("key=", "token=token:", "key ", "key=a ", "a", "="):
+        assert len(secrets.proposed(piece * 50_000)) <= 100_000
+
+
 def test_forest_held_out():
     forest = secrets.fit_forest(secrets.labelled_findings())
     unseen = secrets.labelled_findings(1000, seed=99)
