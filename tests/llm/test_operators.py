@@ -176,6 +176,16 @@ def test_redaction_and_added_spans(spark, docs):
     assert same == {(r[0], r[1]) for r in ROWS}
 
 
+def test_personal_data_without_base_signs_is_redacted(spark):
+    texts = [(i, f"call my phone {'+' if i % 3 else ''}49 30 {1000000 + i} now") for i in range(30)]
+    texts += [(100, "write to joe (at) mail (dot) org ok"), (101, "tel (030) 1234-5678 now"), (102, "card 4111 1111 1111 1112 was"), (103, "since 2023-01-01 12 then"), (104, "total 9807915762804490 items"), (105, "the 1,234,567,890 or 300.1.2.3 of"), (106, "in 1914-1918 and")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.redact(frame, pii.fit(frame)).collect()}
+    assert all(out[i] == "call my phone [PHONE] now" for i in range(30))
+    assert out[100] == "write to [EMAIL] ok" and out[101] == "tel [PHONE] now"
+    assert all(out[i] == t for i, t in texts if i > 101)
+
+
 # Near copies
 
 
