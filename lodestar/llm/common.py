@@ -65,6 +65,24 @@ def discard(*stashed: DataFrame) -> None:
         drop_path(df.sparkSession, df._scratch)
 
 
+#: At most so many keys are broadcast by lookup().
+HEAVY_KEYS = 10_000
+
+
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined on keys with found, which has one row per key and how many of the `total` rows have it, as copies.
+
+    Fewer than HEAVY_KEYS keys can hold more than that part of all rows. These are
+    broadcast, so that their rows stay where they are; no other key has enough
+    rows to fill a task.
+    """
+    heavy = F.col("copies") * F.lit(HEAVY_KEYS) > F.lit(total)
+    often = found.where(heavy).select(*keys, F.struct(*[c for c in found.columns if c not in keys]).alias("__often"))
+    marked = rows.join(F.broadcast(often), keys, "left")
+    here = marked.where("__often is not null").select(*rows.columns, "__often.*")
+    return here.unionByName(marked.where("__often is null").drop("__often").join(found.where(~heavy), keys).select(here.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -80,7 +80,7 @@ def test_exact_dedup_in_several_batches(spark, sf):
 def test_empty_tables(spark, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert jaccard.jaccard_join(empty).count() == 0
-    assert lines.repeated_units(empty).count() == 0
+    assert lines.repeated_units(empty).count() == 0 and lines.remove_repeats(empty).count() == 0
     assert packing.pack(empty).count() == 0
     assert bpe.encode_decode(empty).count() == 0
     assert secrets.scan(empty).count() == 0
@@ -389,34 +389,65 @@ def test_dual_coordinate_descent_separates():
 # Lines and secrets
 
 
-def test_lines_against_brute_force(spark, docs):
-    rng = random.Random(8)
-    pool = [" ".join(rng.choice("abcde") + str(rng.randint(0, 3)) for _ in range(rng.randint(5, 12))) for _ in range(12)]
-    rows = [(i, "\n".join(rng.choice([p, p.upper() + "  ", "short", ""]) for p in rng.sample(pool, 4))) for i in range(60)] + [(60, None), (61, ""), (62, "é " * 9)]
+def brute_repeats(rows, least):
+    """For each row the flags of its words that lie in a run of `least` words which came before."""
+    seen, out = set(), {}
+    documents = sorted({(i is None, i or 0, hashlib.md5((t or "").encode()).digest(), t or "") for i, t in rows})
+    for unnamed, i, _, text in documents:
+        words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        flags = [False] * len(words)
+        for at in range(len(words) - least + 1):
+            run = tuple(words[at : at + least])
+            if run in seen:
+                flags[at : at + least] = [True] * least
+            seen.add(run)
+        out[(None if unnamed else i, text)] = flags
+    return out
+
+
+@pytest.mark.parametrize("least", [2, 3, 8, 50])
+def test_repeats_against_brute_force(spark, docs, least):
+    rng = random.Random(least)
+    pool = [" ".join(rng.choice("abcdeé") + str(rng.randint(0, 3)) for _ in range(rng.randint(5, 70))) for _ in range(12)]
+    rows = [(i, rng.choice(["", " ", "x"]) + rng.choice(["\n", " ", "\n\n", "\t\n \n"]).join(rng.choice([p, p.upper() + "  ", f"short {i}", ""]) for p in rng.sample(pool, 4))) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, "é " * 200), (5, rows[5][1]), (5, "other " + rows[6][1]), (None, rows[7][1]), (None, "own " + rows[8][1]), (None, "own " + rows[8][1])]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    units = []
-    for i, text in rows:
-        at = 0
-        for line in (text or "").split("\n"):
-            norm = " ".join(line.lower().split())
-            if len(norm.split()) >= lines.LEAST_WORDS:
-                units.append((norm, i, at, at + len(line)))
-            at += len(line) + 1
-    first = {}
-    for norm, i, start, _ in sorted(units, key=lambda u: u[1:]):
-        first.setdefault(norm, (i, start))
-    want = sorted((i, start, stop, *first[norm], sum(u[0] == norm for u in units)) for norm, i, start, stop in units if (i, start) != first[norm])
-    removed = lines.repeated_units(frame)
-    assert sorted(tuple(r)[:3] + tuple(r)[4:] for r in removed.collect()) == want
-    cleaned = {r.doc_id: r for r in lines.remove_units(frame, removed).collect()}
-    for i, text in rows:
-        gone = [(w[1], w[2]) for w in want if w[0] == i]
-        assert [tuple(s) for s in cleaned[i].removed_spans or []] == gone
-        kept, at = "", 0
-        for start, stop in gone:
-            kept, at = kept + (text or "")[at:start], stop + 1
-        assert cleaned[i].text == (text if text is None else kept + text[at:])
-    assert lines.repeated_units(docs).count() == 0  # no line of eight words is repeated there
+    want = brute_repeats(rows, least)
+    got = lines.remove_repeats(frame, least).collect()
+    assert len(got) == len(rows)
+    seen: dict = {}
+    for r in got:
+        seen.setdefault(r.doc_id, []).append(r)
+    for doc_id, text in rows:
+        flags = want[(doc_id, text or "")]
+        tokens = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text or "")
+        at = len(text or "") - sum(map(len, tokens))
+        kept, spans, last = (text or "")[:at], [], False
+        for token, gone in zip(tokens, flags, strict=True):
+            if gone and last:
+                spans[-1] = (spans[-1][0], at + len(token))
+            elif gone:
+                spans.append((at, at + len(token)))
+            else:
+                kept += token
+            at, last = at + len(token), gone
+        full = (None if text is None else kept, len(tokens), sum(flags), spans)
+        assert full in [(r.text, r.n_words, r.removed_words, [tuple(s) for s in r.removed_spans]) for r in seen[doc_id]]
+    assert lines.remove_repeats(docs).count() == len(ROWS)
+
+
+def test_repeats_inside_differing_lines_and_clean_documents(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"own{i} a{i}\nb{i} {passage} c{i}\nAll rights reserved.") for i in range(40)] + [(100 + i, f"text {i} of its own\nAll rights reserved.") for i in range(20)]
+    got = {r.doc_id: r for r in lines.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got[0].text == rows[0][1] and all(got[i].text == f"own{i} a{i}\nb{i} c{i}\nAll rights reserved." for i in range(1, 40))
+    assert all(got[100 + i].text == rows[40 + i][1] for i in range(20))
+
+
+def test_lines_and_paragraphs_as_units(spark):
+    rows = [(1, "one line\ntwo words\n\nlast"), (2, "ONE line\ntwo  words\n\nother"), (3, "one line\nlast")]
+    got = lines.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.stop, r.copies, r.keep.doc_id) for r in got) == [(2, 0, 2, 3, 1), (2, 0, 4, 2, 1), (2, 2, 4, 2, 1), (3, 0, 2, 3, 1), (3, 2, 3, 2, 1)]
 
 
 def test_secret_scan(spark, docs):
