@@ -141,6 +141,37 @@ def let_go() -> None:
     sys.__dict__.get("_lodestar_held", {}).clear()
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """name, or with underscores after it a name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _scans_files(df: DataFrame) -> bool:
+    """Whether df is a table of files, at most projected and filtered, so that a row's place in its file names it."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        node = node.children().head()
+    return "Relation" in node.nodeName()
+
+
+def located(df: DataFrame, name: str) -> DataFrame:
+    """df with a column `name` that locates each row: struct of file and row. What isn't a table of Parquet files is written as one first."""
+    from pyspark.errors import AnalysisException
+
+    if _scans_files(df):
+        try:
+            place = df.metadataColumn("_metadata")
+            return df.select("*", F.struct(place["file_path"].alias("file"), place["row_index"].alias("row")).alias(name))
+        except AnalysisException:  # other formats don't number their rows
+            pass
+    kept = stash(df, "located")
+    place = kept.metadataColumn("_metadata")
+    return kept.select("*", F.struct(place["file_path"].alias("file"), place["row_index"].alias("row")).alias(name))
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns of df as they are, whatever characters their names have."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -2,10 +2,11 @@
 
 A Structured Streaming aggregation keeps, for each digest of the normalised
 text, the number of rows seen, the stable identifier of the row that stays and
-a locator of its content. The state has no expiry and lives in RocksDB on disk;
-its changelog goes to the shared folder. A digest that is hit is not trusted:
-the full normalised text of each further row is compared with the text at the
-locator, and digests whose texts differ are grouped by the text itself.
+a locator of its content: the file that holds it and its row there. The state has
+no expiry and lives in RocksDB on disk; its changelog goes to the shared folder.
+A digest that is hit is not trusted: the full normalised text of each further
+row is fetched by its locator and compared with the text at the locator that the
+state kept, and digests whose texts differ are grouped by the text itself.
 
 Everything is DataFrame and SQL expressions inside the JVM.
 """
@@ -17,13 +18,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SPACE_CLASS, discard, drop_path, scratch_path, stash, table, text_or_empty
+from lodestar.llm.common import SPACE_CLASS, columns_of, discard, drop_path, free_name, located, lookup, scratch_path, stash, table, text_or_empty
 
 #: The state lives in RocksDB; a task closes its store when it has committed, so that no local copy outlives the stream.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
+#: Files of digests that a micro-batch reads at most.
+FILES_PER_BATCH = 512
+#: Hits of one digest that are compared with one copy of the text that stays.
+HITS_PER_TEXT = 1000
+LOCATOR = "struct<file:string,row:bigint>"
 
 
 def normalised(column: str = "text") -> Column:
@@ -35,13 +41,11 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def keyed_state(digests: DataFrame, path: str, files_per_batch: int | None = None) -> DataFrame:
+def keyed_state(digests: DataFrame, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Stream the digest table at `path` through the keyed state; one row per digest with its latest state."""
     spark = digests.sparkSession
     out, log = scratch_path(spark, "exact-state"), scratch_path(spark, "exact-log")
-    reader = spark.readStream.schema(digests.schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", files_per_batch)
     state = (
         reader.parquet(path)
         .groupBy("digest")
@@ -74,8 +78,8 @@ def keyed_state(digests: DataFrame, path: str, files_per_batch: int | None = Non
     return updates.select("digest", "group_size", "best")
 
 
-def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex, files_per_batch: int | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, keep_locator.
+def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, keep_locator, locator.
 
     Texts are equal when they are identical after white space is deleted. Of
     equal texts the one with the most code points in the original stays, then
@@ -83,27 +87,39 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex
     A NULL doc_id loses every tie; its own rows report kept = false unless no
     other row of the group has an id, and then keep_id is NULL and kept is true.
     Rows that repeat a doc_id are one document listed twice: each row counts in
-    group_size and both say the same. Other columns of docs are ignored. An
+    group_size and both say the same; only one of them is at keep_locator. Other columns of docs are ignored. An
     empty table gives an empty result. Texts of any length are read whole.
     """
-    base = docs.select("doc_id", "text")
-    spark = docs.sparkSession
+    return _decided(located(docs.select("doc_id", "text"), "locator"), digest, files_per_batch)
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """docs, all its columns, with one row of each group of equal texts: that at the locator which the state kept."""
+    name = free_name("locator", docs)
+    rows = located(docs, name)
+    decided = _decided(rows.select("doc_id", "text", F.col(f"`{name}`").alias("locator")), sha256_hex, FILES_PER_BATCH)
+    dropped = decided.where("locator != keep_locator").select(F.col("locator").alias("__dropped"))
+    return rows.join(dropped, rows[name] == dropped["__dropped"], "left_anti").select(columns_of(docs))
+
+
+def _decided(base: DataFrame, digest: Callable[[Column], Column], files_per_batch: int) -> DataFrame:
+    """exact_dedup of rows doc_id, text, locator."""
+    spark = base.sparkSession
     sha = sha256_hex(normalised())
     digests = base.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.unhex(sha).alias("sha"),
         digest(normalised()).alias("digest") if digest is not sha256_hex else F.unhex(sha).alias("digest"),
         F.char_length(text_or_empty()).cast("long").alias("points"),
-        F.input_file_name().alias("locator"),
+        F.col("locator").cast(LOCATOR).alias("locator"),
     )
     path = scratch_path(spark, "exact-digests")
     digests.write.parquet(path)
     digests = spark.read.schema(digests.schema).parquet(path)
-    groups = keyed_state(digests, path, files_per_batch)
-
-    rows = digests.join(groups, "digest").select(
-        "doc_id", "digest", "sha", "points", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("keep_locator")
+    groups = keyed_state(digests, path, files_per_batch).select(
+        "digest", F.col("group_size").alias("copies"), F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("keep_locator")
     )
+    rows = lookup(digests, groups, ["digest"], digests.count()).withColumnRenamed("copies", "group_size")
     rows = stash(rows, "exact-rows")
     drop_path(spark, path)
     differing = stash(_differing(base, rows), "exact-differing")
@@ -118,37 +134,40 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         "keep_locator",
+        "locator",
     )
 
 
 def _differing(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """Digests under which two rows have different bytes. Only the texts of rows that hit a digest are compared."""
-    hits = rows.where("group_size > 1 and not (doc_id <=> keep_id)").select("doc_id", "keep_id", "digest").distinct()
-    keeps = hits.select("keep_id", "digest").distinct()
-    texts = base.withColumn("doc_id", F.col("doc_id").cast("long"))
-    mine = hits.join(texts, hits["doc_id"].eqNullSafe(texts["doc_id"])).select("keep_id", "digest", normalised().alias("mine"))
-    theirs = keeps.join(texts, keeps["keep_id"].eqNullSafe(texts["doc_id"])).select(F.col("keep_id").alias("k"), F.col("digest").alias("d"), normalised().alias("theirs"))
-    both = mine.join(theirs, mine["keep_id"].eqNullSafe(theirs["k"]) & (mine["digest"] == theirs["d"]))
-    return both.where("mine != theirs").select("digest").distinct()
+    """Digests under which two rows have different bytes. Only the texts of rows that hit a digest are compared.
+
+    The hits of a digest are dealt to as many copies of the text that stays as their number asks for.
+    """
+    parts = F.ceil(F.col("group_size") / HITS_PER_TEXT).cast("int")
+    hits = rows.where("group_size > 1 and locator != keep_locator").select("locator", "digest", F.pmod(F.xxhash64("locator"), parts).cast("int").alias("part"))
+    keeps = rows.where("group_size > 1 and locator = keep_locator").select("locator", "digest", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    texts = base.select(F.col("locator").alias("place"), "text")
+    mine = hits.join(texts, hits["locator"] == texts["place"]).select("digest", "part", normalised().alias("mine"))
+    theirs = keeps.join(texts, keeps["locator"] == texts["place"]).select("digest", "part", normalised().alias("theirs"))
+    return mine.join(theirs, ["digest", "part"]).where("mine != theirs").select("digest").distinct()
 
 
 def _by_full_text(base: DataFrame, rows: DataFrame, differing: DataFrame) -> DataFrame:
     """Group the rows of the given digests by their full normalised text instead."""
-    texts = base.select(F.col("doc_id").cast("long").alias("t_id"), normalised().alias("norm")).distinct()
-    odd = rows.join(differing, "digest", "left_semi")
-    odd = odd.join(texts, odd["doc_id"].eqNullSafe(texts["t_id"])).where(F.unhex(sha256_hex(F.col("norm"))) == F.col("sha")).drop("t_id")
+    texts = base.select(F.col("locator").alias("place"), normalised().alias("norm"))
+    odd = rows.join(differing, "digest", "left_semi").drop("group_size", "keep_id", "keep_locator")
+    odd = odd.join(texts, odd["locator"] == texts["place"])
     best = odd.groupBy("norm").agg(
         F.count(F.lit(1)).alias("group_size"),
-        F.max(F.struct("points", F.expr("-doc_id").alias("order"), "doc_id", "keep_locator")).alias("best"),
+        F.max(F.struct("points", F.expr("-doc_id").alias("order"), "doc_id", "locator")).alias("best"),
     )
-    odd = odd.drop("group_size", "keep_id", "keep_locator").join(best, "norm")
-    odd = odd.select("doc_id", "digest", "sha", "points", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.keep_locator").alias("keep_locator"))
+    odd = odd.join(best, "norm").select(*[c for c in odd.columns if c not in ("place", "norm")], "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("keep_locator"))
     return rows.join(differing, "digest", "left_anti").select(odd.columns).unionByName(odd)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every row and whole text of documents; the columns that the SQL has."""
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("keep_locator")
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("keep_locator", "locator")
 
 
 OP2_SQL = r"""
