@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import discard, groups_for, let_go, stash, table
+from lodestar.llm.common import columns_of, discard, free_name, groups_for, let_go, located, lookup, stash, table
 from lodestar.llm.components import components
 
 #: The threshold as a ratio: 100 * intersection >= 75 * union.
@@ -32,6 +32,9 @@ FREQUENCY_BITS = 20
 FREQUENCY_SLICE_BITS = 14
 KEYS_PER_TILE_TASK = 500_000
 SHINGLES_PER_CHUNK = 1_000_000
+PAIRS_PER_CHUNK = 1_000
+#: A shingle (hashed to FREQUENCY_BITS) that so many documents have is dealt to several tasks, by node.
+HOT_SHINGLE = 100_000
 ALL_PAIRS_UP_TO = 64
 FLUSH_KEYS = 1_000_000
 LEAST_BITS, MOST_BITS = 64, 1 << 16
@@ -76,27 +79,28 @@ def _sets(ids, texts):
 
 
 def _signatures(batches):
-    """Kind 0: doc_id, n, node and bitmap of each document. Kind 1: slices of the task's table of shingle counts."""
+    """Kind 0: doc_id, locator, n, node and bitmap of each document. Kind 1: slices of the task's table of shingle counts."""
     import numpy as np
     import pyarrow as pa
 
     from lodestar.llm.shingles import set_digest
 
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bits", pa.binary())])
+    place = pa.struct([("file", pa.string()), ("row", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("locator", place), ("n", pa.int64()), ("node", pa.binary()), ("bits", pa.binary())])
     let_go()
     counts = np.zeros(1 << FREQUENCY_BITS, "u4")
     for batch in batches:
-        out = {"kind": [], "doc_id": [], "n": [], "node": [], "bits": []}
-        for doc_id, own in _sets(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        out = {"kind": [], "n": [], "node": [], "bits": []}
+        for _, own in _sets(range(batch.num_rows), batch.column(1).to_pylist()):
             np.add.at(counts, own & np.uint64(len(counts) - 1), np.uint32(1))
-            row = (0, doc_id, len(own), set_digest(own) if len(own) else None, bitmap(own) if len(own) else None)
+            row = (0, len(own), set_digest(own) if len(own) else None, bitmap(own) if len(own) else None)
             for name, value in zip(out, row, strict=True):
                 out[name].append(value)
-        yield pa.RecordBatch.from_pydict(out, schema=schema)
+        yield pa.RecordBatch.from_pydict(out | {"doc_id": batch.column(0), "locator": batch.column(2).cast(place)}, schema=schema)
     step = 1 << FREQUENCY_SLICE_BITS
     slices = [i for i in range(len(counts) // step) if counts[i * step : (i + 1) * step].any()]
     if slices:
-        yield pa.RecordBatch.from_pydict({"kind": [1] * len(slices), "doc_id": slices, "n": [0] * len(slices), "node": [None] * len(slices), "bits": [counts[i * step : (i + 1) * step].tobytes() for i in slices]}, schema=schema)
+        yield pa.RecordBatch.from_pydict({"kind": [1] * len(slices), "doc_id": slices, "locator": [None] * len(slices), "n": [0] * len(slices), "node": [None] * len(slices), "bits": [counts[i * step : (i + 1) * step].tobytes() for i in slices]}, schema=schema)
 
 
 def _add_slices(rows):
@@ -121,8 +125,17 @@ def _frequencies(slices: DataFrame):
     return out
 
 
+def _hot_buckets(frequencies) -> int:
+    """How many buckets the shingles that very many documents have are dealt to."""
+    return groups_for(int(frequencies[frequencies >= HOT_SHINGLE].sum(dtype="u8")), KEYS_PER_TILE_TASK, 0)
+
+
 def _keys(docs: DataFrame, frequencies, buckets: int) -> DataFrame:
-    """Prefix shingles of all nodes, dealt to buckets: rows of packed arrays, one for each bucket and flush of a task."""
+    """Prefix shingles of all nodes, dealt to buckets: rows of packed arrays, one for each bucket and flush of a task.
+
+    The bucket is that of the shingle, or, for shingles that very many documents have, one from `buckets` on that the node's name chooses.
+    """
+    hot, hot_from = _hot_buckets(frequencies), HOT_SHINGLE
     shared = docs.sparkSession.sparkContext.broadcast(frequencies)
 
     def run(batches):
@@ -139,17 +152,19 @@ def _keys(docs: DataFrame, frequencies, buckets: int) -> DataFrame:
         def flush():
             every, ref, place = np.concatenate(keys), np.concatenate(refs), np.concatenate(places)
             bucket = ((every & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype("i8")
-            order = np.argsort(bucket, kind="stable")
-            every, ref, place, bucket = (every[order] >> np.uint64(32)).astype("u4"), ref[order], place[order], bucket[order]
             names, size = np.frombuffer(b"".join(nodes), "V16"), np.array(sizes, "u4")
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            if hot:
+                often = counts[every & mask] >= hot_from
+                chosen = np.frombuffer(b"".join(nodes), "<u8")[::2] % np.uint64(hot)
+                bucket = np.where(often, buckets + chosen[ref].astype("i8"), bucket)
+            order = np.argsort(bucket, kind="stable")
+            every, ref, place, bucket = every[order], ref[order], place[order], bucket[order]
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             out = {"bucket": [], "nodes": [], "sizes": [], "keys": [], "refs": [], "places": []}
-            for b in range(buckets):
-                part = slice(cuts[b], cuts[b + 1])
-                if part.start == part.stop:
-                    continue
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                part = slice(start, stop)
                 used, local = np.unique(ref[part], return_inverse=True)
-                values = (b, names[used].tobytes(), size[used].tobytes(), every[part].tobytes(), local.astype("u4").tobytes(), place[part].tobytes())
+                values = (int(bucket[start]), names[used].tobytes(), size[used].tobytes(), every[part].tobytes(), local.astype("u4").tobytes(), place[part].tobytes())
                 for name, value in zip(out, values, strict=True):
                     out[name].append(value)
             return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("nodes", "sizes", "keys", "refs", "places")]))
@@ -176,8 +191,13 @@ def _keys(docs: DataFrame, frequencies, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, nodes binary, sizes binary, keys binary, refs binary, places binary")
 
 
-def _tiles(rows):
-    """Kind 0: candidate pairs (a, b) of the tiles of a bucket. Kind 1: members of tiles whose pairs are not all listed."""
+def _tiles(buckets: int):
+    short = ALL_PAIRS_UP_TO
+    return lambda rows: _tiles_of(rows, rows.column("bucket")[0].as_py() >= buckets, short)
+
+
+def _tiles_of(rows, hot: bool, short: int):
+    """Kind 0: candidate pairs (a, b) of the tiles of a bucket. Kind 1: members of tiles whose pairs are not all listed: here, or, of hot shingles, in other buckets."""
     import numpy as np
     import pyarrow as pa
 
@@ -186,7 +206,7 @@ def _tiles(rows):
     names = np.frombuffer(b"".join(col["nodes"]), pair)
     sizes = np.frombuffer(b"".join(col["sizes"]), "u4").astype("i8")
     shift = np.cumsum([0, *(len(x) // 16 for x in col["nodes"])])[:-1]
-    keys = np.frombuffer(b"".join(col["keys"]), "u4")
+    keys = np.frombuffer(b"".join(col["keys"]), "u8")
     refs = np.concatenate([np.frombuffer(x, "u4").astype("i8") + first for x, first in zip(col["refs"], shift, strict=True)])
     place = np.frombuffer(b"".join(col["places"]), "u2").astype("i8")
     names, first, local = np.unique(names, return_index=True, return_inverse=True)
@@ -199,10 +219,10 @@ def _tiles(rows):
     keys, node, place = keys[fresh], node[fresh], place[fresh]
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     length = np.diff(np.append(edge, len(keys)))
-    shared = np.repeat(length, length) > 1
+    shared = (np.repeat(length, length) > 1) | hot
     rest = np.repeat(edge + length, length)[shared] - 1 - np.flatnonzero(shared)  # how many of the tile stand after it
-    run, node, place = np.repeat(np.arange(len(edge)), length)[shared], node[shared], place[shared]
-    size, far = sizes[node], length[run] > ALL_PAIRS_UP_TO
+    run, keys, node, place = np.repeat(np.arange(len(edge)), length)[shared], keys[shared], node[shared], place[shared]
+    size, far = sizes[node], (length[run] > short) | hot
     pairs, distance, alive = [], 1, np.arange(len(run))
     while True:
         alive = alive[rest[alive] >= distance]
@@ -218,12 +238,11 @@ def _tiles(rows):
         hit = here[(place[here] + least <= size[here]) & (place[there] + least <= size[there])]
         a, b = node[hit], node[hit + distance]
         pairs.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
-        distance = distance + 1 if distance < ALL_PAIRS_UP_TO else distance * 2
+        distance = distance + 1 if distance < short else distance * 2
     code = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, "i8")
     code = code[code // max(1, len(names)) != code % max(1, len(names))]
     raw = names.view("V16")
     schema = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("tile", pa.int64())])
-    bucket = rows.column("bucket")[0].as_py()
 
     def as_binary(which):
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(which), [None, pa.py_buffer(raw[which].tobytes())]).cast(pa.binary())
@@ -232,17 +251,17 @@ def _tiles(rows):
     if len(code):
         tables.append(pa.Table.from_arrays([pa.array(np.zeros(len(code), "i4")), as_binary(code // len(names)), as_binary(code % len(names)), pa.nulls(len(code), pa.int64())], schema=schema))
     if far.any():
-        # tiles with the same members are listed once
-        members, runs = node[far], run[far]
+        # tiles with the same members are listed once; those of hot shingles may have others elsewhere
+        members, runs, tile = node[far], run[far], keys[far]
         cuts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1], [True]]))
         seen, keep = set(), np.zeros(len(members), bool)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own = members[a:b].tobytes()
-            if own not in seen:
+            if hot or own not in seen:
                 seen.add(own)
                 keep[a:b] = True
-        members, runs = members[keep], runs[keep]
-        tables.append(pa.Table.from_arrays([pa.array(np.ones(len(members), "i4")), as_binary(members), pa.nulls(len(members), pa.binary()), pa.array((bucket << 32) + runs)], schema=schema))
+        members, tile = members[keep], tile[keep].view("i8")
+        tables.append(pa.Table.from_arrays([pa.array(np.ones(len(members), "i4")), as_binary(members), pa.nulls(len(members), pa.binary()), pa.array(tile)], schema=schema))
     return pa.concat_tables(tables) if tables else schema.empty_table()
 
 
@@ -325,17 +344,27 @@ def _join_block(rows):
     return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
 
 
-def _chunked(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """members (node, cluster) with n, chunk and chunks: a cluster's nodes are dealt to as many chunks as its size asks for."""
+def _chunked(members: DataFrame, nodes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """members (node, cluster) with n, chunk and chunks: a cluster's nodes are dealt to as many chunks as its sizes ask for.
+
+    Where its listed pairs are counted (cluster, pairs), also as many as their number asks for, but no more than its nodes have pairs.
+    """
     sized = members.join(nodes.select("node", "n"), "node")
-    chunks = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / SHINGLES_PER_CHUNK).alias("chunks"))
-    return sized.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    sums = sized.groupBy("cluster").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("copies"))
+    by_size = F.ceil(F.col("total") / SHINGLES_PER_CHUNK)
+    if pairs is not None:
+        sums = sums.join(pairs, "cluster")
+        by_size = F.greatest(by_size, F.least(F.ceil(F.sqrt(2 * F.col("pairs") / PAIRS_PER_CHUNK)), F.ceil(F.col("pairs") / F.col("copies"))))
+    chunks = sums.select("cluster", by_size.cast("long").alias("chunks"), "copies")
+    return lookup(sized, chunks, ["cluster"], sized.count()).drop("copies").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
 
 
 def _pair_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect what the given pairs (a, b) link. Pairs of one cluster of candidates meet in one place, or, for large clusters, in that of two chunks."""
     clusters = components(pairs)
-    members = stash(_chunked(clusters.withColumnRenamed("component", "cluster"), nodes), "jaccard-members")
+    labelled = clusters.withColumnRenamed("component", "cluster")
+    counted = pairs.join(labelled.withColumnRenamed("node", "a"), "a").groupBy("cluster").agg(F.count(F.lit(1)).alias("pairs"))
+    members = stash(_chunked(labelled, nodes, counted), "jaccard-members")
     at = lambda x: members.select(F.col("node").alias(x), F.col("cluster"), F.col("chunk").alias(f"chunk_{x}"))
     tile = F.xxhash64("cluster", F.least("chunk_a", "chunk_b"), F.greatest("chunk_a", "chunk_b"))
     placed = stash(pairs.join(at("a"), "a").join(at("b").drop("cluster"), "b").select("a", "b", tile.alias("tile")), "jaccard-placed")
@@ -349,8 +378,8 @@ def _pair_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
 
 def _block_links(held: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components in the clusters that tiles (tile, node, component) make."""
-    hubs = held.groupBy("tile").agg(F.min("node").alias("hub"))
-    clusters = components(held.join(hubs, "tile").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    hubs = held.groupBy("tile").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("copies"))
+    clusters = components(lookup(held, hubs, ["tile"], held.count()).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     members = _chunked(clusters.withColumnRenamed("component", "cluster"), nodes).join(held.select("node", "component").distinct(), "node")
     sent = members.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     sent = sent.select("node", "n", "component", "cluster", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
@@ -361,7 +390,7 @@ def _block_links(held: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id.
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, locator.
 
     A document's set holds its distinct five-word shingles; with fewer words,
     the whole sequence; without words, or with NULL text, it is empty, linked
@@ -370,29 +399,45 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     smallest doc_id that links reach. Equal sets always link. Repeated rows give
     repeated results; rows with a NULL doc_id are linked with nothing and have a
     NULL component_id. Of rows with one doc_id and different texts each has its
-    own set. Other columns are ignored, and an
+    own set. kept is true for one row of each component, of those with the smallest
+    doc_id that which comes first by locator, and for rows without links. Other columns are ignored, and an
     empty table gives an empty result.
 
     Sets are of 64-bit hashes and named by 128 bits.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stash(base.mapInArrow(_signatures, "kind int, doc_id long, n long, node binary, bits binary"), "jaccard-signatures", ["kind"])
+    return _joined(located(docs.select("doc_id", "text"), "locator"))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """docs, all its columns, with the one row of each component that jaccard_join keeps."""
+    name = free_name("locator", docs)
+    rows = located(docs, name)
+    dropped = _joined(rows.select("doc_id", "text", F.col(f"`{name}`").alias("locator"))).where("not kept").select(F.col("locator").alias("__dropped"))
+    return rows.join(dropped, rows[name] == dropped["__dropped"], "left_anti").select(columns_of(docs))
+
+
+def _joined(base: DataFrame) -> DataFrame:
+    """jaccard_join of rows doc_id, text, locator."""
+    base = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "locator")
+    signed = stash(base.mapInArrow(_signatures, "kind int, doc_id long, locator struct<file:string,row:bigint>, n long, node binary, bits binary"), "jaccard-signatures", ["kind"])
     rows = signed.where("kind = 0")
     frequencies = _frequencies(signed.where("kind = 1"))
     total = rows.agg(F.sum("n")).head()[0] or 0
     buckets = groups_for(total // 4, KEYS_PER_TILE_TASK, 12)
-    tiles = _keys(base.where("doc_id is not null"), frequencies, buckets).groupBy("bucket").applyInArrow(_tiles, "kind int, a binary, b binary, tile long")
+    tiles = _keys(base.where("doc_id is not null"), frequencies, buckets).groupBy("bucket").applyInArrow(_tiles(buckets), "kind int, a binary, b binary, tile long")
     tiles = stash(tiles, "jaccard-tiles", ["kind"])
 
-    nodes = stash(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-nodes")
+    least = F.min(F.struct("doc_id", "locator")).alias("least")
+    nodes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(least, F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
+    nodes = stash(nodes, "jaccard-nodes")
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     pairs = tiles.where("kind = 0").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
     pairs = stash(pairs.mapInArrow(_refuse_by_bits, "a binary, b binary, n_a long, n_b long"), "jaccard-candidates")
     held = tiles.where("kind = 1").select(F.col("a").alias("node"), "tile")
 
     # the arrays of all nodes that are compared, made from the text of one document each; merged whatever their number
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(held.select("node")).distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = base.join(wanted.hint("merge"), "doc_id").select("node", "text")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(held.select("node")).distinct().join(nodes.select("node", F.col("least.locator").alias("place")), "node")
+    texts = base.join(wanted.hint("merge"), base["locator"] == wanted["place"]).select("node", "text")
     sets = stash(texts.mapInArrow(_arrays, "node binary, own binary"), "jaccard-sets")
 
     links = _pair_links(pairs.select("a", "b"), nodes, sets)
@@ -400,22 +445,28 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     discard(pairs)
 
     # long tiles that still hold several components
-    held = held.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = held.groupBy("tile").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("tile")
-    held = stash(held.join(mixed, "tile"), "jaccard-mixed")
-    more = _block_links(held, nodes, sets)
+    held = stash(held.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-held")
+    mixed = held.groupBy("tile").agg((F.min("component") != F.max("component")).alias("several"), F.count(F.lit(1)).alias("copies")).where("several").drop("several")
+    several = stash(lookup(held, mixed, ["tile"], held.count()).drop("copies"), "jaccard-mixed")
+    more = _block_links(several, nodes, sets)
     found = components(links.unionByName(more))
-    discard(tiles, nodes, sets, first, held, links, more)
+    discard(tiles, sets, first, held, several, links, more)
 
-    named = rows.select("doc_id", "n", F.expr("if(doc_id is null, null, node)").alias("node")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # by node first, so that copies of one text needn't meet
+    named = nodes.select("node", "least", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumnRenamed("copies", "rows")
+    best = named.groupBy("component").agg(F.min("least").alias("best"), F.count(F.lit(1)).alias("copies"))
+    named = lookup(named, best, ["component"], nodes.count()).select("node", "best", F.col("rows").alias("copies"))
+    named = stash(named, "jaccard-named")
+    able = F.expr("node is not null and doc_id is not null")
+    out = lookup(rows.where(able).select("doc_id", "locator", "n", "node"), named, ["node"], rows.count())
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), (F.col("locator") == F.col("best.locator")).alias("kept"), "locator")
+    rest = rows.where(~able).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "locator")
+    return out.unionByName(rest)
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
     """Every whole text of documents."""
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("kept", "locator")
 
 
 OP4_SQL = r"""
