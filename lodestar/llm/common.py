@@ -96,13 +96,17 @@ def bucket_of(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
-    """About `rows` rows of df, chosen by a hash of `key`; all of them where df has no more."""
-    total = df.count()
-    if total <= rows:
-        return df
-    cut = math.ceil(rows / total * 1_000_000)
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < F.lit(cut))
+def bounded_sample(df: DataFrame, rows: int, seed: int) -> DataFrame:
+    """`rows` rows of df at most, those with the least hashes of all columns; all of them where df has no more.
+
+    Equal rows count once, so neither repeated nor NULL keys gather in a sample.
+    Only hashes are sorted, a top-k in every task before the merge; the rows
+    themselves are then filtered where they are.
+    """
+    at = free_name("__hash", df)
+    hashed = df.select("*", F.xxhash64(*columns_of(df), F.lit(seed)).alias(at))
+    cut = hashed.select(at).distinct().orderBy(at).limit(rows).agg(F.max(at)).head()[0]
+    return hashed.where(F.col(at) <= F.lit(cut)).dropDuplicates([at]).select(columns_of(df))
 
 
 def groups_for(total: int, per_group: int, least: int = 1) -> int:

@@ -223,7 +223,7 @@ def _links_of(nodes: DataFrame, dim: int, count: int) -> DataFrame:
     """node, links, a, b: counts of links with other nodes' vectors, and spanning links, for vectors of one dimension."""
     import numpy as np
 
-    sample = np.array([r["embedding"] for r in bounded_sample(nodes, "node", SAMPLE_ROWS, seed=1).select("embedding").collect()], "f8").reshape(-1, dim)
+    sample = np.array([r["embedding"] for r in bounded_sample(nodes, SAMPLE_ROWS, seed=1).select("embedding").collect()], "f8").reshape(-1, dim)
     if not len(sample):
         sample = np.zeros((1, dim))
     norms = np.sqrt((sample * sample).sum(1, keepdims=True))

@@ -117,6 +117,6 @@ def op5_langid(spark, sf_dir: str, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """All documents; learns from a bounded sample of those whose fold is not held out. A NULL doc_id is neither held out nor learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     learn = docs.where((bucket_of(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs, matrix = fit(bounded_sample(learn, "doc_id", train_rows, seed=5))
+    langs, matrix = fit(bounded_sample(learn, train_rows, seed=5))
     held = F.coalesce(bucket_of(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
     return identify(docs, langs, matrix).select("doc_id", held, "lang_pred", "score")

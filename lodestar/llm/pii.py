@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bucket_of, table, text_or_empty
+from lodestar.llm.common import bucket_of, columns_of, free_name, table, text_or_empty
 
 # The kinds in the order in which spans with one start are listed.
 KINDS = ["email", "ip", "card", "phone"]
@@ -339,22 +339,30 @@ def fit(docs: DataFrame, precision: float = 0.98) -> Model:
 
 
 def find_pii(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with base and spans: sorted arrays of (start, kind, stop), kind as its place in KINDS.
+    """docs with __base and __spans: sorted arrays of (start, kind, stop), kind as its place in KINDS.
 
     spans holds all base spans and the candidates whose score reaches the
     threshold of their generator and that overlap no base span; of such
     candidates that overlap each other the earliest, then longest, stays. NULL
     text is empty and has no spans. Rows are independent: repeated rows give
-    repeated results, other columns are kept, an empty table stays empty.
+    repeated results, an empty table stays empty. Other columns are kept; where
+    one has an added column's name, underscores follow the added one (span_columns).
     """
     text = text_or_empty()
     reached = lambda g: lambda c: model.score(c["f"]) >= F.lit(model.thresholds[g])
     proposed = [_plain(F.filter(_with_features(text, g), reached(g)), KINDS.index(GENERATORS[g][0])) for g in GENERATORS if model.thresholds[g] <= 1]
     none = F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)")
-    out = docs.drop("__base", "__more", "__spans").withColumn("__base", base_spans(text)).withColumn("__more", F.array_sort(F.concat(none, *proposed)))
-    free = F.filter("__more", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["stop"]) & (b["stop"] > c["start"])))
+    base, spans = span_columns(docs)
+    more = free_name("__more", docs)
+    out = docs.select("*", base_spans(text).alias(base), F.array_sort(F.concat(none, *proposed)).alias(more))
+    free = F.filter(more, lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (b["stop"] > c["start"])))
     apart = F.aggregate(free, none, lambda acc, c: F.when((F.size(acc) == 0) | (F.coalesce(F.try_element_at(acc, F.lit(-1))["stop"], F.lit(0)) <= c["start"]), F.concat(acc, F.array(c))).otherwise(acc))
-    return out.withColumn("__spans", F.array_sort(F.concat("__base", apart))).drop("__more")
+    return out.select(*columns_of(docs), base, F.array_sort(F.concat(base, apart)).alias(spans))
+
+
+def span_columns(docs: DataFrame) -> tuple[str, str]:
+    """The names that find_pii gives its columns: __base and __spans, or, where docs has these, with underscores after them."""
+    return free_name("__base", docs), free_name("__spans", docs)
 
 
 def _listed(spans: Column) -> Column:
@@ -369,7 +377,7 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
     The text is cut between spans, so every character outside them stays.
     Texts without spans, NULL ones too, stay as they are.
     """
-    found = find_pii(docs, model)
+    found, spans = find_pii(docs, model), span_columns(docs)[1]
     kinds = F.array(*[F.lit(REDACTION.format(k.upper())) for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
@@ -381,9 +389,9 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
         )
 
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    done = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
-    text = F.when(F.size("__spans") > 0, done).otherwise(F.col("text"))
-    return found.withColumn("text", text).drop("__base", "__spans")
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
+    text = F.when(F.size(spans) > 0, done).otherwise(F.col("text"))
+    return found.withColumn("text", text).select(columns_of(docs))
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
@@ -391,4 +399,4 @@ def op3_pii(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_pii(docs, fit(docs))
     count = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("__spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("__spans")).alias("spans"), F.size("__spans").cast("long").alias("n_spans"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import bounded_sample, bucket_of, table
+from lodestar.llm.common import bounded_sample, bucket_of, columns_of, free_name, table
 
 BITS = 16
 ORDERS = (2, 3)
@@ -83,8 +83,8 @@ def _logistic(margins, labels):
     return float(slope), float(offset)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 10):
-    """Weights by bucket (float64), bias, slope and offset."""
+def train(found: list, labels: list[int], seed: int = 10):
+    """Weights by bucket (float64), bias, slope and offset, from indicators of texts. The ratios and weights are of one part of the rows, slope and offset of the other."""
     import numpy as np
 
     y = np.array(labels)
@@ -92,22 +92,22 @@ def train(texts: list[str], labels: list[int], seed: int = 10):
     if len(set(labels)) < 2:
         p = (y.sum() + 1) / (len(y) + 2)
         return np.zeros(size), 0.0, 1.0, float(np.log(p / (1 - p)))
-    found = [indicators(t) for t in texts]
+    rng = np.random.default_rng(seed)
+    part = rng.random(len(y)) < 0.2
+    if len(set(y[part])) < 2 or len(set(y[~part])) < 2:
+        part = np.zeros(len(y), bool)
+    fit_on = np.flatnonzero(~part)
     per_class = [np.ones(size), np.ones(size)]
-    for idx, label in zip(found, labels, strict=True):
-        per_class[label][idx] += 1
+    for i in fit_on:
+        per_class[y[i]][found[i]] += 1
     ratio = np.log((per_class[1] / per_class[1].sum()) / (per_class[0] / per_class[0].sum()))
     rows = []
     for idx in found:
         val = ratio[idx]
         rows.append((np.append(idx, size), np.append(val, 1.0) / max(1.0, np.sqrt(len(idx)))))
     signs = np.where(y > 0, 1.0, -1.0)
-    weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    rng = np.random.default_rng(seed)
-    part = rng.random(len(y)) < 0.2
-    if len(set(y[part])) < 2 or len(set(y[~part])) < 2:
-        part = np.zeros(len(y), bool)
-    fit_on = np.flatnonzero(~part)
+    n, pos = len(fit_on), y[fit_on].sum()
+    weight = np.where(y > 0, n / (2 * pos), n / (2 * (n - pos)))
     weights = _dual_coordinate_descent([rows[i] for i in fit_on], signs[fit_on], size + 1, COST * weight[fit_on], EPOCHS, seed)
     check = np.flatnonzero(part) if part.any() else fit_on
     margins = np.array([float(weights[rows[i][0]] @ rows[i][1]) for i in check])
@@ -116,18 +116,26 @@ def train(texts: list[str], labels: list[int], seed: int = 10):
 
 
 def fit(labelled: DataFrame):
-    """Train on all rows of labelled (text, quality) in one task: give it a bounded sample."""
+    """Train on all rows of labelled (text, quality) in one task: give it a bounded sample. Indicators are made where the texts are; no text moves."""
+
+    def each(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [indicators(t.as_py() or "").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "found", "quality", "all"])
 
     def run(rows):
+        import numpy as np
         import pyarrow as pa
 
-        order = sorted(range(rows.num_rows), key=lambda i, k=rows.column("doc_id").to_pylist(): (k[i] is None, k[i] or 0))
+        order = sorted(range(rows.num_rows), key=lambda i, k=rows.select(["doc_id", "found", "quality"]).to_pylist(): (k[i]["doc_id"] is None, k[i]["doc_id"] or 0, k[i]["found"], k[i]["quality"]))
         rows = rows.take(pa.array(order, pa.int64()))
-        weights, bias, slope, offset = train([t or "" for t in rows.column("text").to_pylist()], rows.column("quality").to_pylist())
+        weights, bias, slope, offset = train([np.frombuffer(f.as_py(), "i4") for f in rows.column("found")], rows.column("quality").to_pylist())
         return pa.table({"weights": [weights.tobytes()], "bias": [bias], "slope": [slope], "offset": [offset]})
 
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("quality").cast("int").alias("quality"), F.lit(1).alias("all"))
-    out = rows.groupBy("all").applyInArrow(run, "weights binary, bias double, slope double, offset double").collect()
+    out = rows.mapInArrow(each, "doc_id long, found binary, quality int, `all` int").groupBy("all").applyInArrow(run, "weights binary, bias double, slope double, offset double").collect()
     import numpy as np
 
     if not out:
@@ -136,10 +144,13 @@ def fit(labelled: DataFrame):
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """docs (any columns) with quality_score, 0 to 1, in place of a column of that name. NULL text is empty text and is scored; texts are read whole; rows are independent."""
+    """docs (any columns) with quality_score, 0 to 1; where docs has that name, the added column has underscores after it.
+
+    NULL text is empty text and is scored; texts are read whole; rows are independent.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    docs = docs.drop("quality_score")
+    name = free_name("quality_score", docs)
     schema = docs.schema
     at = schema.names.index("text")
 
@@ -154,9 +165,14 @@ def score(docs: DataFrame, model) -> DataFrame:
                 idx = indicators(text.as_py() or "")
                 margin = (float(weights[idx].sum()) + bias) / max(1.0, float(np.sqrt(len(idx))))
                 out.append(1 / (1 + float(np.exp(-np.clip(slope * margin + offset, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(name, T.DoubleType())]))
+
 
-    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("quality_score", T.DoubleType())]))
+def accepted(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all their columns, whose score reaches the threshold."""
+    return score(docs, model).where(F.col(free_name("quality_score", docs)) >= threshold).select(columns_of(docs))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -168,7 +184,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     known = labels.where(F.col("quality").isin(0, 1) & (bucket_of(F.col("doc_id"), 5) != 0)).select(F.col("doc_id").alias("l_id"), "quality").distinct()
     chosen = None
     for label in (0, 1):
-        part = bounded_sample(known.where(F.col("quality") == label), "l_id", train_rows // 2, seed=10 + label)
+        part = bounded_sample(known.where(F.col("quality") == label), train_rows // 2, seed=10 + label)
         chosen = part if chosen is None else chosen.unionByName(part)
     # its size is bounded by the sample's, so that the documents needn't move
     texts = docs.select("doc_id", "text")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from conftest import same_rows
 
-from lodestar.llm import bpe, components, embedding_dedup, exact_dedup, jaccard, langid, lines, packing, pii, quality, registry, secrets
+from lodestar.llm import bpe, common, components, embedding_dedup, exact_dedup, jaccard, langid, lines, packing, pii, quality, registry, secrets
 from lodestar.llm import shingles as shingles_module
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -172,6 +172,7 @@ def test_redaction_and_added_spans(spark, docs):
         assert [tuple(s) for s in r["__base"]] == base(r.text) and set(base(r.text)) <= set(own)
     out = {r.doc_id: r.text for r in pii.redact(frame, model).collect()}
     assert out[1] == "call my phone [PHONE] now, or write to [EMAIL] ok"
+    assert pii.redact(docs, model).columns == docs.columns and "__base_" in pii.find_pii(docs, model).columns
     same = {(r.doc_id, r.text) for r in pii.redact(docs, pii.fit(docs)).select("doc_id", "text").collect()}
     assert same == {(r[0], r[1]) for r in ROWS}
 
@@ -380,7 +381,34 @@ def test_quality_held_out(spark):
 def test_quality_edges(spark, docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (7, 1, None), (9, None, 0), (None, 1, 0), (1, 1, 1), (6, 0, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
     scored = quality.score(docs, quality.fit(quality.labelled_sample(docs, labels)))
-    assert scored.count() == len(ROWS) and scored.where("quality_score is null or quality_score < 0 or quality_score > 1").count() == 0
+    assert scored.count() == len(ROWS) and scored.where("quality_score_ is null or quality_score_ < 0 or quality_score_ > 1").count() == 0
+    assert scored.where("quality_score is not null").count() == 0
+
+
+def test_quality_score_against_brute_force(spark):
+    texts = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{(i * 7 + k) % 9} the" for k in range(3 + i % 5)) + ("" if i % 3 else " the the the")) for i in range(60)] + [(60, ""), (61, None)]
+    frame = spark.createDataFrame([(*t, "own") for t in texts], "doc_id long, text string, quality_score string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    weights, bias, slope, offset = model = quality.fit(quality.labelled_sample(frame, labels))
+    got = {r.doc_id: r for r in quality.score(frame.repartition(3), model).collect()}
+    for doc_id, text in texts:
+        own, words = set(), (text or "").split()
+        points = [1, *map(ord, text or ""), 1]
+        for k in quality.indicators(text or ""):
+            own.add(int(k))
+        twice = sum(a == b for a, b in zip(words, words[1:]))
+        assert {2**quality.BITS + i for i, least in enumerate(quality.REPEATS) if twice >= least} == {k for k in own if 2**quality.BITS <= k < 2**quality.BITS + len(quality.REPEATS)}
+        assert len(points) >= 2 and (2**quality.BITS + len(quality.REPEATS) in own) == (not words)
+        margin = (sum(weights[k] for k in sorted(own)) + bias) / max(1.0, len(own) ** 0.5)
+        assert got[doc_id]["quality_score_"] == pytest.approx(1 / (1 + np.exp(-(slope * margin + offset))), abs=1e-9) and got[doc_id].quality_score == "own"
+    assert quality.accepted(frame, model).columns == frame.columns
+
+
+def test_bounded_sample_is_bounded(spark):
+    rows = spark.createDataFrame([(None, "x")] * 300 + [(1, "y")] * 300 + [(i, "z") for i in range(500)], "id long, t string").repartition(6)
+    got = common.bounded_sample(rows, 40, seed=1).collect()
+    assert len(got) == len(set(got)) == 40 and common.bounded_sample(rows, 10_000, seed=1).count() == 502
+    assert common.bounded_sample(rows.where("false"), 40, seed=1).count() == 0
 
 
 def test_dual_coordinate_descent_separates():
