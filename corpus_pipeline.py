@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
-columns of documents. NULL texts count as empty. Rows with a NULL doc_id are
-never dropped as copies, since nothing names them. Empty tables pass through.
+columns of documents. NULL texts count as empty. Stages drop rows by their place
+in their files, never by doc_id: of rows that share an id only those go whose
+text is a copy, and of equal rows one stays. The near-copies stage leaves rows
+with a NULL doc_id. Empty tables pass through; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -12,40 +14,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import exact_dedup, jaccard, packing, pii, quality
-from lodestar.llm.common import columns_of, stash, table
+from lodestar.llm.common import columns_of, free_name, stash, table
 
 #: Scores and trained spans are not expressible in SQL.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped; Spark broadcasts the ids only where their size allows."""
-    return docs.join(dropped.select(F.col("doc_id").alias("__dropped")).distinct(), F.col("doc_id") == F.col("__dropped"), "left_anti")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.fit(quality.labelled_sample(docs, table(spark, sf_dir, "labels")))
-    return quality.score(docs, model).where(F.col("quality_score") >= quality.THRESHOLD).select(columns_of(docs))
+    return quality.accepted(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    return exact_dedup.drop_copies(docs)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies."""
-    return _without(docs, jaccard.jaccard_join(docs).where("doc_id != component_id"))
+    return jaccard.drop_near_copies(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with personal data redacted; n_chars follows the text where it changed."""
     model = pii.fit(docs)
-    redacted = pii.redact(docs.withColumn("__chars", F.char_length("text").cast("long")), model)
+    before = free_name("__chars", docs)
+    redacted = pii.redact(docs.withColumn(before, F.char_length("text").cast("long")), model)
     if "n_chars" in docs.columns:
         changed = F.char_length("text").cast("long")
-        redacted = redacted.withColumn("n_chars", F.when(changed != F.col("__chars"), changed).otherwise(F.col("n_chars")))
+        redacted = redacted.withColumn("n_chars", F.when(changed != F.col(before), changed).otherwise(F.col("n_chars")))
     return redacted.select(columns_of(docs))
 
 
