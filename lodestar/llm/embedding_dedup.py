@@ -4,10 +4,12 @@ Vectors that are equal are one node. Unit vectors are rotated and split into
 low-dimensional blocks. Two vectors with cosine >= 0.9 have a squared distance
 of at most 0.2, so in some block their squared distance is within that block's
 share of it, shares being in proportion to the blocks' variance. Vectors are
-dealt to cells of the rotated space; of two cells that are near enough, each
-block is range-joined under its budget, and the union of the candidates is
-verified in double precision. Neither links nor pairs leave a task: only counts,
-and links that span what the task connects.
+dealt to cells of the rotated space, and sent to those cells only whose bounds
+they are near enough to. There each block is range-joined under its budget: its
+coordinates are cut into a tree of small boxes, and a vector meets only boxes
+within the budget. The union of the candidates is verified in double precision.
+Neither links nor pairs leave a task: only counts, and links that span what the
+task connects.
 """
 
 from __future__ import annotations
@@ -22,9 +24,13 @@ COSINE = 0.9
 BLOCK = 8
 #: Rows that the rotation and the cells are fitted to; any rotation and any cells give the same result.
 SAMPLE_ROWS = 20_000
-VECTORS_PER_TILE = 4096
-MOST_CELLS = 64
-SLAB = 256
+VECTORS_PER_TILE = 8192
+#: Rows of the sample that a cell needs at least; cells that would have fewer are dealt to tiles by hash instead.
+SAMPLE_PER_CELL = 8
+VECTORS_PER_BOX = 64
+SLAB = 2048
+#: More than the rounding of a cosine in double precision: nearer to the threshold one formula decides.
+EDGE = 1e-9
 #: More than the rounding of single precision over a block.
 SLACK = 1e-5
 
@@ -74,31 +80,80 @@ def _unit(column, dim: int):
     return own, norms, own / norms[:, None]
 
 
-def near(left, right, left_norms, right_norms, left_turned, right_turned, blocks, budgets, same: bool):
-    """Index pairs of linked rows, slab by slab; of one set of rows with itself only pairs in order."""
+def boxes_of(points, most: int = VECTORS_PER_BOX):
+    """Row numbers box by box, the boxes' first places in them, and their bounds: halves along the widest side until at most `most` rows are left."""
     import numpy as np
 
-    halves = {}
-    for b, (lo, hi) in enumerate(blocks):
-        r = np.ascontiguousarray(right_turned[:, lo:hi], "f4")
-        halves[b] = (np.ascontiguousarray(left_turned[:, lo:hi], "f4"), np.ascontiguousarray(r.T), (r * r).sum(1) / 2)
+    todo, done = [np.arange(len(points))], []
+    while todo:
+        own = todo.pop()
+        if len(own) > most:
+            some = points[own]
+            axis = int((some.max(0) - some.min(0)).argmax())
+            half = np.argpartition(some[:, axis], len(own) // 2)
+            todo += [own[half[: len(own) // 2]], own[half[len(own) // 2 :]]]
+        elif len(own):
+            done.append(own)
+    low = np.array([points[own].min(0) for own in done])
+    high = np.array([points[own].max(0) for own in done])
+    return done, low, high
+
+
+def _gaps(points, low, high):
+    """Squared distance of each point to each box."""
+    import numpy as np
+
+    total = np.zeros((len(points), len(low)), points.dtype)
+    for d in range(points.shape[1]):
+        x = points[:, d, None]
+        gap = np.maximum(np.maximum(low[None, :, d] - x, x - high[None, :, d]), 0)
+        total += gap * gap
+    return total
+
+
+def near(left, right, left_norms, right_norms, left_turned, right_turned, blocks, budgets, same: bool, counts: dict | None = None):
+    """Index pairs of linked rows, slab by slab; of one set of rows with itself only pairs in order.
+
+    counts, where given, adds up the pairs whose distance in a block was computed, and the candidates.
+    """
+    import numpy as np
+
+    if not len(left) or not len(right):
+        return
+    trees = []
+    for lo, hi in blocks:
+        own = np.ascontiguousarray(right_turned[:, lo:hi], "f4")
+        rows, low, high = boxes_of(own)
+        trees.append((np.ascontiguousarray(left_turned[:, lo:hi], "f4"), [(at, np.ascontiguousarray(own[at].T), (own[at] * own[at]).sum(1) / 2) for at in rows], low, high))
     for at in range(0, len(left), SLAB):
         rows = slice(at, at + SLAB)
-        found = None
-        for b in halves:
-            mine, theirs, half = halves[b]
+        found = np.zeros((len(left[rows]), len(right)), bool)
+        for (mine, boxes, low, high), budget in zip(trees, budgets, strict=True):
             part = mine[rows]
-            # |x - y|^2 <= budget  <=>  x.y - |y|^2 / 2 >= (|x|^2 - budget) / 2
-            close = part @ theirs - half >= (((part * part).sum(1) - budgets[b] - SLACK) / 2)[:, None]
-            found = close if found is None else np.logical_or(found, close, out=found)
+            half = ((part * part).sum(1) - budget - SLACK) / 2
+            reached = _gaps(part, low, high) <= budget + SLACK
+            for b, (cols, theirs, theirs_half) in enumerate(boxes):
+                here = np.flatnonzero(reached[:, b])
+                if not len(here):
+                    continue
+                # |x - y|^2 <= budget  <=>  x.y - |y|^2 / 2 >= (|x|^2 - budget) / 2
+                i, j = np.nonzero(part[here] @ theirs - theirs_half >= half[here, None])
+                found[here[i], cols[j]] = True
+                if counts is not None:
+                    counts["compared"] = counts.get("compared", 0) + len(here) * len(cols)
         i, j = np.nonzero(found)
         if same:
             later = j > i + at
             i, j = i[later], j[later]
+        if counts is not None:
+            counts["candidates"] = counts.get("candidates", 0) + len(i)
+        exact = lambda i, j: np.einsum("ij,ij->i", left[rows][i], right[j]) / left_norms[rows][i] / right_norms[j]  # noqa: E731, B023
         if len(i) > 0.01 * found.size:
-            cosine = (left[rows] @ right.T / left_norms[rows, None] / right_norms[None, :])[i, j]
+            cosine = (left[rows] @ right.T)[i, j] / left_norms[rows][i] / right_norms[j]
+            edge = np.flatnonzero(np.abs(cosine - COSINE) < EDGE)
+            cosine[edge] = exact(i[edge], j[edge])
         else:
-            cosine = np.einsum("ij,ij->i", left[rows][i], right[j]) / left_norms[rows][i] / right_norms[j]
+            cosine = exact(i, j)
         hit = cosine >= COSINE
         yield i[hit] + at, j[hit]
 
@@ -115,8 +170,8 @@ def _join_tile(layout, dim):
         side = rows.column("side").to_numpy()
         own, norms, unit = _unit(rows.column("embedding").combine_chunks(), dim)
         turned = unit @ rotation
+        same = rows.column("x")[0] == rows.column("y")[0]
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = not len(b)
         b = a if same else b
         linked = np.zeros(len(ids), "i8")
         label = np.arange(len(ids))
@@ -209,44 +264,53 @@ def _boxes(layout, dim, cells):
     return run
 
 
-def reachable(low, high) -> list[list[int]]:
-    """For each cell those, itself included, to whose box the squared distance is within the threshold."""
-    import numpy as np
+def _reached(layout, dim, low, high, firsts):
+    """For each vector the tiles of all cells whose bounds are within the threshold."""
+    rotation = layout[0]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        tiles = [np.arange(a, b) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                _, _, unit = _unit(part.column(2), dim)
+                within = _gaps(unit @ rotation, low, high) <= 2 - 2 * COSINE + SLACK
+                lists = [np.concatenate([tiles[c] for c in np.flatnonzero(row)]) for row in within]
+                others = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]).astype("i4")), pa.array(np.concatenate(lists).astype("i4")))
+                yield pa.RecordBatch.from_arrays([*part.columns, others], names=["node", "weight", "embedding", "cell", "others"])
 
-    gap = np.maximum(0, np.maximum(low[:, None] - high[None], low[None] - high[:, None]))
-    gap = np.where(np.isfinite(gap), gap, 0)
-    near_enough = (gap * gap).sum(2) <= 2 - 2 * COSINE + SLACK
-    return [np.flatnonzero(row).tolist() for row in near_enough]
+    return run
 
 
-def _links_of(nodes: DataFrame, dim: int, count: int) -> DataFrame:
+def _links_of(nodes: DataFrame, dim: int, count: int, kind: str) -> DataFrame:
     """node, links, a, b: counts of links with other nodes' vectors, and spanning links, for vectors of one dimension."""
     import numpy as np
 
-    sample = np.array([r["embedding"] for r in bounded_sample(nodes, SAMPLE_ROWS, seed=1).select("embedding").collect()], "f8").reshape(-1, dim)
+    sample = np.array([r["embedding"] for r in bounded_sample(nodes.select("embedding"), SAMPLE_ROWS, seed=1).collect()], "f8").reshape(-1, dim)
     if not len(sample):
         sample = np.zeros((1, dim))
     norms = np.sqrt((sample * sample).sum(1, keepdims=True))
     cells = 1
-    while cells < MOST_CELLS and cells * VECTORS_PER_TILE < count:
+    while cells * SAMPLE_PER_CELL * 2 <= len(sample) and cells * VECTORS_PER_TILE < count:
         cells *= 2
     layout = fit_layout(sample / np.where(norms > 0, norms, 1), cells)
-    placed = stash(nodes.select("node", "weight", "embedding").mapInArrow(_cells(layout, dim), "node long, weight long, embedding array<float>, cell long"), "embedding-cells")
+    placed = stash(nodes.select("node", "weight", "embedding").mapInArrow(_cells(layout, dim), f"node long, weight long, embedding {kind}, cell long"), "embedding-cells")
     boxes = placed.mapInArrow(_boxes(layout, dim, cells), "cell long, count long, low array<double>, high array<double>")
     boxes = boxes.groupBy("cell").agg(F.sum("count").alias("count"), *[F.array(*[f(F.col(name)[i]) for i in range(dim)]).alias(name) for name, f in (("low", F.min), ("high", F.max))]).collect()
     low, high, chunks = np.full((cells, dim), np.inf), np.full((cells, dim), -np.inf), [0] * cells
     for r in boxes:
         low[r["cell"]], high[r["cell"]], chunks[r["cell"]] = r["low"], r["high"], -(-r["count"] // VECTORS_PER_TILE)
     firsts = np.cumsum([0, *chunks]).tolist()
-    near_cells = [[c for c in row if chunks[c]] if chunks[i] else [] for i, row in enumerate(reachable(low, high))]
 
     # tiles are numbered through all cells; a vector goes to the pairs of its own tile with all tiles of cells in reach
-    ranges = F.array(*[F.array(*[F.struct(F.lit(firsts[c]).alias("from"), F.lit(firsts[c + 1] - 1).alias("to")) for c in row]) if row else F.array().cast("array<struct<from:int,to:int>>") for row in near_cells])
     cell = F.col("cell").cast("int")
     first, size = F.array(*[F.lit(v) for v in firsts[:-1]]), F.array(*[F.lit(max(1, v)) for v in chunks])
     mine = (F.get(first, cell) + F.pmod(F.xxhash64("node"), F.get(size, cell)).cast("int")).alias("tile")
-    others = F.flatten(F.transform(F.get(ranges, cell), lambda r: F.sequence(r["from"], r["to"])))
-    sent = placed.select("node", "weight", "embedding", mine, others.alias("others")).select("node", "weight", "embedding", "tile", F.explode("others").alias("other"))
+    reached = placed.mapInArrow(_reached(layout, dim, low, high, firsts), f"node long, weight long, embedding {kind}, cell long, others array<int>")
+    sent = reached.select("node", "weight", "embedding", mine, "others").select("node", "weight", "embedding", "tile", F.explode("others").alias("other"))
     sent = sent.select("node", "weight", "embedding", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
     return sent.groupBy("x", "y").applyInArrow(_join_tile(layout, dim), "node long, links long, a long, b long")
 
@@ -263,7 +327,8 @@ def embedding_dedup(vectors: DataFrame, id_column: str = "vec_id") -> DataFrame:
     that links reach. Other columns, labels too, are ignored; an empty table
     gives an empty result.
     """
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(~bad & some, F.lit(False))
@@ -273,7 +338,7 @@ def embedding_dedup(vectors: DataFrame, id_column: str = "vec_id") -> DataFrame:
     dims = [(r["dim"], r["count"]) for r in nodes.groupBy(F.size("embedding").alias("dim")).count().collect()]
     joined = None
     for dim, count in sorted(dims):
-        part = _links_of(nodes.where(F.size("embedding") == dim), dim, count)
+        part = _links_of(nodes.where(F.size("embedding") == dim), dim, count, kind)
         joined = part if joined is None else joined.unionByName(part)
     if joined is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -121,6 +121,38 @@ def test_embeddings_against_brute_force(spark):
         assert got[i].kept == (i == min(reach))
 
 
+def test_blocks_prune_and_lose_nothing():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(400, 64))
+    rows = (centres[rng.integers(0, 400, 6000)] + rng.normal(size=(6000, 64)) * 0.25).astype("f8")
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    rotation, blocks, budgets, _ = embedding_dedup.fit_layout(unit[:2000], 1)
+    counts: dict = {}
+    norms, turned = np.linalg.norm(rows, axis=1), unit @ rotation
+    got = {(int(i), int(j)) for a, b in embedding_dedup.near(rows, rows, norms, norms, turned, turned, blocks, budgets, True, counts) for i, j in zip(a, b, strict=True)}
+    cosine = unit @ unit.T
+    i, j = np.nonzero(np.triu(cosine >= 0.9, 1))
+    assert got == set(zip(i.tolist(), j.tolist(), strict=True)) and len(got) > 10_000
+    assert counts["candidates"] < 0.03 * 6000**2 / 2 and counts["compared"] < 0.5 * len(blocks) * 6000**2
+
+
+def test_vectors_go_to_cells_in_reach_only(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "VECTORS_PER_TILE", 100)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 16))
+    vectors = (centres[np.arange(1600) % 8] + rng.normal(size=(1600, 16)) * 0.1).astype("f8")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_dedup(frame).collect()}
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert all(got[i] == links[i] for i in range(1600))
+    rotation, _, _, splits = layout = embedding_dedup.fit_layout(unit, 16)
+    turned = unit @ rotation
+    cell = embedding_dedup.cell_of(turned, splits)
+    low, high = (np.array([f(turned[cell == c]) for c in range(16)]) for f in (lambda x: x.min(0), lambda x: x.max(0)))
+    assert (embedding_dedup._gaps(turned, low, high) <= 0.2).mean() < 0.5 and layout
+
+
 # Personal data
 
 # The base patterns as the contract has them.
