@@ -1,17 +1,20 @@
 """Byte-pair encoding and decoding as streaming state machines over a public vocabulary file.
 
-The encoder is a transducer with bounded lookahead. Text is cut into words by
-the vocabulary file's own rules; a word is fed symbol by symbol. After each
-symbol the transducer knows, for every recent position, the last token of the
-encoding of the symbols so far: the one token that ends there, starts where
-another such encoding ends, and stands next to that encoding's last token as
-the merge list would leave it. No later token can reach back further than the
-longest token of the merge list, so that length is the sufficient lookahead:
-once all positions within it descend from one earlier position, everything
-before that position is stable and is emitted. Memory holds that window only.
-
-Words of usual length are looked up in a bounded cache first. The decoder turns
-ids into bytes and bytes into text through an incremental UTF-8 state machine.
+The encoder is a transducer with bounded lookahead. Text comes in pieces and is
+cut into words by the vocabulary file's own rules; a word is fed symbol by
+symbol. After each symbol the transducer knows, for every recent position, the
+last token of the encoding of the symbols so far: the one token that ends there,
+starts where another such encoding ends, and stands next to that encoding's last
+token as the merge list would leave it. No later token can reach back further
+than the longest token of the merge list, so that length is the sufficient
+lookahead: once all positions within it descend from one earlier position,
+everything before that position is stable and is emitted. The transducer's
+memory holds that window only; the encoder's, a piece and the longest run without
+white space.
+
+A bounded cache keeps what the transducer gave for chunks and words of usual
+length. The decoder turns ids into bytes and bytes into text through an
+incremental UTF-8 state machine, block by block as ids come.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from lodestar.llm.common import Cache, held, table
 
 CACHE_ENTRIES = 800_000
 CACHED_CHARS = 48
+#: A text is encoded in pieces of so many characters.
+PIECE_CHARS = 1 << 16
 
 
 def default_vocabulary() -> str:
@@ -71,6 +76,8 @@ class Merges:
         #: Symbols of the longest token: no token of a later position starts further back.
         self.lookahead = max(self.length(s) for s in self.ids)
         self._next_to: dict[tuple[str, str], bool] = {}
+        #: The ends of all tokens: what isn't among them ends no token.
+        self.tails = {s[i:] if self.suffix == "" or not s.endswith(self.suffix) or s == self.suffix else s[i : -len(self.suffix)] + self.suffix for s in self.ids for i in range(self.length(s))}
 
     def length(self, token: str) -> int:
         return len(token.removesuffix(self.suffix)) if self.suffix and token != self.suffix else len(token)
@@ -119,25 +126,35 @@ class Transducer:
         self.last: list[tuple[int, str]] = [(-1, "")]  # for each position from it: where the last token starts, the token
         self.most = 0  # the longest window so far
 
-    def feed(self, symbol: str) -> Iterator[str]:
-        m, window, last = self.merges, self.window, self.last
-        window.append(symbol)
-        n = len(window)
-        self.most = max(self.most, n)
-        token, found = "", None
-        tails = []
-        for start in range(n - 1, max(-1, n - 1 - m.lookahead), -1):
-            token = window[start] + token
-            if token in m.ids:
-                tails.append((start, token))
-        for start, token in reversed(tails):
-            before = last[start]
-            if before is not None and (before[1] == "" or m.adjacent(before[1], token)):
-                found = (start, token)
-                break
-        last.append(found)
-        if n % m.lookahead == 0:
-            yield from self._settle()
+    def feed(self, symbols: Iterable[str]) -> Iterator[str]:
+        """Take symbols one after the other; give the tokens that have become stable."""
+        m, window = self.merges, self.window
+        ids, tails, known, reach = m.ids, m.tails, m._next_to, m.lookahead
+        for symbol in symbols:
+            window.append(symbol)
+            last, n = self.last, len(window)
+            start, token, found = n - 1, symbol, None
+            lowest = max(0, n - reach)
+            while True:
+                if token in ids:
+                    before = last[start]
+                    if before is not None:
+                        left = before[1]
+                        beside = True if left == "" else known.get((left, token))
+                        if beside or (beside is None and m.adjacent(left, token)):
+                            found = (start, token)
+                            break
+                start -= 1
+                if start < lowest:
+                    break
+                token = window[start] + token
+                if token not in tails:
+                    break
+            last.append(found)
+            if n > self.most:
+                self.most = n
+            if n % reach == 0:
+                yield from self._settle()
 
     def _settle(self) -> Iterator[str]:
         """Emit what every position that a later token may start from has in common."""
@@ -172,7 +189,7 @@ class Transducer:
 class Encoder(Cache):
     """Maps a chunk without white space to the bytes of its ids, little-endian and unsigned, four to an id.
 
-    A bounded cache keeps chunks and words of usual length. Chunks of any length are encoded by the transducer.
+    A bounded cache keeps chunks and words of usual length. All others are encoded by the transducer.
     """
 
     def __init__(self, path: str) -> None:
@@ -185,6 +202,8 @@ class Encoder(Cache):
         # The vocabulary file's rules for words and for white space.
         self._word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self._odd_space = re.compile("[\x1c-\x1f]")
+        self.whole = whole
+        self.fed = 0  # words that went through the transducer
         self._chunk = re.compile("[^\t-\r \x85\xa0  -     　]+")
         self._space = re.compile("[\t-\r \x85\xa0  -     　]")
 
@@ -232,10 +251,11 @@ class Encoder(Cache):
         m = self.merges
         symbols = [m.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
         symbols[-1] += m.suffix
-        if len(symbols) <= m.lookahead:  # the whole word lies within the lookahead
+        if self.whole:
             return m.merge(symbols)
+        self.fed += 1
         machine = Transducer(m)
-        return [token for symbol in symbols for token in machine.feed(symbol)] + machine.end()
+        return [*machine.feed(symbols), *machine.end()]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, four bytes to an id."""
@@ -246,16 +266,23 @@ class Encoder(Cache):
         """The same for a text that comes in pieces; holds back the chunk that the next piece may go on with."""
         held = ""
         for piece in pieces:
-            held += piece
-            cut = max((m.end() for m in self._space.finditer(held[-4096:])), default=0)
-            cut = max(0, len(held) - 4096) + cut if cut else 0
+            cut = len(held)
+            while cut and not self._space.match(held[cut - 1]):
+                cut -= 1
             if cut:
                 yield self.encode(held[:cut])
-                held = held[cut:]
+            held = held[cut:] + piece
         if held:
             yield self.encode(held)
 
 
+def pieces_of(text: str, size: int | None = None) -> Iterator[str]:
+    """A text in pieces of PIECE_CHARS."""
+    size = size or PIECE_CHARS
+    for at in range(0, len(text), size):
+        yield text[at : at + size]
+
+
 class Decoder:
     """Ids to text, token by token."""
 
@@ -274,9 +301,18 @@ class Decoder:
             ends = bool(self.suffix) and name.endswith(self.suffix)
             self.plain.append(bytes(byte_of[c] for c in (name[: -len(self.suffix)] if ends else name)) + (b" " if ends else b""))
 
-    def joined(self, ids: list[int]) -> bytes:
-        """UTF-8 of the token names with spaces between them: what a vocabulary file without a decoder stands for."""
-        return b" ".join(map(self.names.__getitem__, ids))
+    def named(self, blocks: Iterable[list[int]]) -> Iterator[str]:
+        """Text as a vocabulary file without a decoder stands for: the names of tokens with spaces between them, a piece for each block of ids.
+
+        The machine's state is whether a token came before, and the bytes of a character that isn't whole yet.
+        """
+        machine, names, first = codecs.getincrementaldecoder("utf-8")(errors="replace"), self.names, True
+        for ids in blocks:
+            if ids:
+                raw = b" ".join(map(names.__getitem__, ids))
+                yield machine.decode(raw if first else b" " + raw)
+                first = False
+        yield machine.decode(b"", True)
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Pieces of text as soon as their bytes are whole; broken bytes become the replacement character."""
@@ -327,14 +363,26 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_column: str
         def one(batch):
             out = {"doc_id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if keep_ids else {})
             for text in batch.column(1):
-                ids = encoder.encode(text.as_py() or "")
-                out["n_tokens"].append(len(ids) // 4)
-                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                rows = np.frombuffer(ids, "<u4").tolist()
-                out["decoded_sha256"].append(hashlib.sha256(decoder.joined(rows)).hexdigest())
+                of_ids, of_text, count, kept = hashlib.sha256(), hashlib.sha256(), 0, []
+
+                def blocks(text=text.as_py() or ""):
+                    nonlocal count
+                    for raw in encoder.encode_stream(pieces_of(text)):
+                        of_ids.update(raw)
+                        count += len(raw) // 4
+                        if keep_ids:
+                            kept.append(raw)
+                        yield np.frombuffer(raw, "<u4").tolist()
+
+                for piece in decoder.named(blocks()):
+                    of_text.update(piece.encode("utf-8"))
+                out["n_tokens"].append(count)
+                out["ids_sha256"].append(of_ids.hexdigest())
+                out["decoded_sha256"].append(of_text.hexdigest())
                 if keep_ids:
+                    ids = b"".join(kept)
                     out["ids"].append(ids)
-                    out["decoded"].append(decoder.text(rows))
+                    out["decoded"].append(decoder.text(np.frombuffer(ids, "<u4").tolist()))
             return out
 
         return one

@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUE
         return pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
     def make(path):
-        encoder = held(("encoder", path), lambda: Encoder(path))
+        encoder = held(("whole-words", path), lambda: Encoder(path, whole=True))
         end = END_ID.to_bytes(4, "little")
 
         def one(batch):
@@ -87,7 +87,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
     and still has its end id. Repeated rows are packed as often as they come; a
     NULL doc_id is packed like any other. Ties in length go by doc_id, start and
     checksum. The group of a piece comes from a hash of its document's id,
-    length and first checksum and of the piece's place, so no text, source or id
+    number of tokens and the piece's own checksum, so no text, source or id
     gathers in one group unless whole rows are repeated.
     """
     groups = groups_for(docs.count(), docs_per_group)

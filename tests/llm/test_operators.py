@@ -306,17 +306,48 @@ def test_encoder_equals_library():
     for text in texts:
         ids = np.frombuffer(own.encode(text), "<u4").tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids, text[:60]
-        assert back.joined(ids).decode() == library.decode(ids, skip_special_tokens=False)
+        assert "".join(back.named([ids[:1], [], ids[1:3], ids[3:]])) == library.decode(ids, skip_special_tokens=False)
         assert b"".join(own.encode_stream([text[i : i + 11] for i in range(0, len(text), 11)])) == own.encode(text)
+    assert own.fed > 500
 
 
 def test_transducer_keeps_a_bounded_window():
     merges = bpe.Merges(bpe.default_vocabulary())
     machine = bpe.Transducer(merges)
-    out = [t for i in range(20_000) for t in machine.feed("abcdefgh"[i % 8])]
+    out = [t for i in range(20_000) for t in machine.feed(["abcdefgh"[i % 8]])]
     assert machine.most <= 4 * merges.lookahead and len(out) > 5000
 
 
+def test_encoding_a_long_text_takes_constant_memory():
+    import tracemalloc
+
+    encoder, decoder = bpe.Encoder(bpe.default_vocabulary()), bpe.Decoder(bpe.default_vocabulary())
+    words = [f"{'abcdefgh'[i % 8]}{i % 991}e " for i in range(20_000)]
+
+    def peak(times):
+        tracemalloc.start()
+        ids = (np.frombuffer(raw, "<u4").tolist() for raw in encoder.encode_stream(piece for _ in range(times) for piece in bpe.pieces_of("".join(words))))
+        size = sum(map(len, decoder.named(ids)))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return size, top
+
+    (_, _), (short, low), (long, high) = peak(1), peak(2), peak(40)
+    assert long > 15 * short and long > 5_000_000 and high < 1.5 * low
+
+
+def test_transducer_gives_every_new_word():
+    path = bpe.default_vocabulary()
+    own = bpe.Encoder(path)
+    rng = random.Random(11)
+    words = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randint(1, 60))) for _ in range(3000)}
+    for word in words:
+        symbols = [own.merges.symbols[b] for b in word.encode()]
+        symbols[-1] += own.merges.suffix
+        assert own.tokens(word) == own.merges.merge(symbols), word
+    assert own.fed == len(words)
+
+
 def test_decoder_round_trip():
     path = bpe.default_vocabulary()
     own, back = bpe.Encoder(path), bpe.Decoder(path)
