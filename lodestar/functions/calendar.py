@@ -30,10 +30,12 @@ def dates_overlap(left: Column, right: Column) -> Column:
 
 
 def date_specificity(asked: Column, own: Column) -> Column:
-    """3 equal day sets, 2 asked days within the event's, 1 some shared, 0 none."""
-    a, b = F.array_sort(asked), F.array_sort(own)
-    inside = (F.size(F.array_except(a, b)) == 0) & (F.size(a) > 0)
-    return F.when((F.size(a) > 0) & (a == b), 3).when(inside, 2).when(F.arrays_overlap(a, b), 1).otherwise(0)
+    """Of structs of years, months and days: 3 equal day sets, 2 asked days within the event's, 1 dates that overlap, 0 others and missing dates."""
+    a, b = F.array_sort(F.array_distinct(asked["days"])), F.array_sort(F.array_distinct(own["days"]))
+    both = (F.size(a) > 0) & (F.size(b) > 0)
+    inside = F.size(F.array_except(a, b)) == 0
+    known = asked.isNotNull() & own.isNotNull()
+    return F.coalesce(F.when(~known, 0).when(both & (a == b), 3).when(both & inside, 2).when(dates_overlap(asked, own), 1), F.lit(0))
 
 
 def date_span(raw: Column, source_field: Column | None = None, fallback_year: Column | None = None) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -9,27 +10,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that name a gender, and what they name.
-GENDERS = {"men": "men", "mens": "men", "man": "men", "male": "men", "boys": "men", "women": "women", "womens": "women", "woman": "women", "female": "women", "ladies": "women", "girls": "women", "mixed": "mixed"}
+GENDERS = {"men": "men", "mens": "men", "male": "men", "women": "women", "womens": "women", "woman": "women", "female": "women", "mixed": "mixed"}
 # Plural units and their singular.
-UNITS = {"metres": "metre", "meters": "metre", "meter": "metre", "kilometres": "kilometre", "kilometers": "kilometre", "kilometer": "kilometre", "kilograms": "kg", "kilogram": "kg", "kilogrammes": "kg"}
+UNITS = {"metres": "metre", "meters": "metre", "meter": "metre", "kilometres": "kilometre", "kilometers": "kilometre", "kilometer": "kilometre", "kms": "km"}
 # Words of a venue query that say nothing.
-VENUE_STOP = ["the", "at", "of", "in", "and", "on", "a", "an"]
+VENUE_STOP = ["the", "and", "at", "of", "olympic", "olympics", "centre", "center"]
+#: Characters outside ASCII whose case folding holds ASCII letters, by rule from Unicode: ligatures, sharp and long s and some more.
+ASCII_FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and re.search("[a-z0-9]", c.casefold())}
 
 
-def fold(value: str | None) -> str | None:
-    """Compatibility forms, no combining marks, dashes as spaces, single spaces, case-folded."""
+def fold(value: str | None) -> str:
+    """Compatibility forms, no combining marks, dashes as spaces, single spaces, case-folded; nothing for NULL."""
     if value is None:
-        return None
+        return ""
     text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", value))
     text = "".join(" " if c in "-–—" else c for c in text if not unicodedata.combining(c))
     return " ".join(text.split()).casefold()
 
 
 def fold_text(column: Column | str) -> Column:
-    """fold() over batches of values; NULL stays NULL."""
+    """fold() over batches of values; NULL gives ''."""
 
     def run(values: pd.Series) -> pd.Series:
-        return values.map(fold, na_action="ignore")
+        return values.map(lambda v: fold(v) if isinstance(v, str) else "")
 
     return F.pandas_udf(run, "string")(column)
 
@@ -61,10 +64,11 @@ def event_name_core(normalized: Column) -> Column:
 
 
 def names_match(left: Column, right: Column) -> Column:
-    """Normalised names are equal, or their cores are equal, not empty, and their genders don't contradict."""
-    core, other = event_name_core(left), event_name_core(right)
+    """Normalised names are equal, or both have words, their cores are equal and their genders don't contradict. No name matches none."""
     a, b = gender_of(left), gender_of(right)
-    return (left == right) | ((core == other) & (core != "") & (a.isNull() | b.isNull() | (a == b)))
+    worded = (F.size(name_tokens(left)) > 0) & (F.size(name_tokens(right)) > 0)
+    alike = worded & (event_name_core(left) == event_name_core(right)) & (a.isNull() | b.isNull() | (a == b))
+    return (left != "") & (right != "") & ((left == right) | alike)
 
 
 def venue_tokens(query: Column) -> Column:
@@ -72,16 +76,24 @@ def venue_tokens(query: Column) -> Column:
 
 
 def venue_score(query: Column, venue: Column) -> Column:
-    """100 equal, 70 venue holds query, 60 query holds venue, 40 all words of the query in the venue, else 0."""
-    words = venue_tokens(query)
-    within = (F.size(words) > 0) & (F.size(F.array_except(words, name_tokens(venue))) == 0)
-    usable = (query != "") & (venue != "")
-    return F.coalesce(F.when(usable & (query == venue), 100).when(usable & F.contains(venue, query), 70).when(usable & F.contains(query, venue), 60).when(usable & within, 40).otherwise(0), F.lit(0))
+    """Of folded texts, by their letters and digits: 100 equal, 70 venue holds query, 60 query holds venue; 40 all words of the query that say something in the venue, else 0."""
+    a, b = compact_alnum(query), compact_alnum(venue)
+    words = venue_tokens(normalize_event_name(query))
+    within = (F.size(words) > 0) & (F.size(F.array_except(words, name_tokens(normalize_event_name(venue)))) == 0)
+    return F.coalesce(F.when((a == "") | (b == ""), 0).when(a == b, 100).when(F.contains(b, a), 70).when(F.contains(a, b), 60).when(within, 40), F.lit(0))
 
 
 def tokenize(text: Column) -> Column:
     """Case-folded runs of a-z and 0-9."""
-    return F.regexp_extract_all(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(ascii_casefold(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def ascii_casefold(text: Column) -> Column:
+    """Case folding as far as letters of ASCII come from it; other letters are in lower case."""
+    folded = text
+    for c, ascii_form in ASCII_FOLDS.items():
+        folded = F.replace(folded, F.lit(c), F.lit(ascii_form))
+    return F.lower(F.when(text.rlike(f"[{''.join(ASCII_FOLDS)}]"), folded).otherwise(text))
 
 
 def packed_ints(values: Column) -> Column:

@@ -15,9 +15,14 @@ def pool_filter(events: DataFrame, sport: str, year: int, season: str) -> DataFr
 
 
 def title_lookup(events: DataFrame, titles: DataFrame) -> DataFrame:
-    """titles (asked) with the events of that title; only titles without an exact match are matched without regard to case."""
-    folded = F.lower(F.trim("asked"))
-    both = titles.join(events, (F.lower(F.trim("title")) == folded), "left")
+    """titles (asked) with the events of that title; only titles without an exact match are matched by their folded forms.
+
+    Events that hold title_folded, made once at ingest, aren't folded again. A title without letters matches nothing.
+    """
+    if "title_folded" not in events.columns:
+        events = events.withColumn("title_folded", names.fold_text("title"))
+    titles = titles.withColumn("__asked", names.fold_text("asked"))
+    both = titles.join(events, (F.col("title_folded") == F.col("__asked")) & (F.col("__asked") != ""), "left").drop("title_folded", "__asked")
     exact = F.col("title") == F.col("asked")
     return both.withColumn("tier", F.when(exact, 1).when(F.col("id").isNotNull(), 2)).withColumn("best", F.min("tier").over(Window.partitionBy("asked"))).where(F.col("tier").eqNullSafe(F.col("best"))).drop("best")
 
@@ -86,7 +91,9 @@ def venue_matches(events: DataFrame, queries: DataFrame) -> DataFrame:
     the winners on equality.
     """
     venues = events.select("venue").where("venue is not null").distinct()
-    scored = queries.join(venues, names.venue_score(F.lower("asked"), F.lower("venue")) > 0).withColumn("score", names.venue_score(F.lower("asked"), F.lower("venue")))
+    asked, venues = queries.withColumn("__asked", names.fold_text("asked")), venues.withColumn("__venue", names.fold_text("venue"))
+    score = names.venue_score(F.col("__asked"), F.col("__venue"))
+    scored = asked.join(venues, score > 0).withColumn("score", score).drop("__asked", "__venue")
     best = scored.withColumn("top", F.max("score").over(Window.partitionBy("query_id"))).where("score = top").drop("top")
     return best.join(events, "venue")
 
@@ -100,7 +107,7 @@ def venue_date(matches: DataFrame) -> DataFrame:
     """Of matches with years, months and days asked: those whose dates overlap, narrowed to the most specific."""
     own = event_days(F.col("event_date"))
     asked = F.struct("years", "months", "days")
-    kept = matches.where(calendar.dates_overlap(own, asked)).withColumn("specificity", calendar.date_specificity(F.col("days"), own["days"]))
+    kept = matches.where(calendar.dates_overlap(own, asked)).withColumn("specificity", calendar.date_specificity(asked, own))
     return kept.withColumn("top", F.max("specificity").over(Window.partitionBy("query_id"))).where("specificity = top").drop("top")
 
 

@@ -25,10 +25,13 @@ def corpus(docs: DataFrame, text: str = "text") -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """queries (query_id, text): query_id, doc, score, rank, k documents at most for each, by score rounded to 6 digits, then doc.
 
-    A token that a query repeats adds repeatedly. Only postings of tokens that
+    Other columns of queries, such as the list or the variant that a text belongs
+    to, tell queries apart like query_id, so that many lists share one pass over
+    the documents. A token that a query repeats adds repeatedly. Only postings of tokens that
     some query has are kept past the scan.
     """
-    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    by = [c for c in queries.columns if c != "text"]
+    asked = queries.select(*by, F.explode(tokenize(F.col("text"))).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("times"))
     tokens = docs.select(F.col("doc_id").alias("doc"), tokenize(F.col("text")).alias("t"))
     own = tokens.select("doc", F.greatest(F.size("t"), F.lit(1)).alias("dl"), F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
     tf = own.groupBy("token", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
@@ -36,8 +39,32 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     total = corpus(docs)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "token").join(asked, "token").join(F.broadcast(total)).groupBy("query_id", "doc").agg(F.round(F.sum(weight * F.col("times")), 6).alias("score"))
-    return top_k(scored.where("score > 0"), ["query_id"], [F.desc("score"), F.asc("doc")], k)
+    scored = tf.join(df, "token").join(asked, "token").join(F.broadcast(total)).groupBy(*by, "doc").agg(F.round(F.sum(weight * F.col("times")), 6).alias("score"))
+    return top_k(scored.where("score > 0"), by, [F.desc("score"), F.asc("doc")], k)
+
+
+#: Words of a passage by which documents that may hold it are found.
+ANCHOR_WORDS = 5
+
+
+def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """docs (doc, text) with the passages (query_id, passage) that stand in their text, anywhere, even within words.
+
+    The words of a passage but for its first and last, which may be cut, stand
+    whole in any text that holds it. The first ANCHOR_WORDS of these meet the
+    runs of as many words of the documents by equality, and only texts that
+    share them are searched. Passages with fewer such words are searched for in all texts.
+    """
+    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    asked = passages.withColumn("inner", F.slice(words(F.col("passage")), F.lit(2), F.greatest(F.size(words(F.col("passage"))) - 2, F.lit(0))))
+    long = F.size("inner") >= ANCHOR_WORDS
+    anchored = asked.where(long).withColumn("anchor", F.xxhash64(F.array_join(F.slice("inner", 1, ANCHOR_WORDS), " ")))
+    own = docs.select("doc", words(F.col("text")).alias("w")).where(F.size("w") >= ANCHOR_WORDS)
+    runs = own.select("doc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR_WORDS + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(ANCHOR_WORDS)), " "))))).alias("anchor"))
+    near = runs.join(anchored.select("anchor", "query_id", "passage"), "anchor").select("doc", "query_id", "passage")
+    found = near.join(docs, "doc").where(F.contains("text", "passage"))
+    short = docs.join(asked.where(~long).select("query_id", "passage"), F.contains("text", "passage"))
+    return found.select("doc", "query_id").unionByName(short.select("doc", "query_id")).distinct()
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

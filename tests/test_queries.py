@@ -15,4 +15,4 @@ def test_matches_sql(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).columns
+    assert QUERIES[name](spark, sf).count() > 0
