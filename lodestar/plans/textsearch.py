@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import lexical
 from lodestar.functions.names import tokenize
 from lodestar.operators import retrieval
+from lodestar.sources.files import stash
 
 # Sizes of a sweep and of an unknown rank, and the keys that a compact infobox keeps.
 SWEEP, UNRANKED = 64, 10_000
@@ -107,11 +108,12 @@ def final_k(top_k: int, docs: Column) -> Column:
 def select_evidence(plans: DataFrame, first: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
     """Hits of planned questions from their candidates: qid, rank, score, text and the chunk's columns, in the order of their documents."""
     swept = sweep(plans.where(is_set() & (F.size("years") > 0)).select("qid", "years", "sport_tokens"), chunks.where("kind = 'infobox'"))
+    swept = stash(swept, "search-swept")
     left = plans.join(swept.select("qid").distinct(), "qid", "left_anti").select("qid", "intent")
     sets_left = is_set() & (F.size("years") > 0) & (F.size("sport_tokens") > 0)
     seeds = plans.select("qid", F.when(sets_left, max(top_k, 20)).otherwise(max(2 * top_k, 12)).alias("seed"))
     grown = expand(first.join(left.select("qid"), "qid", "left_semi").join(seeds, "qid"), F.col("seed"), chunks)
-    taken = swept.unionByName(grown).unionByName(editions(plans, grown, chunks)).distinct()
+    taken = stash(swept.unionByName(grown).unionByName(editions(plans, grown, chunks)).distinct(), "search-taken")
 
     scores = first.select("qid", "chunk_id", "score")
     ranks = first.groupBy("qid", "document_id").agg(F.min("rank").alias("doc_rank"))
@@ -144,8 +146,8 @@ def search(questions: DataFrame, chunks: DataFrame, top_k: int = 10, vectors: Da
     With use_mmr the hits are reranked against what was taken before. A question
     that matches nothing has no rows.
     """
-    plans = lexical.plan_queries(questions)
-    hits = select_evidence(plans, candidates(plans, chunks, top_k), chunks, top_k)
+    plans = stash(lexical.plan_queries(questions), "search-plans")
+    hits = select_evidence(plans, stash(candidates(plans, chunks, top_k), "search-candidates"), chunks, top_k)
     if vectors is not None and asked_vectors is not None:
         hits = fused(hits, dense(vectors, asked_vectors, chunks, top_k), top_k)
     if use_mmr:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.queries import catalog, corpus
+from lodestar.queries import catalog, scored
 
 
 def queries() -> dict:
-    return dict(corpus.QUERIES)
+    return dict(scored.QUERIES)
 
 
 def oracle_sql() -> dict:

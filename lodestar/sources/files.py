@@ -53,6 +53,13 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.coalesce(unescape_cell(F.col(f"`{c}`")), F.lit("")).alias(c) for c in rows.columns])
 
 
+def stash(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written once to a scratch folder and read from there by all that follow; it survives lost executors."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder's path where driver and executors both reach it: under spark.checkpoint.dir, else in the warehouse."""
     import uuid
