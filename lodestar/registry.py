@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.queries import catalog, scored
+from lodestar.queries import catalog, graphs, scored
 
 
 def queries() -> dict:
-    return dict(scored.QUERIES)
+    return dict(scored.QUERIES | graphs.QUERIES)
 
 
 def oracle_sql() -> dict:
