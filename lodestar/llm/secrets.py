@@ -1,10 +1,11 @@
 """Secret scans: patterns propose, a random forest removes false positives.
 
-Candidates are long unbroken tokens, and values of any length that are assigned to
-a name of a secret. The forest sees a candidate's length and
-character transitions, how much of it a dictionary of syllables covers, the
-words before it, and the document's path. It is trained from labelled findings:
-those given by the caller, or a seeded set of findings made from formats that are
+Candidates are long unbroken tokens, dotted tokens, private-key blocks, and
+values of any length that are assigned to a name of a secret. The forest sees a
+candidate's length and character transitions, how much of it a dictionary
+covers, the words before and after it, and the document's path. The dictionary
+holds pieces of words and the words that are most frequent in the whole corpus.
+The forest is trained from labelled findings: those given by the caller, or a seeded set of findings made from formats that are
 public, both secrets and things that look like them.
 """
 
@@ -21,6 +22,9 @@ from lodestar.llm.common import table
 
 # What may be a secret.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"
+# Tokens of three dotted parts, and blocks that hold a private key.
+DOTTED = r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])"
+BLOCK = r"-----BEGIN (?P<kind>[A-Z ]{0,32}PRIVATE KEY)-----[^-]++-----END (?P=kind)-----"
 # Words before a secret, and words before what is none.
 NAMES = ["token", "secret", "key", "apikey", "api_key", "password", "passwd", "pwd", "auth", "bearer", "credential", "access"]
 # A name that ends as those do, and its value: quoted, a parameter of a URL, or up to white space but for marks that end a clause.
@@ -34,22 +38,24 @@ PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "AIza"
 # Path endings under which secrets are usual.
 PATHS = [".env", ".pem", ".key", ".cfg", ".ini", ".yml", ".yaml", ".properties", ".tf"]
 # The dictionary, pieces of which ordinary words are made.
-PIECES = ["tion", "ment", "ing", "the", "and", "con", "pro", "ver", "ent", "ate", "ble", "ness", "able", "that", "with", "this", "from", "com", "org", "www", "http", "index", "html", "page", "image", "user", "data", "file", "name", "test", "over", "under", "inter", "able", "sch", "ung", "ein", "lich", "heit", "ción", "mente", "eau", "oir", "que", "elle"]
+PIECES = ["tion", "ment", "ing", "the", "and", "con", "pro", "ver", "ent", "ate", "ble", "ness", "able", "that", "with", "this", "from", "com", "org", "www", "http", "index", "html", "page", "image", "user", "data", "file", "name", "test", "over", "under", "inter", "sch", "ung", "ein", "lich", "heit", "ción", "mente", "eau", "oir", "que", "elle"]
 
 CONTEXT = 32
 TREES, DEPTH, SEED = 24, 6, 9
 FINDINGS = 4_000
+#: The most frequent words of the corpus that join the dictionary, and how short they may be.
+DICTIONARY_WORDS, LEAST_LETTERS, MOST_LETTERS = 20_000, 4, 16
 THRESHOLD = 0.5
-FEATURES = ["length", "entropy", "digits", "uppers", "transitions", "vowels", "coverage", "hex", "prefix", "named", "assigned", "quoted", "other", "path", "runs", "marks", "template", "classes"]
+FEATURES = ["length", "entropy", "digits", "uppers", "transitions", "vowels", "coverage", "hex", "prefix", "named", "assigned", "quoted", "other", "path", "runs", "marks", "template", "classes", "other_after", "quoted_after", "dotted", "block"]
 
 
 def candidate_pattern():
     return re.compile(CANDIDATE)
 
 
-def proposed(text: str, tokens=re.compile(CANDIDATE), assigned=re.compile(ASSIGNED), nested=re.compile(NESTED), parameter=re.compile(PARAMETER)) -> list[tuple[int, int]]:
+def proposed(text: str, tokens=re.compile(CANDIDATE), assigned=re.compile(ASSIGNED), nested=re.compile(NESTED), parameter=re.compile(PARAMETER), dotted=re.compile(DOTTED), block=re.compile(BLOCK)) -> list[tuple[int, int]]:
     """Sorted (start, stop) of all candidates: they may overlap, equal ones are listed once."""
-    found = {m.span() for m in tokens.finditer(text)}
+    found = {m.span() for pattern in (tokens, dotted, block) for m in pattern.finditer(text)}
     at = 0
     while m := assigned.search(text, at):
         start, stop = m.span(m.lastgroup)
@@ -80,22 +86,43 @@ def _parts(words: list[str]) -> set[str]:
     return {p.removesuffix("s") if len(p) > 3 else p for w in words for p in (w, *w.split("_"))}
 
 
-def features(span: str, before: str, path: str) -> list[float]:
-    """FEATURES of a candidate; before is the text that ends where it starts."""
+def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> frozenset[str]:
+    """The most frequent words of LEAST_LETTERS letters to MOST_LETTERS in all texts, ties by the word: at most `words`, whatever the corpus."""
+    found = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}]+")).alias("word"))
+    counted = found.where(F.char_length("word").between(LEAST_LETTERS, MOST_LETTERS)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return frozenset(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(words).collect())
+
+
+def coverage(low: str, words: frozenset[str]) -> float:
+    """The share of characters that pieces and words cover."""
+    n = len(low)
+    covered = bytearray(n)
+    for piece in PIECES:
+        at = low.find(piece)
+        while at >= 0:
+            covered[at : at + len(piece)] = b"\x01" * len(piece)
+            at = low.find(piece, at + 1)
+    if words:
+        for run in re.finditer(r"[^\W\d_]{4,}", low):
+            letters, first = run[0], run.start()
+            for at in range(len(letters) - LEAST_LETTERS + 1):
+                for size in range(min(MOST_LETTERS, len(letters) - at), LEAST_LETTERS - 1, -1):
+                    if letters[at : at + size] in words:
+                        covered[first + at : first + at + size] = b"\x01" * size
+                        break
+    return sum(covered) / n
+
+
+def features(span: str, before: str, path: str, after: str = "", words: frozenset[str] = frozenset()) -> list[float]:
+    """FEATURES of a candidate; before is the text that ends where it starts, after that which starts where it ends."""
     n = len(span)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in span]
     counts: dict[str, int] = {}
     for c in span:
         counts[c] = counts.get(c, 0) + 1
     low = span.lower()
-    covered = [False] * n
-    for piece in PIECES:
-        at = low.find(piece)
-        while at >= 0:
-            covered[at : at + len(piece)] = [True] * len(piece)
-            at = low.find(piece, at + 1)
-    words = re.findall(r"[a-z_0-9]+", before.lower())[-3:]
-    parts = _parts(words)
+    parts = _parts(re.findall(r"[a-z_0-9]+", before.lower())[-3:])
+    following = _parts(re.findall(r"[a-z_0-9]+", after.lower())[:2])
     return [
         float(n),
         -sum(v / n * math.log2(v / n) for v in counts.values()),
@@ -103,7 +130,7 @@ def features(span: str, before: str, path: str) -> list[float]:
         kinds.count("u") / n,
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
         sum(c in "aeiou" for c in low) / n,
-        sum(covered) / n,
+        coverage(low, words),
         float(all(c in "0123456789abcdef" for c in low)),
         float(any(span.startswith(p) for p in PREFIXES)),
         float(any(p.endswith(tuple(NAMES)) for p in parts)),
@@ -115,11 +142,16 @@ def features(span: str, before: str, path: str) -> list[float]:
         sum(k == "s" and c not in "+/_-=" for k, c in zip(kinds, span)) / n,
         float(bool(re.search(r"[$<{(\[*%]", span[:1])) or "(" in span or " " in span),
         float(len(set(kinds) - {"s"})),
+        float(not following.isdisjoint(OTHERS)),
+        float(after[:1] in ("'", '"')),
+        float(span.startswith("eyJ") and span.count(".") == 2),
+        float(span.startswith("-----BEGIN ")),
     ]
 
 
 # How a name leads to its value, and values that stand for a secret and are none.
 _LEADS = ['{} = "', "{} = '", '{}="', "{}='", "{}=", "{}: ", '"{}": "', "{} := ", "?{}=", "&{}="]
+_EMPTY = ["None", "null", "nil", "true", "false", "undefined", "required", "optional", "changeme", "Null", "True"]
 _PLACEHOLDERS = ["${{{}}}", "$({})", "<{}>", "{{{{ {} }}}}", "%{}%", "your_{}", "os.{}", "{}[0]", "self.{},", "get_{}()"]
 
 
@@ -137,8 +169,34 @@ def _password(rng, pick, alphabet: str) -> str:
     return body if sum(map(bool, (re.search("[A-Za-z]", body), re.search("[0-9]", body), re.search("[^A-Za-z0-9]", body)))) > 1 else body[:13] + pick("0123456789", 2)
 
 
-def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, int]]:
-    """Seeded findings (span, before, path, label): half are secrets, half look like them."""
+def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, int, str]]:
+    """Seeded findings (span, before, path, label, after): about half are secrets, half look like them."""
+    return _tokens_and_values(count, seed) + _blocks_and_dotted(count // 8, seed + 1)
+
+
+def _blocks_and_dotted(count: int, seed: int) -> list[tuple[str, str, str, int, str]]:
+    """Private keys and dotted tokens, and unbroken tokens that the words after them name as something else."""
+    rng = random.Random(seed)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    out = []
+    for _ in range(count):
+        lead = " ".join(rng.choice(PIECES[:20]) for _ in range(3)) + rng.choice([" ", "\n", ": "])
+        kind = rng.choice(["", "RSA ", "EC ", "OPENSSH "]) + "PRIVATE KEY"
+        body = "\n".join(pick(alphabet + "+/", 64) for _ in range(rng.randint(2, 30)))
+        out.append((f"-----BEGIN {kind}-----\n{body}\n-----END {kind}-----", lead, "", 1, "\n"))
+        out.append((f"eyJ{pick(alphabet, rng.randint(20, 60))}.eyJ{pick(alphabet, rng.randint(20, 200))}.{pick(alphabet + '-_', 43)}", lead, "", 1, rng.choice(["", '"', "\n"])))
+        name = rng.choice(OTHERS)
+        out.append((pick("0123456789abcdef", rng.choice([32, 40, 64])), lead, "", 0, f" ({name})" if rng.random() < 0.5 else f" {name}"))
+    return out
+
+
+def _after(rng, lead: str) -> str:
+    """What follows a value after such a lead: its closing quote, or what ends a word."""
+    return lead[-1:] if lead[-1:] in ("'", '"') else rng.choice(["", "\n", " then", " the", "&page=1" if lead[:1] in ("?", "&") else ";"])
+
+
+def _tokens_and_values(count: int, seed: int) -> list[tuple[str, str, str, int, str]]:
     rng = random.Random(seed)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
@@ -146,11 +204,11 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
     out = []
     for i in range(count):
         before = " ".join(word() for _ in range(4)) + " "
-        path = rng.choice(["", f"src{i % 20}", "a/readme.md", "conf/app.env", "conf/site.yml", "page.html"])
+        path = rng.choice(["", "src/main.c", "a/readme.md", "conf/app.env", "conf/site.yml", "page.html"])
         if i % 8 == 7:
             out.append((_password(rng, pick, alphabet), before + rng.choice(_LEADS).format(_cased(rng, rng.choice(NAMES))), path, 1))
         elif i % 8 == 6:
-            body = rng.choice([word, lambda: word().capitalize(), lambda: word().upper(), lambda: rng.choice(_PLACEHOLDERS).format(word()), lambda: str(rng.randrange(10 ** rng.randint(1, 6))), lambda: f"{word()} {word()}", lambda: f"{word()}.{word()}", lambda: f"{word()}-{word()}", lambda: f"{word()}()", lambda: rng.choice("*x.-?") * rng.randint(3, 15)])()
+            body = rng.choice([word, lambda: rng.choice(_EMPTY), lambda: rng.choice(_EMPTY), lambda: word().capitalize(), lambda: word().upper(), lambda: rng.choice(_PLACEHOLDERS).format(word()), lambda: str(rng.randrange(10 ** rng.randint(1, 6))), lambda: f"{word()} {word()}", lambda: f"{word()}.{word()}", lambda: f"{word()}-{word()}", lambda: f"{word()}()", lambda: rng.choice("*x.-?") * rng.randint(3, 15)])()
             out.append((body, before + rng.choice(_LEADS).format(_cased(rng, rng.choice(NAMES))), path, 0))
         elif i % 40 == 8:
             out.append((pick(alphabet + "+/", rng.randint(400, 4000)), before + rng.choice(["data:image/png;base64,", "data:font/woff2;base64,", "src=", ""]), path, 0))
@@ -179,7 +237,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
             else:
                 body, lead = "_".join(word() for _ in range(4)).upper().ljust(16, "E"), rng.choice(["", "name=", 'key = "'])
             out.append((body, before + lead, path, 0))
-    return out
+    return [(*finding, _after(rng, finding[1])) for finding in out]
 
 
 def _grow(x, y, rng, depth: int):
@@ -209,11 +267,11 @@ def _grow(x, y, rng, depth: int):
 
 
 def fit_forest(findings, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
-    """Trees on bootstrap samples of labelled findings (span, before, path, label)."""
+    """Trees on bootstrap samples of labelled findings (span, before, path, label, and after where known)."""
     import numpy as np
 
-    x = np.array([features(s, b, p) for s, b, p, _ in findings])
-    y = np.array([label for *_, label in findings], "f8")
+    x = np.array([features(f[0], f[1], f[2], *f[4:5]) for f in findings])
+    y = np.array([f[3] for f in findings], "f8")
     rng = np.random.default_rng(seed)
     return [_grow(x[own], y[own], rng, depth) for own in (rng.integers(0, len(y), len(y)) for _ in range(trees))]
 
@@ -236,21 +294,21 @@ def scan(docs: DataFrame, findings: list | None = None, threshold: float = THRES
     length. Findings may overlap where a token is part of an assigned value.
     """
     forest = fit_forest(findings if findings is not None else labelled_findings())
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = docs.sparkSession.sparkContext.broadcast((forest, dictionary(docs)))
 
     def run(batches):
         import hashlib
 
         import pyarrow as pa
 
-        model = shared.value
+        model, words = shared.value
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64()), ("secret_sha256", pa.string())])
         for batch in batches:
             out: dict = {n: [] for n in schema.names}
             for doc_id, text, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for start, stop in proposed(text or ""):
                     span = text[start:stop]
-                    score = probability(model, features(span, text[max(0, start - CONTEXT) : start], path or ""))
+                    score = probability(model, features(span, text[max(0, start - CONTEXT) : start], path or "", text[stop : stop + CONTEXT], words))
                     if score >= threshold:
                         for name, value in zip(out, (doc_id, start, stop, score, hashlib.sha256(span.encode("utf-8", "surrogatepass")).hexdigest()), strict=True):
                             out[name].append(value)
