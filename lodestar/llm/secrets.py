@@ -4,7 +4,7 @@ Candidates are long unbroken tokens, dotted tokens, private-key blocks, and
 values of any length that are assigned to a name of a secret. The forest sees a
 candidate's length and character transitions, how much of it a dictionary
 covers, the words before and after it, and the document's path. The dictionary
-holds pieces of words and the words that are most frequent in the whole corpus.
+holds pieces of words and the words that are frequent in the whole corpus.
 The forest is trained from labelled findings: those given by the caller, or a seeded set of findings made from formats that are
 public, both secrets and things that look like them.
 """
@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import table
+from lodestar.llm.common import discard, stash, table
 
 # What may be a secret.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"
@@ -43,8 +43,8 @@ PIECES = ["tion", "ment", "ing", "the", "and", "con", "pro", "ver", "ent", "ate"
 CONTEXT = 32
 TREES, DEPTH, SEED = 24, 6, 9
 FINDINGS = 4_000
-#: The most frequent words of the corpus that join the dictionary, and how short they may be.
-DICTIONARY_WORDS, LEAST_LETTERS, MOST_LETTERS = 20_000, 4, 16
+#: Words join the dictionary that make at least a RARITY-th of the corpus's words, of so many letters.
+RARITY, LEAST_LETTERS, MOST_LETTERS = 50_000, 4, 16
 THRESHOLD = 0.5
 FEATURES = ["length", "entropy", "digits", "uppers", "transitions", "vowels", "coverage", "hex", "prefix", "named", "assigned", "quoted", "other", "path", "runs", "marks", "template", "classes", "other_after", "quoted_after", "dotted", "block"]
 
@@ -86,11 +86,14 @@ def _parts(words: list[str]) -> set[str]:
     return {p.removesuffix("s") if len(p) > 3 else p for w in words for p in (w, *w.split("_"))}
 
 
-def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> frozenset[str]:
-    """The most frequent words of LEAST_LETTERS letters to MOST_LETTERS in all texts, ties by the word: at most `words`, whatever the corpus."""
+def dictionary(docs: DataFrame, rarity: int = RARITY) -> frozenset[str]:
+    """Words of LEAST_LETTERS letters to MOST_LETTERS that occur twice and make a `rarity`th of all such words: so at most `rarity`, whatever the corpus."""
     found = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}]+")).alias("word"))
-    counted = found.where(F.char_length("word").between(LEAST_LETTERS, MOST_LETTERS)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return frozenset(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(words).collect())
+    counted = stash(found.where(F.char_length("word").between(LEAST_LETTERS, MOST_LETTERS)).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "secret-words")
+    total = counted.agg(F.sum("n")).head()[0] or 0
+    words = frozenset(r["word"] for r in counted.where((F.col("n") > 1) & (F.col("n") * rarity >= F.lit(total))).select("word").collect())
+    discard(counted)
+    return words
 
 
 def coverage(low: str, words: frozenset[str]) -> float:
