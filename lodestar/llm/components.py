@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import discard, lookup, stash
+from lodestar.llm.common import discard, stash
 
 
 def _forest(batches):
@@ -44,8 +44,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each task first reduces its links to stars; then large-star and small-star
     steps alternate until the stars don't change. Minima are aggregated before
-    the shuffle, and nodes with very many neighbours, which are few, are joined by
-    broadcast, so no node's neighbours gather in one task. Links of a node with itself, repeated links
+    the shuffle. Links are joined with one row per node, so the neighbours of a
+    hub over the size at which adaptive execution splits a partition are dealt
+    to several tasks, each with a copy of that row. Links of a node with itself, repeated links
     and NULL ends add nothing.
     """
     kind = links.schema["a"].dataType.simpleString()
@@ -54,11 +55,11 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(stars)
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("copies")).select("a", F.least("a", "m").alias("m"), "copies")
-        large = lookup(both, least, ["a"], 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = stash(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("copies"))
-        small = lookup(large, low, ["a"], large.count()).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         last, stars = stars, stash(low.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "small-star")
         discard(last, large)
         before, state = state, _state(stars)

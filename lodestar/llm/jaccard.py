@@ -32,7 +32,7 @@ FREQUENCY_BITS = 20
 FREQUENCY_SLICE_BITS = 14
 KEYS_PER_TILE_TASK = 500_000
 SHINGLES_PER_CHUNK = 1_000_000
-PAIRS_PER_CHUNK = 1_000
+PAIRS_PER_CHUNK = 250
 #: A shingle (hashed to FREQUENCY_BITS) that so many documents have is dealt to several tasks, by node.
 HOT_SHINGLE = 100_000
 ALL_PAIRS_UP_TO = 64
@@ -356,7 +356,7 @@ def _chunked(members: DataFrame, nodes: DataFrame, pairs: DataFrame | None = Non
         sums = sums.join(pairs, "cluster")
         by_size = F.greatest(by_size, F.least(F.ceil(F.sqrt(2 * F.col("pairs") / PAIRS_PER_CHUNK)), F.ceil(F.col("pairs") / F.col("copies"))))
     chunks = sums.select("cluster", by_size.cast("long").alias("chunks"), "copies")
-    return lookup(sized, chunks, ["cluster"], sized.count()).drop("copies").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    return lookup(sized, chunks, ["cluster"], members.count()).drop("copies").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
 
 
 def _pair_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
