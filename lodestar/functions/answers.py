@@ -61,17 +61,19 @@ def shortened(items: Column, limit: int = 80) -> Column:
 
 
 def bounded(text: Column, most: int) -> Column:
-    """Both ends of a text that is too long, with ' ... ' between them; most characters at most."""
-    text, room = F.coalesce(text, F.lit("")), max(0, most - 5)
-    ends = F.concat(F.left(text, F.lit((room + 1) // 2)), F.lit(" ... "), F.right(text, F.lit(room // 2)))
-    return F.when(F.char_length(text) <= most, text).otherwise(ends)
+    """Both ends of a text that is too long, with ' ... ' between them, or its start where most is under 32; all of it where most isn't positive."""
+    text, head = F.coalesce(text, F.lit("")), (most - 5) // 2
+    if most <= 0:
+        return text
+    ends = F.concat(F.left(text, F.lit(head)), F.lit(" ... "), F.right(text, F.lit(most - 5 - head)))
+    return F.when(F.char_length(text) <= most, text).otherwise(ends if most >= 32 else F.left(text, F.lit(most)))
 
 
-def escaped(text: Column, delimiters: tuple[str, ...] = ("<<<", ">>>")) -> Column:
+def escaped(text: Column, delimiters: tuple[str, ...] = (">>>UNTRUSTED_EVIDENCE", "<<<UNTRUSTED_EVIDENCE")) -> Column:
     """Backslashes doubled, and what looks like a delimiter broken by one, so that quoted text can't end its quotation."""
     out = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
     for sign in delimiters:
-        out = F.replace(out, F.lit(sign), F.lit(sign[0] + "\\" + sign[1:]))
+        out = F.replace(out, F.lit(sign), F.lit(sign[:2] + "\\" + sign[2:]))
     return out
 
 

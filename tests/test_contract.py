@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import answers as answer_texts
 from lodestar.functions import questions
-from lodestar.operators import contract, embeddings, scoring
+from lodestar.operators import completion, contract, embeddings, reports, scoring
 from lodestar.plans.investigate import Budget, investigate
 from lodestar.sources import export, files
 
@@ -20,10 +20,10 @@ def test_answers_compare_in_normal_form(spark):
 
 
 def test_texts_are_masked_and_escaped(spark):
-    row = spark.createDataFrame([("see https://a.b/c token=abc, Bearer xyz at /home/me/file.txt \\ >>>",)], "t string")
+    row = spark.createDataFrame([("see https://a.b/c token=abc, Bearer xyz at /home/me/file.txt \\ >>>UNTRUSTED_EVIDENCE",)], "t string")
     got = row.select(answer_texts.masked(F.col("t"), paths=True).alias("m"), answer_texts.escaped(F.col("t")).alias("e"), answer_texts.bounded(F.col("t"), 15).alias("b"), answer_texts.run_id(F.struct(F.lit(1).alias("a"))).alias("r")).head()
-    assert got.m == "see [url] token=[redacted], Bearer [redacted] at [path] \\ >>>"
-    assert got.e.endswith("\\\\ >\\>>") and got.b == "see h ... \\ >>>" and len(got.r) == 16
+    assert got.m == "see [url] token=[redacted], Bearer [redacted] at [path] \\ >>>UNTRUSTED_EVIDENCE"
+    assert got.e.endswith("\\\\ >>\\>UNTRUSTED_EVIDENCE") and got.b == "see https://a.b" and len(got.r) == 16
 
 
 def test_parameters_of_temporal_and_venue_questions(spark):
@@ -100,3 +100,47 @@ def test_fairness_of_variants(spark):
     assert got["V0"].used_bm25 and not got["V0"].used_vector and got["V0"].missing_vector
     assert got["V1"].used_vector and not got["V1"].used_bm25 and got["V1"].missing_bm25
     assert got["V2"].graph_operations and not got["V2"].missing_bm25 and not got["V2"].missing_vector
+
+
+def test_completions_are_held_to_their_evidence(spark):
+    items = [(q, i, k, f, v) for q in "abcdefghijk" for i, k, f, v in [("e1", "entity", "title", "Rowing at the 2000 Summer Olympics – Sculls"), ("f1", "fact", "nations", "12"), ("c1", "chunk", "text", "In the final Ann Lee won gold, nations: 12")]]
+    done = lambda answer, ids, **more: json.dumps({"status": "answered", "answer": answer, "citation_ids": ids} | more)
+    rows = [
+        ("a", "text {} ```json\n" + done("12", ["f1"]) + "\n``` end", None),
+        ("b", done("Ann Lee", ["zz"], support=[{"evidence_id": "zz", "quote": "Ann Lee won gold"}]), None),
+        ("c", done("Bob", ["c1"], support=[{"evidence_id": "c1", "quote": "Bob won"}]), None),
+        ("d", done("12", ["nowhere"]), None),
+        ("e", '{"status": "insufficient", "answer": "x"}', None),
+        ("f", "no json", "length"),
+        ("g", "no json", "stop"),
+        ("h", done("Sculls", ["e1"]), None),
+        ("i", done("Ann Lee | 12", [], support=[{"evidence_id": "c1", "quote": "Ann Lee won gold"}, {"evidence_id": "f1", "quote": "12"}, {"evidence_id": "f1", "quote": "other"}]), None),
+        ("j", done("", ["f1"]), None),
+        ("k", '{"a": 1} {"status": "conflict"}', None),
+    ]
+    got = {r.qid: r for r in completion.held(spark.createDataFrame(rows, "qid string, text string, finish_reason string"), spark.createDataFrame(items, "qid string, evidence_id string, evidence_type string, field_name string, value string")).collect()}
+    assert {q: (r.status, r.answer, r.citation_ids, r.why) for q, r in got.items()} == {
+        "a": ("answered", "12", ["f1"], None),
+        "b": ("answered", "Ann Lee", ["c1"], None),
+        "c": ("abstained", "", [], "ungrounded_answer"),
+        "d": ("abstained", "", [], "provider_cited_unknown_evidence"),
+        "e": ("abstained", "", [], None),
+        "f": ("generation_error", "", [], "truncated_completion"),
+        "g": ("abstained", "", [], "unparseable_provider_output"),
+        "h": ("answered", "Rowing at the 2000 Summer Olympics – Sculls", ["e1"], None),
+        "i": ("answered", "Ann Lee | 12", ["c1", "f1"], None),
+        "j": ("abstained", "", [], "empty_semantic_answer"),
+        "k": ("unresolved", "", [], None),
+    }
+
+
+def test_reports_tell_no_gold(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x", True, {"gold": "g", "ok": "o"}, [("e", "secret")], None)], "id int, gold string, flag boolean, notes map<string,string>, parts array<struct<name:string,expected:string>>, empty string")
+    assert reports.leaks(rows.schema) == ["gold", "parts.expected"]
+    out = reports.submission(rows)
+    assert reports.leaks(out.schema) == [] and out.columns[0] == "schema_version"
+    assert out.head().notes == {"ok": "o"} and out.head().parts[0].name == "e"
+    cells = reports.cells(out, ["id", "flag", "notes", "parts", "empty", "none"]).head()
+    assert tuple(cells) == ("1", "true", '{"ok":"o"}', '[{"name":"e"}]', "", "")
+    reports.write_run(rows.select("id", "flag"), {"Counts": rows.groupBy("flag").count()}, str(tmp_path))
+    assert "| true | 1 |" in [r.value for r in spark.read.text(f"{tmp_path}/report").collect()]
