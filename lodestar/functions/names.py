@@ -89,11 +89,17 @@ def tokenize(text: Column) -> Column:
 
 
 def ascii_casefold(text: Column) -> Column:
-    """Case folding as far as letters of ASCII come from it; other letters are in lower case."""
-    folded = text
-    for c, ascii_form in ASCII_FOLDS.items():
-        folded = F.replace(folded, F.lit(c), F.lit(ascii_form))
-    return F.lower(F.when(text.rlike(f"[{''.join(ASCII_FOLDS)}]"), folded).otherwise(text))
+    """Case folding as far as letters of ASCII come from it; other letters are in lower case.
+
+    Texts of ASCII only need nothing else; sharp s is common, and the rest is looked for before it is replaced.
+    """
+    sharp = F.replace(text, F.lit("ß"), F.lit(ASCII_FOLDS["ß"]))
+    rare = {c: form for c, form in ASCII_FOLDS.items() if c != "ß"}
+    folded = sharp
+    for c, form in rare.items():
+        folded = F.replace(folded, F.lit(c), F.lit(form))
+    other = F.when(text.rlike(f"[{''.join(rare)}]"), folded).otherwise(sharp)
+    return F.lower(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(other))
 
 
 def packed_ints(values: Column) -> Column:
