@@ -51,7 +51,7 @@ def keyed_state(digests: DataFrame, path: str, files_per_batch: int = FILES_PER_
         .groupBy("digest")
         .agg(
             F.count(F.lit(1)).alias("group_size"),
-            F.max(F.struct("points", F.expr("-doc_id").alias("order"), "doc_id", "locator")).alias("best"),
+            F.max(F.struct("points", F.expr("~doc_id").alias("order"), "doc_id", "locator")).alias("best"),
         )
     )
     before = {key: spark.conf.get(key) for key in STATE_CONF}
@@ -159,7 +159,7 @@ def _by_full_text(base: DataFrame, rows: DataFrame, differing: DataFrame) -> Dat
     odd = odd.join(texts, odd["locator"] == texts["place"])
     best = odd.groupBy("norm").agg(
         F.count(F.lit(1)).alias("group_size"),
-        F.max(F.struct("points", F.expr("-doc_id").alias("order"), "doc_id", "locator")).alias("best"),
+        F.max(F.struct("points", F.expr("~doc_id").alias("order"), "doc_id", "locator")).alias("best"),
     )
     odd = odd.join(best, "norm").select(*[c for c in odd.columns if c not in ("place", "norm")], "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("keep_locator"))
     return rows.join(differing, "digest", "left_anti").select(odd.columns).unionByName(odd)

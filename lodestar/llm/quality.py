@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import bounded_sample, bucket_of, columns_of, free_name, table
+from lodestar.llm import linear
+from lodestar.llm.common import bucket_of, columns_of, free_name, table
+from lodestar.llm.linear import dual_coordinate_descent, logistic
 
 BITS = 16
 ORDERS = (2, 3)
@@ -44,45 +46,6 @@ def indicators(text: str):
     return np.flatnonzero(seen).astype("i4")
 
 
-def _dual_coordinate_descent(rows, signs, size: int, cost, epochs: int, seed: int):
-    """Linear hinge loss, L2 norm: weights after `epochs` passes over the dual variables in random order."""
-    import numpy as np
-
-    weights, alpha = np.zeros(size), np.zeros(len(rows))
-    norms = np.array([float(v @ v) for _, v in rows])
-    rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            idx, val = rows[i]
-            if norms[i] == 0:
-                continue
-            gradient = signs[i] * float(weights[idx] @ val) - 1
-            new = min(max(alpha[i] - gradient / norms[i], 0.0), cost[i])
-            if new != alpha[i]:
-                weights[idx] += (new - alpha[i]) * signs[i] * val
-                alpha[i] = new
-    return weights
-
-
-def _logistic(margins, labels):
-    """Slope and offset of a one-dimensional logistic fit, with labels smoothed as in Platt's method."""
-    import numpy as np
-
-    pos, neg = float(labels.sum()), float(len(labels) - labels.sum())
-    target = np.where(labels > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    slope, offset = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(slope * margins + offset, -30, 30)))
-        g = np.array([((p - target) * margins).sum(), (p - target).sum()])
-        w = p * (1 - p)
-        h = np.array([[(w * margins**2).sum(), (w * margins).sum()], [(w * margins).sum(), w.sum()]]) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        slope, offset = slope - step[0], offset - step[1]
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(slope), float(offset)
-
-
 def train(found: list, labels: list[int], seed: int = 10):
     """Weights by bucket (float64), bias, slope and offset, from indicators of texts. The ratios and weights are of one part of the rows, slope and offset of the other."""
     import numpy as np
@@ -108,10 +71,10 @@ def train(found: list, labels: list[int], seed: int = 10):
     signs = np.where(y > 0, 1.0, -1.0)
     n, pos = len(fit_on), y[fit_on].sum()
     weight = np.where(y > 0, n / (2 * pos), n / (2 * (n - pos)))
-    weights = _dual_coordinate_descent([rows[i] for i in fit_on], signs[fit_on], size + 1, COST * weight[fit_on], EPOCHS, seed)
+    weights = dual_coordinate_descent([rows[i] for i in fit_on], signs[fit_on], size + 1, COST * weight[fit_on], EPOCHS, seed)
     check = np.flatnonzero(part) if part.any() else fit_on
     margins = np.array([float(weights[rows[i][0]] @ rows[i][1]) for i in check])
-    slope, offset = _logistic(margins, y[check])
+    slope, offset = logistic(margins, y[check])
     return weights[:-1] * ratio, float(weights[-1]), slope, offset
 
 
@@ -176,19 +139,8 @@ def accepted(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, text, quality of at most about train_rows rows outside the held-out fold, as many of either class where there are enough.
-
-    Rows without a label, a doc_id or a fold are not learned from; a doc_id that
-    has several labels counts with each distinct one.
-    """
-    known = labels.where(F.col("quality").isin(0, 1) & (bucket_of(F.col("doc_id"), 5) != 0)).select(F.col("doc_id").alias("l_id"), "quality").distinct()
-    chosen = None
-    for label in (0, 1):
-        part = bounded_sample(known.where(F.col("quality") == label), train_rows // 2, seed=10 + label)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    # its size is bounded by the sample's, so that the documents needn't move
-    texts = docs.select("doc_id", "text")
-    return texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["l_id"]).drop("l_id")
+    """doc_id, text, quality of at most train_rows rows outside the held-out fold; see linear.labelled_sample."""
+    return linear.labelled_sample(docs, labels, "quality", train_rows)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

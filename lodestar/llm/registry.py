@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, embedding_dedup, exact_dedup, jaccard, langid, lines, packing, pii, quality, secrets
+from lodestar.llm import bpe, embedding_dedup, exact_dedup, hard_negatives, importance, jaccard, langid, lines, packing, pii, quality, secrets, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_bpe": bpe.op8_bpe,
         "op9_secrets": secrets.op9_secrets,
         "op10_quality": quality.op10_quality,
+        "op11_importance": importance.op11_importance,
+        "op12_toxicity": toxicity.op12_toxicity,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
@@ -26,4 +29,6 @@ def oracle_sql() -> dict:
         "op2_exact_dedup": exact_dedup.OP2_SQL,
         "op4_jaccard": jaccard.OP4_SQL,
         "op6_lines": lines.OP6_SQL,
+        "op11_importance": importance.OP11_SQL,
+        "op13_hard_negatives": hard_negatives.OP13_SQL,
     }

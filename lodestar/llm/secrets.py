@@ -5,7 +5,7 @@ values of any length that are assigned to a name of a secret. The forest sees a
 candidate's length and character transitions, how much of it a dictionary
 covers, the words before and after it, and the document's path. The dictionary
 holds pieces of words and the words that are frequent in the whole corpus.
-The forest is trained from labelled findings: those given by the caller, or a seeded set of findings made from formats that are
+The forest is trained, with the same dictionary, from labelled findings: those given by the caller, or a seeded set of findings made from formats that are
 public, both secrets and things that look like them.
 """
 
@@ -18,20 +18,21 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import discard, stash, table
+from lodestar.llm.common import bounded_sample, discard, stash, table
 
 # What may be a secret.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"
 # Tokens of three dotted parts, and blocks that hold a private key.
 DOTTED = r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])"
-BLOCK = r"-----BEGIN (?P<kind>[A-Z ]{0,32}PRIVATE KEY)-----[^-]++-----END (?P=kind)-----"
+BLOCK = r"-----BEGIN (?P<kind>[A-Z ]*PRIVATE KEY)-----[^-]++-----END (?P=kind)-----"
 # Words before a secret, and words before what is none.
 NAMES = ["token", "secret", "key", "apikey", "api_key", "password", "passwd", "pwd", "auth", "bearer", "credential", "access"]
 # A name that ends as those do, and its value: quoted, a parameter of a URL, or up to white space but for marks that end a clause.
 ASSIGNED = r"""(?i)(?P<name>token|secret|key|password|passwd|pwd|auth|bearer|credential|access)s?["']?[ \t]*+(?::=|=>|==?|:)[ \t]*+(?:"(?P<double>[^"\n]++)"|'(?P<single>[^'\n]++)'|(?P<bare>[^\s"']++))"""
 # The same within an unquoted value, where a value ends at the next mark; so the work stays linear.
 NESTED = r"""(?i)(?:token|secret|key|password|passwd|pwd|auth|bearer|credential|access)s?(?::=|=>|==?|:)([^\s"'&#,;:=]++)"""
-PARAMETER = r"[?&][A-Za-z0-9_.%-]{0,64}\Z"
+# Characters of a parameter's name in a URL.
+PARAMETER = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.%-"
 OTHERS = ["sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "uuid", "id", "etag", "revision", "version"]
 # Beginnings that issuers give their tokens.
 PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "AIza", "glpat-", "eyJ"]
@@ -53,7 +54,7 @@ def candidate_pattern():
     return re.compile(CANDIDATE)
 
 
-def proposed(text: str, tokens=re.compile(CANDIDATE), assigned=re.compile(ASSIGNED), nested=re.compile(NESTED), parameter=re.compile(PARAMETER), dotted=re.compile(DOTTED), block=re.compile(BLOCK)) -> list[tuple[int, int]]:
+def proposed(text: str, tokens=re.compile(CANDIDATE), assigned=re.compile(ASSIGNED), nested=re.compile(NESTED), dotted=re.compile(DOTTED), block=re.compile(BLOCK)) -> list[tuple[int, int]]:
     """Sorted (start, stop) of all candidates: they may overlap, equal ones are listed once."""
     found = {m.span() for pattern in (tokens, dotted, block) for m in pattern.finditer(text)}
     at = 0
@@ -65,12 +66,19 @@ def proposed(text: str, tokens=re.compile(CANDIDATE), assigned=re.compile(ASSIGN
             while n := nested.search(text, inner, stop):
                 inner = n.start(1)
                 found.add((inner, inner + _clause(n[1])))
-            value = re.split("[&#]", m["bare"], maxsplit=1)[0] if parameter.search(text, max(0, m.start() - 65), m.start("name")) else m["bare"]
+            value = re.split("[&#]", m["bare"], maxsplit=1)[0] if _parameter(text, m.start("name")) else m["bare"]
             stop = start + _clause(value)
         found.add((start, stop))
     return sorted(s for s in found if s[1] > s[0])
 
 
+def _parameter(text: str, at: int) -> bool:
+    """Whether the name that goes on at `at` is a parameter of a URL. A name holds no mark that ends one, so looking back stays linear."""
+    while at and text[at - 1] in PARAMETER:
+        at -= 1
+    return at > 0 and text[at - 1] in "?&"
+
+
 def _clause(value: str) -> int:
     """The length of value without marks at its end that end a clause, or a bracket that it doesn't open."""
     n = len(value.rstrip(",;.)]}>"))
@@ -269,11 +277,21 @@ def _grow(x, y, rng, depth: int):
     return f, cut, _grow(x[low], y[low], rng, depth - 1), _grow(x[~low], y[~low], rng, depth - 1)
 
 
-def fit_forest(findings, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
-    """Trees on bootstrap samples of labelled findings (span, before, path, label, and after where known)."""
+def findings_of(table: DataFrame, most: int = FINDINGS) -> list[tuple[str, str, str, int, str]]:
+    """Labelled findings from a table with span, before, path, label (0 or 1) and after: `most` distinct rows at most, those with the least hashes.
+
+    Rows without a span or with another label are left out; NULL contexts and paths are empty. Other columns are ignored.
+    """
+    known = table.where("span is not null and span != '' and label in (0, 1)")
+    rows = bounded_sample(known.select("span", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("before", "path")], F.col("label").cast("int").alias("label"), F.coalesce(F.col("after"), F.lit("")).alias("after")), most, SEED)
+    return sorted(map(tuple, rows.collect()))
+
+
+def fit_forest(findings, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, words: frozenset[str] = frozenset()) -> list:
+    """Trees on bootstrap samples of labelled findings (span, before, path, label, and after where known), with the dictionary that they will score with."""
     import numpy as np
 
-    x = np.array([features(f[0], f[1], f[2], *f[4:5]) for f in findings])
+    x = np.array([features(f[0], f[1], f[2], f[4] if len(f) > 4 else "", words) for f in findings])
     y = np.array([f[3] for f in findings], "f8")
     rng = np.random.default_rng(seed)
     return [_grow(x[own], y[own], rng, depth) for own in (rng.integers(0, len(y), len(y)) for _ in range(trees))]
@@ -296,8 +314,9 @@ def scan(docs: DataFrame, findings: list | None = None, threshold: float = THRES
     columns are ignored. Texts are searched whole and tokens have no greatest
     length. Findings may overlap where a token is part of an assigned value.
     """
-    forest = fit_forest(findings if findings is not None else labelled_findings())
-    shared = docs.sparkSession.sparkContext.broadcast((forest, dictionary(docs)))
+    words = dictionary(docs)
+    forest = fit_forest(findings if findings is not None else labelled_findings(), words=words)
+    shared = docs.sparkSession.sparkContext.broadcast((forest, words))
 
     def run(batches):
         import hashlib

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from conftest import same_rows
 
-from lodestar.llm import bpe, common, components, embedding_dedup, exact_dedup, jaccard, langid, lines, packing, pii, quality, registry, secrets
+from lodestar.llm import bpe, common, components, embedding_dedup, exact_dedup, jaccard, langid, linear, lines, packing, pii, quality, registry, secrets
 from lodestar.llm import shingles as shingles_module
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -357,7 +357,7 @@ def test_decoder_round_trip():
 
 
 def test_packing_is_whole(spark, docs):
-    rows = packing.pack(docs, sequence=64, docs_per_group=4).collect()
+    rows = packing.pack(docs, sequence=64, pieces_per_group=4).collect()
     encoder = bpe.Encoder(bpe.default_vocabulary())
     sequences: dict = {}
     for r in rows:
@@ -493,7 +493,7 @@ def test_bounded_sample_is_bounded(spark):
 def test_dual_coordinate_descent_separates():
     rows = [(np.array([0, 2]), np.array([1.0, 1.0])), (np.array([1, 2]), np.array([1.0, 1.0]))] * 5
     signs = np.array([1.0, -1.0] * 5)
-    weights = quality._dual_coordinate_descent(rows, signs, 3, np.ones(10), 50, 0)
+    weights = linear.dual_coordinate_descent(rows, signs, 3, np.ones(10), 50, 0)
     assert all(s * (weights[i] @ v) > 0.9 for (i, v), s in zip(rows, signs, strict=True))
 
 
@@ -616,7 +616,7 @@ def test_scan_against_a_plain_loop(spark):
                 counts[w] = counts.get(w, 0) + 1
     words = secrets.dictionary(frame)
     assert words == {w for w, n in counts.items() if n > 1} and secrets.dictionary(frame, 4) == {w for w in words if 4 * counts[w] >= sum(counts.values())}
-    forest = secrets.fit_forest(secrets.labelled_findings())
+    forest = secrets.fit_forest(secrets.labelled_findings(), words=words)
     want = {(i, a, b) for i, t in texts for a, b in secrets.proposed(t or "") if secrets.probability(forest, secrets.features(t[a:b], t[max(0, a - secrets.CONTEXT) : a], "", t[b : b + secrets.CONTEXT], words)) >= secrets.THRESHOLD}
     assert {(r.doc_id, r.start, r.stop) for r in secrets.scan(frame).collect()} == want
 
