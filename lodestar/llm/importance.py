@@ -99,6 +99,8 @@ def _counter(order: int, buckets: int, together: int):
             waiting, size = [], 0
 
             def flush():
+                if not waiting:
+                    return
                 for (row, piece), (own, n) in zip(waiting, counted([p for _, p in waiting]), strict=True):
                     words, before, n_before = sums[row]
                     if before is not None:

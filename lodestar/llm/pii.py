@@ -41,6 +41,8 @@ GENERATORS = {
     "address": ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,64}+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,64}+){1,8}"),
     "quad": ("ip", r"(?<![0-9.])[0-9]{1,3}(?:[.,]\x20?[0-9]{1,3}){3}(?![0-9])"),
 }
+# Four numbers, whatever parts them.
+QUAD = r"^[0-9]{1,3}(?:[.,]\x20?[0-9]{1,3}){3}$"
 
 # Words near a span that name what it is.
 CONTEXT_WORDS = r"(?i)\b(?:phone|tel|call|mobile|fax|card|visa|mail|email|contact|ip|host|address|reach|write)\b"
@@ -48,7 +50,10 @@ CONTEXT_WORDS = r"(?i)\b(?:phone|tel|call|mobile|fax|card|visa|mail|email|contac
 # Words right before a number that is called.
 CALLED_WORDS = r"(?i)\b(?:phone|tel|telephone|call|mobile|fax|cell|reach)\b[^0-9]{0,12}$"
 
-SEED, SEEDED = 3, 12_000
+# Words right before an address of a machine.
+HOST_WORDS = r"(?i)\b(?:ip|ips|host|hosts|server|address|addr|gateway|dns|ping|subnet)\b[^0-9]{0,12}$"
+
+SEED, SEEDED = 3, 14_000
 
 # What any match of a pattern holds. A text without it is not searched further.
 NEEDS = {
@@ -173,10 +178,12 @@ def _features(generator: str, s: Column) -> Column:
         s["before"].rlike(CALLED_WORDS).alias("called"),
         s["before"].rlike(r"[=:\"'#]\x20?$").alias("assigned"),
         s["after"].rlike(r"^[\x20.,;)]?\x20|^[\x20.,;)\n]?$").alias("closed"),
+        s["before"].rlike(HOST_WORDS).alias("hosted"),
+        (s["span"].rlike(QUAD) & F.forall(F.regexp_extract_all(s["span"], F.lit("[0-9]+"), F.lit(0)), lambda p: p.try_cast("int") <= 255)).alias("octets"),
     )
 
 
-FEATURES = ["digits", "plus", "marked", "spelled", "spaced", "fours", "named", "called", "assigned", "closed"]
+FEATURES = ["digits", "plus", "marked", "spelled", "spaced", "fours", "named", "called", "assigned", "closed", "hosted", "octets"]
 SPLITS = [(f, 1) for f in FEATURES if f != "digits"] + [("digits", v) for v in range(1, 7)]
 
 
@@ -192,10 +199,12 @@ def labelled_sentences(count: int = SEEDED, seed: int = SEED) -> list[tuple[int,
     kinds = ["card", "visa", "ip", "host", "address", "card number", "visa:", "ip =", "order", "id=", "isbn", "invoice #"]
     fill = lambda shape: "".join(rng.choice("123456789") if c == "#" else c for c in shape)
     word = lambda: "".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 9)))
+    hosts = ["ip", "ip:", "host", "server", "the address", "gateway", "dns", "ping", "IP address", "server at"]
+    four = lambda most: rng.choice([", ", ",", ". "]).join(str(rng.randint(0, most)) for _ in range(4))
     out = []
     for i in range(count):
         start, good = f"{word()} {rng.choice(plain)} ", True
-        kind = rng.randrange(6)
+        kind = rng.randrange(7)
         if kind < 2:
             start, span = start + rng.choice(called) + " ", fill(rng.choice(phones))
         elif kind == 2:
@@ -205,8 +214,13 @@ def labelled_sentences(count: int = SEEDED, seed: int = SEED) -> list[tuple[int,
             start, good, span = start + rng.choice(kinds) + " ", False, fill(rng.choice(numbers))
         elif kind == 4:
             good, span = False, fill(rng.choice(numbers + [f"# @ #.## {word()}", f"{word()} @ {word()}. {word()}"]))
-        else:
+        elif kind == 5:
             good, span = rng.random() < 0.2, fill(rng.choice(phones))
+        elif rng.random() < 0.5:
+            start, span = start + rng.choice(hosts) + " ", four(255)
+        else:
+            start, good, span = start + rng.choice([*plain, *hosts[:4]]) + " ", False, four(rng.choice([255, 999]))
+            good = start.rstrip().rsplit(maxsplit=1)[-1] in hosts and all(int(n) <= 255 for n in span.replace(",", " ").replace(".", " ").split())
         end = rng.choice([" now", ".", ", ", ") ", "", " " + word()])
         out.append((i, start + span + end, len(start) if good else 0, len(start) + len(span) if good else 0))
     return out
@@ -224,7 +238,7 @@ def candidates(docs: DataFrame, known: Column | None = None) -> DataFrame:
     rows = rows.select("doc_id", "base", F.explode("c").alias("c"))
     over = lambda b: (b["start"] < F.col("c.stop")) & (b["stop"] > F.col("c.start"))
     own = F.exists("base", lambda b: over(b) & (b["kind"] == F.col("c.kind")))
-    settled = F.lit(True) if known is not None else ~own & (F.exists("base", over) | (F.col("c.f.generator") == "quad"))
+    settled = F.lit(True) if known is not None else ~own & (F.exists("base", over) | ((F.col("c.f.generator") == "quad") & ~F.col("c.f.octets")))
     return rows.select("doc_id", "c.start", "c.stop", "c.kind", "c.f.*", own.alias("label"), settled.alias("settled"))
 
 
@@ -234,9 +248,9 @@ def seeded_candidates(spark) -> DataFrame:
 
     columns = zip(*labelled_sentences(), strict=True)
     frame = spark.createDataFrame(pa.table(dict(zip(("doc_id", "text", "first", "last"), columns, strict=True))))
-    kinds = [F.struct(F.col("first").alias("start"), F.lit(KINDS.index(k)).alias("kind"), F.col("last").alias("stop")) for k in ("phone", "email")]
-    spelled = F.col("text").rlike(r"\(at\)|\[at\]")
-    return candidates(frame, F.array(F.when(spelled, kinds[1]).otherwise(kinds[0])))
+    known = {k: F.struct(F.col("first").alias("start"), F.lit(KINDS.index(k)).alias("kind"), F.col("last").alias("stop")) for k in KINDS}
+    spelled, quad = F.col("text").rlike(r"\(at\)|\[at\]"), F.substring("text", F.col("first") + 1, F.col("last") - F.col("first")).rlike(QUAD)
+    return candidates(frame, F.array(F.when(spelled, known["email"]).when(quad, known["ip"]).otherwise(known["phone"])))
 
 
 @dataclass
@@ -323,7 +337,7 @@ def fit(docs: DataFrame, precision: float = 0.98) -> Model:
     """Fit to the feature patterns of seeded sentences and of all documents' settled candidates; a fifth of either, by id, calibrates the thresholds.
 
     The tables that reach the driver have a row per feature pattern and fold: at
-    most 3 x 7 x 2^9 x 2, whatever the corpus.
+    most 3 x 7 x 2^11 x 2, whatever the corpus.
     """
     held = F.coalesce(bucket_of(F.col("doc_id"), 5) == 0, F.lit(False))
     rows = []

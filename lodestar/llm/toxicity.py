@@ -10,6 +10,8 @@ probabilities by a logistic fit on texts that the model didn't see.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +24,7 @@ ORDERS = (4, 6, 8)
 #: A repeated n-gram has a further feature for each part of the words, in 256ths, that its occurrences reach.
 SHARES = (2, 4, 8)
 SIZE = 2**BITS + len(SHARES) * 2**SHARE_BITS
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 3_000
 EPOCHS = 8
 THRESHOLD = 0.5
 #: Texts are hashed together up to about so many characters.
@@ -66,13 +68,14 @@ def features(texts: list[str]):
             parts.append((f" {' '.join(words)} ", len(words)))
             size += len(parts[-1][0])
             at += 1
-        points = np.frombuffer("".join(p for p, _ in parts).encode("utf-32-le", "surrogatepass"), "<u4")
-        hashes = _windows(points) if len(points) >= max(ORDERS) else {}
+        # zeros behind the last text, so that short ones have the windows they have among others
+        points = np.frombuffer(("".join(p for p, _ in parts) + "\0" * max(ORDERS)).encode("utf-32-le", "surrogatepass"), "<u4")
+        hashes = _windows(points)
         start = 0
         for part, words in parts:
             stop = start + len(part)
             # a text too short for an order has no windows of it; hashes end earlier than points
-            mine = [hashes[n][start : stop - n + 1] for n in ORDERS if n in hashes and stop - start >= n]
+            mine = [hashes[n][start : stop - n + 1] for n in ORDERS if stop - start >= n]
             yield _levels(np.concatenate(mine), words) if mine else np.empty(0, "i4")
             start = stop
 
@@ -165,8 +168,9 @@ def fit(labelled: DataFrame, totals: tuple[int, int] | None = None):
         import pyarrow as pa
 
         ids, toxic = rows.column("doc_id").to_pylist(), rows.column("toxic").to_pylist()
-        found = [np.frombuffer(f.as_py(), "i4") for f in rows.column("found")]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, toxic[i], len(found[i]), found[i].tobytes()))
+        # views of the column's own memory
+        found = [np.frombuffer(f.as_buffer(), "i4") for f in rows.column("found")]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, toxic[i], len(found[i]), zlib.crc32(found[i])))
         weights, bias, slope, offset = train([found[i] for i in order], [toxic[i] for i in order], totals)
         return pa.table({"weights": [weights.tobytes()], "bias": [bias], "slope": [slope], "offset": [offset]})
 
