@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,22 +18,43 @@ from lodestar.operators.evidence import grounded
 # What a completion's own status stands for, and reasons of an end that cut it short.
 STATUS = {"answered": "answered", "abstained": "abstained", "insufficient": "abstained", "ambiguous": "ambiguous", "conflicting": "unresolved", "conflict": "unresolved"}
 CUT = ["length", "max_tokens"]
+#: How often a text may be read in vain.
+WASTE = 20
 SUPPORT = "array<struct<evidence_id:string,quote:string>>"
 READ = f"struct<status:string,answer:string,reason:string,citation_ids:array<string>,support:{SUPPORT}>"
 EMPTY = ["ambiguous", "not_found", "unresolved", "unsupported", "abstained", "generation_error", "error", "not_implemented"]
 
 
-def first_object(text: str | None) -> dict | None:
-    """The first JSON object of a text, fenced or not; one that has a status is preferred."""
-    fenced = re.search(r"```(?:json)?\s*(.*?)\s*```", text or "", re.S)
-    body, at, found = (fenced[1] if fenced else text or "").strip(), 0, []
-    while (at := body.find("{", at)) >= 0:
+def objects(text: str) -> Iterator[dict]:
+    """The JSON objects that stand in a text, outermost ones, in order.
+
+    Text that only looks like JSON can make a reader start over at every brace,
+    or nest deeper than it goes: what was read in vain is counted, and beyond
+    WASTE times the text's length nothing more is read.
+    """
+    reader, left, after = json.JSONDecoder(), WASTE * (len(text) + 1000), 0
+    for brace in re.finditer(r"\{(?=\s*[\"}])", text):
+        if brace.start() < after:
+            continue
         try:
-            value, at = json.JSONDecoder().raw_decode(body, at)
-            found.append(value)
-        except ValueError:
-            at += 1
-    return next((v for v in found if "status" in v), found[0] if found else None)
+            value, after = reader.raw_decode(text, brace.start())
+        except RecursionError:
+            left -= 10_000
+        except json.JSONDecodeError as broken:
+            left -= broken.pos - brace.start() + broken.pos // 64 + 1  # an error counts the lines before it
+        else:
+            yield value
+        if left < 0:
+            return
+
+
+def first_object(text: str | None) -> dict | None:
+    """The first JSON object of a text, or of its first fenced block where it has one; one with a status is preferred. None where there is none, or none can be read."""
+    plain = text or ""
+    _, _, block = plain.partition("```")
+    block, closed, _ = block.partition("```")
+    found = list(objects(block.removeprefix("json") if closed else plain))
+    return next(iter([v for v in found if "status" in v] + found), None)
 
 
 def read(text: Column) -> Column:

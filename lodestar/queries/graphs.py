@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import names, questions
 from lodestar.operators import contract, diagnostics, embeddings, graph, ingest, scoring
 from lodestar.plans import answers
+from lodestar.plans.investigate import Retrieved
 from lodestar.plans.investigate import investigate as run_rounds
 from lodestar.queries.catalog import QUERIES, ev, query
 from lodestar.queries.corpus import SPORTS, _canonical, asked, pages
@@ -77,10 +78,10 @@ def merged_retrievals(spark, sf_dir) -> DataFrame:
 
 
 OBSERVED = """WITH o AS (SELECT conv_id AS qid, lpad(turn::VARCHAR, 6, '0') AS evidence_id, coalesce(text, '') AS t FROM conversations),
-p AS (SELECT *, row_number() OVER w AS i, coalesce(sum(length(t)) OVER (PARTITION BY qid ORDER BY evidence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o WINDOW w AS (PARTITION BY qid ORDER BY evidence_id))"""
+p AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY qid) AS n, coalesce(sum(length(t)) OVER (PARTITION BY qid ORDER BY evidence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o WINDOW w AS (PARTITION BY qid ORDER BY evidence_id))"""
 
 
-@query(OBSERVED + " SELECT qid, evidence_id, length(t) > greatest(300 - before, 0) AS truncated, least(length(t), greatest(300 - before, 0))::BIGINT AS chars FROM p WHERE i <= 5")
+@query(OBSERVED + " SELECT qid, evidence_id, length(t) > greatest(300 - before, 0) OR n > 5 AS truncated, least(length(t), greatest(300 - before, 0))::BIGINT AS chars FROM p WHERE i <= 5")
 def observation_budget(spark, sf_dir) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("evidence_id"), F.lit("chunk").alias("evidence_type"), F.coalesce("text", F.lit("")).alias("value"), F.lit(False).alias("complete_set"))
     return contract.observed(rows, 300, 5).select("qid", "evidence_id", "truncated", F.char_length("value").cast("long").alias("chars"))
@@ -90,12 +91,28 @@ def observation_budget(spark, sf_dir) -> DataFrame:
 CASE WHEN id % 5 = 0 THEN 0 WHEN nations IS NULL THEN 1 WHEN id % 7 = 0 THEN 2 WHEN id % 2 = 0 THEN 3 ELSE 1 END AS tool_calls, CASE WHEN id % 5 = 0 OR nations IS NULL THEN 0 WHEN id % 7 = 0 OR id % 2 = 0 THEN 1 ELSE 0 END AS followups FROM ev"""))
 def investigation(spark, sf_dir) -> DataFrame:
     """Every event asked for its nations: some unparsed, some by two hops, some with two candidates."""
-    events = event_view(spark, sf_dir)
+    events = event_view(spark, sf_dir).withColumn("qid", F.col("id"))
     status = F.when(F.col("nations").isNull(), "unresolved").when(F.col("id") % 7 == 0, "ambiguous").otherwise("supported")
-    primary = events.select(F.col("id").alias("qid"), F.when(F.col("id") % 2 == 0, "multi_hop").otherwise("lookup").alias("qtype"), (F.col("id") % 5 != 0).alias("parsed"), status.alias("status"), F.when(F.col("id") % 7 == 0, F.array(F.col("id"), F.col("id") + 1)).otherwise(F.array("id")).alias("event_ids"), F.when(status == "supported", 1).otherwise(0).alias("facts"))
-    edges = graph.neighborhood(events).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
-    chunks = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("event_id")).agg(F.count(F.lit(1)).alias("n"))
-    return run_rounds(primary, edges, chunks).select("qid", "stop_reason", "tool_calls", "followups")
+    none = F.lit(None).cast("string")
+    item = lambda tag, kind, event, field, value, method: F.struct(F.concat(F.lit(tag), event).alias("evidence_id"), F.lit(kind).alias("evidence_type"), event.alias("event_id"), F.lit(field).alias("field_name"), value.alias("value"), F.lit(method).alias("retrieval_method"))
+    own, other, nations = F.col("id").cast("string"), (F.col("id") + 1).cast("string"), F.col("nations").cast("string")
+    primary = F.array_compact(F.array(item("entity:", "entity", own, "title", F.col("title"), "lookup"), F.when(F.col("id") % 7 == 0, item("entity:", "entity", other, "title", F.col("title"), "lookup")), F.when(status == "supported", item("fact:", "fact", own, "nations", nations, "lookup"))))
+
+    def retrieve(asks):
+        rows = events.join(asks, "qid")
+        return Retrieved(rows.select("qid", status.alias("status"), none.alias("error")), rows.select("qid", F.inline(primary)))
+
+    edges = graph.neighborhood(events).select(F.col("event_id").cast("string").alias("event_id"), "relation", "tgt")
+    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("event_id"), F.concat_ws("::", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("chunk"), "l_returnflag")
+
+    def found(asks, rows):
+        return Retrieved(rows.select("qid", F.lit("supported").alias("status"), none.alias("error")).distinct(), rows)
+
+    hop = lambda asks: found(asks, asks.join(edges, "event_id").select("qid", F.concat("relation", F.lit(":"), "tgt").alias("evidence_id"), F.lit("edge").alias("evidence_type"), "event_id", F.col("relation").alias("field_name"), F.col("tgt").alias("value"), F.lit("hop").alias("retrieval_method")))
+    texts = lambda asks: found(asks, asks.join(lines, "event_id").select("qid", F.concat(F.lit("chunk:"), "chunk").alias("evidence_id"), F.lit("chunk").alias("evidence_type"), "event_id", F.lit("text").alias("field_name"), F.col("l_returnflag").alias("value"), F.lit("chunks").alias("retrieval_method")))
+    asks = events.select("qid", F.when(F.col("id") % 2 == 0, "multi_hop").otherwise("lookup").alias("qtype"), F.when(F.col("id") % 5 != 0, "parsed").otherwise("unresolved").alias("parse_status"))
+    done = run_rounds(asks, {"retrieve_spec": retrieve, "event_neighborhood": hop, "supporting_chunks": texts})
+    return done.questions.select("qid", "stop_reason", "tool_calls", "followups")
 
 
 @query(ev("SELECT 'events' AS \"table\", count(*) AS n, true AS whole FROM ev UNION ALL SELECT 'games', count(DISTINCT (year, season)), true FROM ev UNION ALL SELECT 'held_at', count(venue), true FROM ev"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.queries import catalog, graphs, scored
+from lodestar.queries import catalog, graphs, pipelines, scored
 
 
 def queries() -> dict:
-    return dict(scored.QUERIES | graphs.QUERIES)
+    return dict(scored.QUERIES | graphs.QUERIES | pipelines.QUERIES)
 
 
 def oracle_sql() -> dict:

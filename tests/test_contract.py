@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lodestar.functions import answers as answer_texts
 from lodestar.functions import questions
 from lodestar.operators import completion, contract, embeddings, reports, scoring
-from lodestar.plans.investigate import Budget, investigate
 from lodestar.sources import export, files
 
 
@@ -38,17 +37,6 @@ def test_parameters_of_temporal_and_venue_questions(spark):
     assert tuple(row.a) == ("men's 100 metres", "mens 100 metre", "100 metre", "men") and tuple(row.b) == ("", "", "", "") and row.s == "table tennis"
 
 
-def test_investigations_stop_for_a_reason(spark):
-    rows = [("a", "lookup", True, "supported", ["1"], 1), ("b", "multi_hop", True, "supported", ["1"], 1), ("c", "multi_hop", True, "supported", ["2"], 1), ("d", "lookup", True, "supported", ["1"], 0), ("e", "lookup", True, "ambiguous", ["1", "2"], 0), ("f", "lookup", True, "not_found", [], 0), ("g", "lookup", False, None, [], 0)]
-    primary = spark.createDataFrame(rows, "qid string, qtype string, parsed boolean, status string, event_ids array<string>, facts int")
-    edges = spark.createDataFrame([("1", 3)], "event_id string, n long")
-    got = {r.qid: r for r in investigate(primary, edges, edges).collect()}
-    assert {q: (r.stop_reason, r.tool_calls, r.followups) for q, r in got.items()} == {"a": ("answered", 1, 0), "b": ("answered", 3, 1), "c": ("budget_exhausted", 4, 2), "d": ("no_progress", 2, 1), "e": ("ambiguous", 2, 1), "f": ("not_found", 1, 0), "g": ("unresolved", 0, 0)}
-    assert got["b"].tools == ["retrieve_spec", "event_neighborhood", "supporting_chunks"]
-    short = {r.qid: r for r in investigate(primary, edges, edges, Budget(tool_calls=1)).collect()}
-    assert short["b"].stop_reason == "budget_exhausted" and short["b"].tool_calls == 1 and short["a"].stop_reason == "answered"
-
-
 def test_exports_are_whole_or_refused(spark, tmp_path):
     path = str(tmp_path / "export")
     table = spark.createDataFrame([("b", "2", "Yes", None, "x\ty"), ("a", "q", None, "5", "l\nm\\")], "id string, year string, is_event string, nations string, name string")
