@@ -97,45 +97,52 @@ def cosine(left: Column, right: Column) -> Column:
     return dot / F.nullif(norm(left) * norm(right), F.lit(0.0))
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """queries (query_id, embedding) against all vectors (vec_id, embedding), exact, a query never with itself.
-
-    The queries, a set whose size the caller states, are shipped in blocks of
-    rows; each task keeps its k best for each query, so k rows for each query
-    and task are shuffled.
-    """
-    spark = vectors.sparkSession
-    asked = queries.select("query_id", "embedding").where("embedding is not null").toPandas()
-    shared = spark.sparkContext.broadcast((asked["query_id"].to_numpy(), [list(v) for v in asked["embedding"]]))
+def best_in_tile(k: int):
+    """For cogroups of queries (query_id, asked) and vectors (vec_id, own): the k best vectors of each query by cosine rounded to 6 digits, then id; vectors of another length, of norm 0 or with the query's id don't count."""
 
-    def run(batches):
+    def run(asks, rows):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        ids, rows = shared.value
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not len(ids):
-            return
-        asked = np.array(rows, "f8")
-        asked_norm = np.sqrt((asked * asked).sum(1))
-        best: list = [[] for _ in ids]
-        for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            if not batch.num_rows:
-                continue
-            own_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            own = np.array(batch.column(1).to_pylist(), "f8")
-            norm = np.sqrt((own * own).sum(1))
+        out: dict = {"query_id": [], "vec_id": [], "score": []}
+        sizes = [pc.list_value_length(t.column(c)).to_numpy() for t, c in ((asks, "asked"), (rows, "own"))]
+        for n in np.intersect1d(*sizes):
+            (q, asked), (v, own) = ((t.column(i).to_numpy()[at], np.array(t.column(c).take(pa.array(at)).to_pylist(), "f8").reshape(len(at), n)) for t, i, c, at in ((asks, "query_id", "asked", np.flatnonzero(sizes[0] == n)), (rows, "vec_id", "own", np.flatnonzero(sizes[1] == n))))
             with np.errstate(divide="ignore", invalid="ignore"):
-                score = np.round(asked @ own.T / (asked_norm[:, None] * norm[None]), 6)
-            for q in range(len(ids)):
-                good = np.flatnonzero(np.isfinite(score[q]) & (own_ids != ids[q]))
-                top = good[np.lexsort((own_ids[good], -score[q][good]))[:k]]
-                best[q] = sorted(best[q] + [(-float(score[q][i]), int(own_ids[i])) for i in top])[:k]
-        flat = [(int(ids[q]), v, -s) for q, rows_q in enumerate(best) for s, v in rows_q]
-        yield pa.RecordBatch.from_pydict({"query_id": [f[0] for f in flat], "vec_id": [f[1] for f in flat], "score": [f[2] for f in flat]}, schema=schema)
-
-    found = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+                score = np.round(asked @ own.T / (np.sqrt((asked * asked).sum(1))[:, None] * np.sqrt((own * own).sum(1))[None]), 6)
+            for i, query in enumerate(q):
+                good = np.flatnonzero(np.isfinite(score[i]) & (v != query))
+                if len(good) > k:
+                    good = good[score[i, good] >= np.partition(score[i, good], len(good) - k)[len(good) - k]]
+                top = good[np.lexsort((v[good], -score[i, good]))[:k]]
+                out["query_id"] += [int(query)] * len(top)
+                out["vec_id"] += v[top].tolist()
+                out["score"] += score[i, top].tolist()
+        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+
+    return run
+
+
+BEST = "query_id long, vec_id long, score double"
+QUERIES_PER_TILE, VECTORS_PER_TILE = 2048, 16_384
+
+
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """queries (query_id, embedding) against all vectors (vec_id, embedding), exact, a query never with itself.
+
+    Queries and vectors are dealt to blocks and tiles by hash, and meet in one
+    task for each pair of these, so neither set is held by the driver or any task;
+    k rows for each query and tile are shuffled. NULL vectors take no part, k below 1 gives nothing.
+    """
+    asks = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("asked"))
+    rows = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("own"))
+    blocks, tiles = (max(1, -(-df.count() // most)) for df, most in ((asks, QUERIES_PER_TILE), (rows, VECTORS_PER_TILE)))
+    mine = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asks.withColumn("block", mine("query_id", blocks)).withColumn("tile", every(tiles))
+    right = rows.withColumn("tile", mine("vec_id", tiles)).withColumn("block", every(blocks))
+    found = left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile")).applyInArrow(best_in_tile(max(k, 0)), BEST) if k > 0 else left.sparkSession.createDataFrame([], BEST)
     return top_k(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 

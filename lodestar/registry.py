@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.queries import catalog, graphs, pipelines, scored
+from lodestar.queries import catalog, graphs, pipelines, scored, tables
 
 
 def queries() -> dict:
-    return dict(scored.QUERIES | graphs.QUERIES | pipelines.QUERIES)
+    return dict(scored.QUERIES | graphs.QUERIES | pipelines.QUERIES | tables.QUERIES)
 
 
 def oracle_sql() -> dict:
