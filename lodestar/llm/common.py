@@ -147,6 +147,47 @@ def let_go() -> None:
     sys.__dict__.get("_lodestar_held", {}).clear()
 
 
+def trim() -> None:
+    """Give what this worker process has freed back to the system: workers live on between tasks, and what idle ones hold counts like what busy ones do."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other systems' libraries have no such call
+        pass
+
+
+#: Groups of so many bytes are worth a trim.
+TRIM_FROM = 1 << 22
+
+
+def sparing(run):
+    """run over one group, then trim."""
+
+    def inner(rows):
+        out = run(rows)
+        if rows.nbytes > TRIM_FROM:
+            trim()
+        return out
+
+    return inner
+
+
+def sparing_stream(run):
+    """run over a task's batches, then trim."""
+
+    def inner(batches):
+        yield from run(batches)
+        trim()
+
+    return inner
+
+
 def free_name(name: str, df: DataFrame) -> str:
     """name, or with underscores after it a name that no column of df has."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import discard, stash
+from lodestar.llm.common import discard, sparing_stream, stash
 
 
 def _forest(batches):
@@ -51,7 +51,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     kind = links.schema["a"].dataType.simpleString()
     links = links.where("a is not null and b is not null and a != b").select("a", "b")
-    stars = stash(links.mapInArrow(_forest, f"a {kind}, b {kind}"), "stars")
+    stars = stash(links.mapInArrow(sparing_stream(_forest), f"a {kind}, b {kind}"), "stars")
     state = _state(stars)
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))

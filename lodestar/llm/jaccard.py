@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import columns_of, discard, free_name, groups_for, let_go, located, lookup, stash, table
+from lodestar.llm.common import TRIM_FROM, columns_of, discard, free_name, groups_for, let_go, located, lookup, sparing, sparing_stream, stash, table, trim
 from lodestar.llm.components import components
 
 #: The threshold as a ratio: 100 * intersection >= 75 * union.
@@ -188,12 +188,12 @@ def _keys(docs: DataFrame, frequencies, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, nodes binary, sizes binary, keys binary, refs binary, places binary")
+    return docs.select("text").mapInArrow(sparing_stream(run), "bucket int, nodes binary, sizes binary, keys binary, refs binary, places binary")
 
 
 def _tiles(buckets: int):
     short = ALL_PAIRS_UP_TO
-    return lambda rows: _tiles_of(rows, rows.column("bucket")[0].as_py() >= buckets, short)
+    return sparing(lambda rows: _tiles_of(rows, rows.column("bucket")[0].as_py() >= buckets, short))
 
 
 def _tiles_of(rows, hot: bool, short: int):
@@ -297,6 +297,13 @@ def _settle(pairs, sets):
     return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
 
 
+def _settled(pairs, sets):
+    out = _settle(pairs, sets)
+    if sets.nbytes > TRIM_FROM:
+        trim()
+    return out
+
+
 def _arrays(batches):
     import pyarrow as pa
 
@@ -371,7 +378,7 @@ def _pair_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
     to = F.col("tile").alias("to_tile")
     wanted = placed.select(to, F.col("a").alias("node")).union(placed.select(to, F.col("b").alias("node"))).distinct()
     sent = wanted.join(sets.hint("merge"), "node").select("to_tile", "node", "own")
-    links = stash(placed.groupBy("tile").cogroup(sent.groupBy("to_tile")).applyInArrow(_settle, "a binary, b binary"), "jaccard-links")
+    links = stash(placed.groupBy("tile").cogroup(sent.groupBy("to_tile")).applyInArrow(_settled, "a binary, b binary"), "jaccard-links")
     discard(clusters, members, placed)
     return links
 
@@ -384,7 +391,7 @@ def _block_links(held: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
     sent = members.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     sent = sent.select("node", "n", "component", "cluster", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
     blocks = sent.join(sets.hint("merge"), "node")
-    links = stash(blocks.groupBy("cluster", "x", "y").applyInArrow(_join_block, "a binary, b binary"), "jaccard-block-links")
+    links = stash(blocks.groupBy("cluster", "x", "y").applyInArrow(sparing(_join_block), "a binary, b binary"), "jaccard-block-links")
     discard(clusters)
     return links
 
@@ -419,7 +426,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 def _joined(base: DataFrame) -> DataFrame:
     """jaccard_join of rows doc_id, text, locator."""
     base = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "locator")
-    signed = stash(base.mapInArrow(_signatures, "kind int, doc_id long, locator struct<file:string,row:bigint>, n long, node binary, bits binary"), "jaccard-signatures", ["kind"])
+    signed = stash(base.mapInArrow(sparing_stream(_signatures), "kind int, doc_id long, locator struct<file:string,row:bigint>, n long, node binary, bits binary"), "jaccard-signatures", ["kind"])
     rows = signed.where("kind = 0")
     frequencies = _frequencies(signed.where("kind = 1"))
     total = rows.agg(F.sum("n")).head()[0] or 0
@@ -432,13 +439,13 @@ def _joined(base: DataFrame) -> DataFrame:
     nodes = stash(nodes, "jaccard-nodes")
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     pairs = tiles.where("kind = 0").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    pairs = stash(pairs.mapInArrow(_refuse_by_bits, "a binary, b binary, n_a long, n_b long"), "jaccard-candidates")
+    pairs = stash(pairs.mapInArrow(sparing_stream(_refuse_by_bits), "a binary, b binary, n_a long, n_b long"), "jaccard-candidates")
     held = tiles.where("kind = 1").select(F.col("a").alias("node"), "tile")
 
     # the arrays of all nodes that are compared, made from the text of one document each; merged whatever their number
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(held.select("node")).distinct().join(nodes.select("node", F.col("least.locator").alias("place")), "node")
     texts = base.join(wanted.hint("merge"), base["locator"] == wanted["place"]).select("node", "text")
-    sets = stash(texts.mapInArrow(_arrays, "node binary, own binary"), "jaccard-sets")
+    sets = stash(texts.mapInArrow(sparing_stream(_arrays), "node binary, own binary"), "jaccard-sets")
 
     links = _pair_links(pairs.select("a", "b"), nodes, sets)
     first = components(links)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm import linear
-from lodestar.llm.common import bucket_of, columns_of, free_name, table
+from lodestar.llm.common import bucket_of, columns_of, free_name, sparing, table
 from lodestar.llm.linear import dual_coordinate_descent, logistic
 
 BITS = 16
@@ -98,7 +98,7 @@ def fit(labelled: DataFrame):
         return pa.table({"weights": [weights.tobytes()], "bias": [bias], "slope": [slope], "offset": [offset]})
 
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("quality").cast("int").alias("quality"), F.lit(1).alias("all"))
-    out = rows.mapInArrow(each, "doc_id long, found binary, quality int, `all` int").groupBy("all").applyInArrow(run, "weights binary, bias double, slope double, offset double").collect()
+    out = rows.mapInArrow(each, "doc_id long, found binary, quality int, `all` int").groupBy("all").applyInArrow(sparing(run), "weights binary, bias double, slope double, offset double").collect()
     import numpy as np
 
     if not out:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm import linear
-from lodestar.llm.common import bucket_of, free_name, table
+from lodestar.llm.common import bucket_of, free_name, sparing, table
 
 BITS, SHARE_BITS = 20, 17
 ORDERS = (4, 6, 8)
@@ -177,7 +177,7 @@ def fit(labelled: DataFrame, totals: tuple[int, int] | None = None):
     import numpy as np
 
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"), F.lit(1).alias("all"))
-    out = rows.mapInArrow(each, "doc_id long, found binary, toxic int, `all` int").groupBy("all").applyInArrow(run, "weights binary, bias double, slope double, offset double").collect()
+    out = rows.mapInArrow(each, "doc_id long, found binary, toxic int, `all` int").groupBy("all").applyInArrow(sparing(run), "weights binary, bias double, slope double, offset double").collect()
     if not out:
         return np.zeros(SIZE, "f4"), 0.0, 1.0, 0.0
     return np.frombuffer(out[0]["weights"], "f4"), out[0]["bias"], out[0]["slope"], out[0]["offset"]
