@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.names import tokenize
+from lodestar.sources.files import stash
 
 K1, B, RRF = 1.5, 0.75, 60
 
@@ -22,24 +23,58 @@ def corpus(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.size(tokenize(F.col(text))), F.lit(1)).cast("double")).alias("avgdl"))
 
 
+def weighted_postings(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """token, doc, w: the BM25 weight of each of the given tokens in each document that has it, written once.
+
+    One scan cuts the texts: a mark for each document, which no token equals,
+    goes with its tokens, so that the number of documents and their mean length
+    come from the same rows.
+    """
+    mark = F.lit("")
+    cut = docs.select(F.col("doc_id").alias("doc"), tokenize(F.col("text")).alias("t"))
+    rows = cut.select("doc", F.greatest(F.size("t"), F.lit(1)).alias("dl"), F.explode(F.array_append("t", mark)).alias("token"))
+    wanted = tokens.select("token").distinct().unionByName(docs.sparkSession.range(1).select(mark.alias("token")))
+    tf = stash(rows.join(wanted, "token", "left_semi").groupBy("token", "doc", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    total = tf.where("token = ''").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
+    own = tf.where("token <> ''")
+    df = own.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return stash(own.join(df, "token").join(F.broadcast(total)).select("token", "doc", weight.alias("w")), "weights")
+
+
+#: Rare tokens are scored first until their postings number so many times k.
+FIRST_POSTINGS = 8
+#: More than the rounding of a score to 6 digits.
+SCORE_SLACK = 1e-5
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """queries (query_id, text): query_id, doc, score, rank, k documents at most for each, by score rounded to 6 digits, then doc.
 
     Other columns of queries, such as the list or the variant that a text belongs
     to, tell queries apart like query_id, so that many lists share one pass over
-    the documents. A token that a query repeats adds repeatedly. Only postings of tokens that
-    some query has are kept past the scan.
+    the documents. A token that a query repeats adds repeatedly.
+
+    A query's rarest tokens alone give a floor under its k-th score. Common
+    tokens whose greatest weights together stay below it can't lift a document
+    that has nothing else; so only documents with one of the other, essential,
+    tokens are scored, and the postings of common tokens are looked up for these
+    alone. The result is that of scoring all.
     """
     by = [c for c in queries.columns if c != "text"]
-    asked = queries.select(*by, F.explode(tokenize(F.col("text"))).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("times"))
-    tokens = docs.select(F.col("doc_id").alias("doc"), tokenize(F.col("text")).alias("t"))
-    own = tokens.select("doc", F.greatest(F.size("t"), F.lit(1)).alias("dl"), F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    tf = own.groupBy("token", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    total = corpus(docs)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "token").join(asked, "token").join(F.broadcast(total)).groupBy(*by, "doc").agg(F.round(F.sum(weight * F.col("times")), 6).alias("score"))
+    asked = stash(queries.select(*by, F.explode(tokenize(F.col("text"))).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("times")), "asked-tokens")
+    weights = weighted_postings(docs, asked)
+    tops = weights.groupBy("token").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("df"))
+    upto = lambda order: Window.partitionBy(*by).orderBy(*order, "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    terms = asked.join(tops, "token").withColumn("bound", F.col("times") * F.col("top"))
+    terms = stash(terms.withColumn("postings", F.sum("df").over(upto(["df"])) - F.col("df")).withColumn("reach", F.sum("bound").over(upto(["bound"]))), "query-terms")
+    part = F.sum(F.col("w") * F.col("times"))
+    rare = terms.where(F.col("postings") < FIRST_POSTINGS * k).join(weights, "token").groupBy(*by, "doc").agg(part.alias("part"))
+    floors = top_k(rare, by, [F.desc("part")], k).groupBy(*by).agg(F.when(F.count(F.lit(1)) == k, F.min("part")).alias("floor"))
+    split = terms.join(floors, by, "left").withColumn("essential", F.coalesce(F.col("reach") >= F.col("floor") - SCORE_SLACK, F.lit(True)))
+    candidates = split.where("essential").select(*by, "token").join(weights.select("token", "doc"), "token").select(*by, "doc").distinct()
+    scored = candidates.join(terms.select(*by, "token", "times"), by).join(weights, ["token", "doc"]).groupBy(*by, "doc").agg(F.round(part, 6).alias("score"))
     return top_k(scored.where("score > 0"), by, [F.desc("score"), F.asc("doc")], k)
 
 
