@@ -73,8 +73,8 @@ UNION ALL SELECT 'top:' || sport || ':' || year::VARCHAR || ':' || season, 'argm
  FROM (SELECT *, max(competitors) OVER (PARTITION BY sport, year, season) AS best FROM ev) GROUP BY sport, year, season
 UNION ALL SELECT 'nations:' || id::VARCHAR, 'lookup_nations', CASE WHEN nations IS NULL THEN 'unresolved' ELSE 'supported' END, CASE WHEN nations IS NULL THEN 'missing_field:nations' END, nations::VARCHAR FROM ev"""))
 def solve_questions(spark, sf_dir) -> DataFrame:
-    events = event_view(spark, sf_dir)
-    return answers.solve(questions.parse_questions(asked(events), SPORTS), _canonical(events))
+    events = files.stash(event_view(spark, sf_dir), "events")
+    return answers.solve(files.stash(questions.parse_questions(asked(events), SPORTS), "parsed"), files.stash(_canonical(events), "canonical"))
 
 
 @query(ev("SELECT sport, year, season, string_agg(title, ' | ' ORDER BY 'p:entity:' || id::VARCHAR) AS answer, count(*) AS cited FROM (SELECT * FROM ev QUALIFY competitors = max(competitors) OVER (PARTITION BY sport, year, season)) GROUP BY ALL"))

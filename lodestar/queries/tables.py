@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators import payloads
-from lodestar.queries.catalog import QUERIES, VECTOR_SQL, query
-from lodestar.sources import files, vector_table
-from lodestar.sources.tables import read_table
+from lodestar.operators import graph, payloads
+from lodestar.queries.catalog import QUERIES, VECTOR_SQL, ev, query
+from lodestar.sources import export, files, vector_table
+from lodestar.sources.tables import event_view, read_table
 
 __all__ = ["QUERIES"]
 
@@ -102,3 +102,41 @@ def interpreted_results(spark, sf_dir) -> DataFrame:
     body = F.struct(made("e", ids).alias("event_ids"), made("n", pool).alias("named_ids"), pool.alias("pool_size"), good.alias("usable_with_competitors"), F.array(good == 1).alias("has_nations"), year.alias("target_year"), pool.alias("venue_hits"), F.array(F.when(good == 1, "Ann").otherwise("")).alias("gold"))
     rows = read_table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(*[F.when(k % 5 == i, o) for i, o in enumerate(ops)]).alias("operation"), F.when(year != 0, F.lit(3)).alias("threshold"), F.lit("next").alias("temporal_relation"), F.concat(F.lit("["), F.to_json(body), F.lit("]")).alias("payload"))
     return payloads.interpreted(rows).select("o_orderkey", "status", "reason", F.array_join("event_ids", ",").alias("event_ids"), "count")
+
+
+@query("SELECT doc_id, row_number() OVER () - 1 AS doc_ord FROM documents")
+def corpus_ordinals(spark, sf_dir) -> DataFrame:
+    return files.numbered(read_table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "doc_ord")
+
+
+@query("SELECT lang, count(*) AS n, min(o) AS first_seen FROM (SELECT lang, row_number() OVER () - 1 AS o FROM documents) GROUP BY lang")
+def first_seen_counts(spark, sf_dir) -> DataFrame:
+    """Values by how often they occur, with the ordinal of the first document that has each: ties of counts go by it."""
+    return files.numbered(read_table(spark, sf_dir, "documents").select("lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("doc_ord").alias("first_seen"))
+
+
+@query(ev("""SELECT 'Document' AS "table", count(*) + 1 AS n, 0 AS dangling FROM ev UNION ALL SELECT 'Event', count(*) FILTER (id % 11 <> 0 OR id % 22 = 0), 0 FROM ev
+UNION ALL SELECT 'Games', count(DISTINCT (year, season)), 0 FROM sent UNION ALL SELECT 'Sport', count(DISTINCT sport), 0 FROM sent UNION ALL SELECT 'Venue', count(DISTINCT lower(trim(venue))), 0 FROM sent
+UNION ALL SELECT 'Chunk', count(*) FILTER (l_linenumber <> 3), 0 FROM line UNION ALL SELECT 'CONTAINS_CHUNK', count(*) FILTER (l_linenumber <> 3), count(*) FILTER (l_linenumber = 3) FROM line
+UNION ALL SELECT 'DESCRIBES', count(*) FILTER (id % 11 <> 0 OR id % 22 = 0), count(*) FILTER (id % 11 = 0 AND id % 22 <> 0) FROM ev
+UNION ALL SELECT 'IN_GAMES', count(*), 0 FROM sent UNION ALL SELECT 'OF_SPORT', count(*), 0 FROM sent UNION ALL SELECT 'HELD_AT', count(*), 0 FROM sent""",
+", sent AS (SELECT * FROM ev WHERE id % 11 <> 0), line AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT id FROM ev))"))
+def graph_upsert(spark, sf_dir) -> DataFrame:
+    """The whole graph exported, loaded and put into a base that has some of it already; edges to vertices that neither has are counted and left out."""
+    events = event_view(spark, sf_dir).select("id", "title", "sport", "year", "season", "event_name", "competitors", "venue")
+    page = F.concat(F.lit("d"), F.col("id").cast("string"))
+    documents = events.select(page.alias("id"), "title", F.col("id").cast("string").alias("event_id"))
+    lines = read_table(spark, sf_dir, "lineitem").join(events.select(F.col("id").alias("l_orderkey")), "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber").distinct()
+    key = F.col("l_orderkey").cast("string")
+    chunks = lines.select(F.concat_ws("::", key, F.col("l_linenumber").cast("string")).alias("id"), F.concat(F.lit("d"), key).alias("document_id"), F.col("l_linenumber").alias("chunk_index"), F.lit("lead").alias("section"))
+    sent = graph.whole_graph(documents, events.where("id % 11 <> 0"), chunks)
+    sent["Chunk"] = sent["Chunk"].where("chunk_index <> 3")
+    path = files.scratch(spark, "whole-graph")
+    export.export(sent, path)
+    loaded = export.load(spark, path)
+    old = {"Document": documents.where("id like '%0'").withColumn("title", F.lit("old")).unionByName(spark.createDataFrame([("x", "own", None)], "id string, title string, event_id string")), "Event": events.where("id % 22 = 0").select(*[F.col(c).cast("string").alias(c) if c == "id" else F.col(c) for c in events.columns])}
+    base = {name: old[name].select(*[F.col(c).cast(kind).alias(c) for c, kind in loaded[name].dtypes]) for name in old}
+    live = graph.merged_graph(base, loaded)
+    lost = graph.dangling(live).groupBy(F.col("edge").alias("table")).agg(F.countDistinct("src", "tgt").alias("dangling"))
+    counted = graph.counts(graph.with_whole_edges(live))
+    return counted.join(lost, "table", "left").select("table", "n", F.coalesce("dangling", F.lit(0)).cast("int").alias("dangling"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,22 +43,36 @@ def export(tables: dict[str, DataFrame], path: str) -> DataFrame:
     """Write tables, texts as tab-separated values, and a manifest of their counts, checksums and columns; gives the accounts (table, n, checksum).
 
     Tables are sorted by their id, or source and target, within files that hold
-    ranges of them. What is written is read back for the accounts.
+    ranges of them. What is written is read back for the accounts. Each export
+    has a folder of its own and its manifest comes last: until then, and if a
+    job is lost on the way, the export before is the one that is loaded.
     """
     spark = next(iter(tables.values())).sparkSession
+    root, folder = path, f"data-{uuid.uuid4().hex}"
+    path = f"{root}/{folder}"
     for name, table in tables.items():
         order = [c for c in ("id", "src", "tgt") if c in table.columns]
         files.write_tsv(table.repartitionByRange(*order).sortWithinPartitions(*order) if order else table, f"{path}/{name}")
     written = {name: files.read_tsv(spark, f"{path}/{name}") for name in tables}
     accounts = _accounts(spark, written).collect()
-    manifest = {"format": "tsv", "loading": "upsert_by_stable_id", "tables": {r["table"]: {"n": r["n"], "checksum": r["checksum"], "columns": tables[r["table"]].columns} for r in accounts}}
+    manifest = {"format": "tsv", "loading": "upsert_by_stable_id", "folder": folder, "tables": {r["table"]: {"n": r["n"], "checksum": r["checksum"], "columns": tables[r["table"]].columns} for r in accounts}}
     rows = spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string")
-    rows.coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    rows.coalesce(1).write.text(f"{root}/manifest/v={max(_versions(spark, root), default=-1) + 1}")
     return spark.createDataFrame(accounts, "table string, n long, checksum string")
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the manifests that are whole."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    return [int(f.getPath().getName()[2:]) for f in fs.listStatus(folder) if f.getPath().getName().startswith("v=") and fs.exists(f.getPath().suffix("/_SUCCESS"))]
+
+
 def manifest(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(f"{path}/manifest").head()[0])
+    """The manifest of the last export that is whole."""
+    return json.loads(spark.read.text(f"{path}/manifest/v={max(_versions(spark, path))}").head()[0])
 
 
 class PartialUpsert(RuntimeError):
@@ -66,8 +81,9 @@ class PartialUpsert(RuntimeError):
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The exported tables with typed attributes. A table whose rows differ from the manifest's count or checksum raises PartialUpsert."""
-    known = manifest(spark, path)["tables"]
-    raw = {name: files.read_tsv(spark, f"{path}/{name}").select(*[F.col(f"`{c}`") for c in own["columns"]]) for name, own in known.items()}
+    last = manifest(spark, path)
+    known = last["tables"]
+    raw = {name: files.read_tsv(spark, f"{path}/{last['folder']}/{name}").select(*[F.col(f"`{c}`") for c in own["columns"]]) for name, own in known.items()}
     for row in _accounts(spark, raw).collect():
         want = known[row["table"]]
         if (row["n"], row["checksum"]) != (want["n"], want["checksum"]):

@@ -60,6 +60,31 @@ def stash(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, name: str = "doc_ord") -> DataFrame:
+    """rows, a table of files that is at most projected and filtered, with their ordinal from 0: by file path, then by place in the file.
+
+    Every task reads blocks of files in order. The rows are written once with
+    their block and a running number; the sizes of the blocks before a block,
+    of which there are a few for each task, give its first ordinal, and no task
+    orders rows. Any format has blocks; an empty table stays empty.
+    """
+    from pyspark.sql import Window
+
+    meta = rows.metadataColumn("_metadata")
+    block = F.struct(meta["file_path"].alias("file"), meta["file_block_start"].alias("start"))
+    kept = stash(rows.select("*", block.alias("__block"), F.monotonically_increasing_id().alias("__at")), "numbered")
+    sizes = kept.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__least"))
+    first = sizes.withColumn("__first", F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n"))
+    placed = kept.join(F.broadcast(first.select("__block", "__first", "__least")), "__block")
+    # within a block a filter leaves no gap: rows are numbered after it
+    return placed.select(*rows.columns, (F.col("__first") + F.col("__at") - F.col("__least")).alias(name))
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """Corpus records of JSON lines (doc_id, title, url, wikidata_qid, wikipedia_pageid, approx_tokens, text) with doc_ord, their place over all files."""
+    return numbered(read_jsonl(spark, path, "doc_id string, title string, url string, wikidata_qid string, wikipedia_pageid long, approx_tokens int, text string"))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder's path where driver and executors both reach it: under spark.checkpoint.dir, or on one machine in the warehouse."""
     import uuid

@@ -47,7 +47,7 @@ def test_exports_are_whole_or_refused(spark, tmp_path):
     assert export.missing(["events", "games"], {"events": table}) == ["games"]
     lost = export.reconciled(spark, path, {"events": table.limit(1)}).collect()
     assert [(r.table, r.expected, r.actual) for r in lost] == [("events", 2, 1)]
-    files.write_tsv(table.limit(1), f"{path}/events")
+    files.write_tsv(table.limit(1), f"{path}/{export.manifest(spark, path)['folder']}/events")
     with pytest.raises(export.PartialUpsert):
         export.load(spark, path)
 
