@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators import graph, payloads
+from lodestar.operators import evidence_graph, graph, payloads
 from lodestar.queries.catalog import QUERIES, VECTOR_SQL, ev, query
 from lodestar.sources import export, files, vector_table
 from lodestar.sources.tables import event_view, read_table
@@ -140,3 +140,44 @@ def graph_upsert(spark, sf_dir) -> DataFrame:
     lost = graph.dangling(live).groupBy(F.col("edge").alias("table")).agg(F.countDistinct("src", "tgt").alias("dangling"))
     counted = graph.counts(graph.with_whole_edges(live))
     return counted.join(lost, "table", "left").select("table", "n", F.coalesce("dangling", F.lit(0)).cast("int").alias("dangling"))
+
+
+@query("""WITH m AS (SELECT conv_id AS qid, 'evidence' AS kind, role || ':' || (turn % 3)::VARCHAR AS id, turn AS place FROM conversations UNION ALL SELECT conv_id, 'chunk', 'c' || (turn % 2)::VARCHAR, turn FROM conversations
+UNION ALL SELECT conv_id, 'evidence', 'seen:' || (turn % 5)::VARCHAR, 100000 + turn FROM conversations UNION ALL SELECT conv_id, 'event', role, turn FROM conversations),
+f AS (SELECT qid, kind, id, min(place) AS place FROM m GROUP BY ALL)
+SELECT qid, coalesce(string_agg(id, ',' ORDER BY place) FILTER (kind = 'evidence'), '') AS evidence_ids, coalesce(string_agg(id, ',' ORDER BY place) FILTER (kind = 'chunk'), '') AS chunk_ids, '' AS document_ids, coalesce(string_agg(id, ',' ORDER BY place) FILTER (kind = 'event'), '') AS event_ids FROM f GROUP BY qid""")
+def observable_ids(spark, sf_dir) -> DataFrame:
+    """Each conversation as a run: its turns as evidence, and what its observations saw besides."""
+    text = lambda c: F.col(c).cast("string")
+    none, own = F.lit(None).cast("string"), F.concat(F.col("role"), F.lit(":"), (F.col("turn") % 3).cast("string"))
+    item = F.struct(own.alias("evidence_id"), none.alias("chunk_id"), F.concat(F.lit(" c"), (F.col("turn") % 2).cast("string"), F.lit(" ")).alias("source_chunk_id"), none.alias("document_id"), text("role").alias("event_id"), F.expr("cast(null as array<string>)").alias("event_ids"))
+    seen = F.struct(F.array(F.concat(F.lit("seen:"), (F.col("turn") % 5).cast("string"))).alias("evidence_ids"), F.array(F.lit("")).alias("event_ids"))
+    listed = lambda name: F.transform("own", lambda o: o[name])
+    runs = read_table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("qid")).agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("item"), seen.alias("seen")))).alias("own"))
+    runs = runs.select("qid", listed("item").alias("evidence"), F.expr("null").cast("array<struct<evidence_id:string,chunk_id:string,source_chunk_id:string,document_id:string,event_id:string,event_ids:array<string>>>").alias("citations"), listed("seen").alias("observations"), F.expr("cast(null as array<struct<evidence_ids:array<string>>>)").alias("slot_updates"))
+    return evidence_graph.observable_ids(runs).select("qid", *[F.array_join(c, ",").alias(c) for c in ("evidence_ids", "chunk_ids", "document_ids", "event_ids")])
+
+
+GRAPH_SQL = """WITH i AS (SELECT l_orderkey AS qid, l_linenumber AS p, l_partkey % 3 AS a, l_suppkey % 7 AS s FROM lineitem),
+n AS (SELECT qid, p * 10 AS o, 'event:e' || a::VARCHAR AS id FROM i WHERE p % 3 = 0 UNION ALL SELECT qid, p * 10, 'athlete:' FROM i WHERE false
+UNION ALL SELECT qid, p * 10, 'fact:c:fact:gold_raw:e' || a::VARCHAR || ':' || s::VARCHAR FROM i WHERE p % 3 = 1 UNION ALL SELECT qid, p * 10 + 1, 'event:e' || a::VARCHAR FROM i WHERE p % 3 > 0
+UNION ALL SELECT qid, p * 10, 'venue:h' || s::VARCHAR FROM i WHERE p % 3 = 2),
+e AS (SELECT qid, 'event:e' || a::VARCHAR AS s, CASE p % 3 WHEN 1 THEN 'fact:c:fact:gold_raw:e' || a::VARCHAR || ':' || s::VARCHAR ELSE 'venue:h' || s::VARCHAR END AS t FROM i WHERE p % 3 > 0)
+SELECT qid, count(DISTINCT id) AS nodes, min_by(id, o) AS first_node, (SELECT count(DISTINCT (s, t)) FROM e WHERE e.qid = n.qid) AS edges FROM n GROUP BY qid"""
+
+
+@query(GRAPH_SQL)
+def evidence_graph_nodes(spark, sf_dir) -> DataFrame:
+    """Each order's lines as evidence: entities, facts and edges, drawn as a graph."""
+    line = F.col("l_linenumber")
+    event = F.concat(F.lit("e"), (F.col("l_partkey") % 3).cast("string"))
+    other = (F.col("l_suppkey") % 7).cast("string")
+    which = lambda a, b, c: F.when(line % 3 == 0, a).when(line % 3 == 1, b).otherwise(c)
+    none = F.lit(None).cast("string")
+    hall = F.concat(F.lit("h"), other)
+    items = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("qid"), line.alias("place"), F.concat(F.lit("c:"), which(F.concat(F.lit("entity:"), event), F.concat(F.lit("fact:gold_raw:"), event), F.concat(F.lit("edge:HELD_AT:"), hall))).alias("evidence_id"),
+        which(F.lit("entity"), F.lit("fact"), F.lit("edge")).alias("evidence_type"), event.alias("event_id"), none.alias("document_id"), none.alias("chunk_id"), which(F.lit("title"), F.lit("gold_raw"), F.lit("HELD_AT")).alias("field_name"), which(none, other, hall).alias("value"),
+    )
+    nodes, _, totals = evidence_graph.graph_of(items, items.where("place = 1").select("qid", "evidence_id"))
+    return totals.join(nodes.where("ord = 1").select("qid", F.col("id").alias("first_node")), "qid").select("qid", "nodes", "first_node", "edges")

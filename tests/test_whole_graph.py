@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import contract, evaluation, graph
+from lodestar.operators import contract, evaluation, evidence_graph, graph
 from lodestar.sources import export, files
 
 
@@ -77,3 +77,22 @@ def test_cardinalities(spark):
     rows = spark.createDataFrame([("count_over_threshold", "supported", 3), ("lookup_event", "supported", 1), ("lookup_event", "supported", 0), ("x", "supported", 2), ("x", "ambiguous", 2), ("x", "not_found", 0), ("x", "unresolved", 0)], "op string, status string, n int")
     got = [r.c for r in rows.select(contract.cardinality(F.col("op"), F.col("status"), F.col("n")).alias("c")).collect()]
     assert got == ["complete_set", "one", "empty", "multiple", "ambiguous", "empty", "unresolved"] and evaluation is not None
+
+
+def test_ids_with_colons_are_read(spark):
+    ids = {"c:entity:Q1:2": ("entity", "title", "Q1:2", None), "c:fact:gold_raw:Q:1": ("fact", "gold_raw", "Q:1", None), "c:edge:HELD_AT:hall: one": ("edge", "HELD_AT", None, None), "c:chunk:d:1::c0": ("chunk", None, None, "d:1::c0"), "c:fact:x": ("unknown", None, None, None), "plain": ("unknown", None, None, None), "": ("unknown", None, None, None)}
+    rows = spark.createDataFrame([(i,) for i in ids], "id string").select("id", evidence_graph.parsed_id(F.col("id")).alias("p")).collect()
+    assert {r.id: (r.p.evidence_type, r.p.field_name, r.p.event_id, r.p.chunk_id) for r in rows} == ids
+    assert [r.p.document_id for r in rows if r.id == "c:chunk:d:1::c0"] == ["d:1"] and [r.p.value for r in rows if r.id.startswith("c:edge")] == ["hall: one"]
+
+
+def test_graph_is_cut_in_order_and_no_edge_leads_nowhere(spark):
+    items = [("q", i, f"c:fact:nations:e{i}", "fact", f"e{i}", None, None, "nations", str(i)) for i in range(50)] + [("q", 50, "c:chunk:x", "chunk", "e0", "d", "d::c0", "text", "t"), ("r", 1, "c:fact:count", "fact", "aggregate", None, None, "count", "3"), ("r", 2, "c:chunk:y", "chunk", "e1", None, "y", None, None), ("r", 2, "c:unknown", "odd", "e9", None, None, None, None)]
+    frame = spark.createDataFrame(items, "qid string, place int, evidence_id string, evidence_type string, event_id string, document_id string, chunk_id string, field_name string, value string")
+    nodes, edges, totals = evidence_graph.graph_of(frame, spark.createDataFrame([("q", "c:fact:nations:e1"), ("q", None)], "qid string, evidence_id string"))
+    shown = {(r.qid, r.ord): r for r in nodes.collect()}
+    assert len([k for k in shown if k[0] == "q"]) == 64 and shown["q", 1].id == "fact:c:fact:nations:e0:0" and shown["q", 2].id == "event:e0" and [k for k, r in shown.items() if r.cited] == [("q", 3)]
+    own = {r.id for k, r in shown.items() if k[0] == "q"}
+    drawn = [r for r in edges.collect() if r.qid == "q"]
+    assert len(drawn) == 32 and all(r.source in own and r.target in own for r in drawn)
+    assert {(r.qid, r.nodes, r.edges, r.truncated) for r in totals.collect()} == {("q", 102, 52, True), ("r", 3, 1, False)}
