@@ -163,7 +163,7 @@ n AS (SELECT qid, p * 10 AS o, 'event:e' || a::VARCHAR AS id FROM i WHERE p % 3
 UNION ALL SELECT qid, p * 10, 'fact:c:fact:gold_raw:e' || a::VARCHAR || ':' || s::VARCHAR FROM i WHERE p % 3 = 1 UNION ALL SELECT qid, p * 10 + 1, 'event:e' || a::VARCHAR FROM i WHERE p % 3 > 0
 UNION ALL SELECT qid, p * 10, 'venue:h' || s::VARCHAR FROM i WHERE p % 3 = 2),
 e AS (SELECT qid, 'event:e' || a::VARCHAR AS s, CASE p % 3 WHEN 1 THEN 'fact:c:fact:gold_raw:e' || a::VARCHAR || ':' || s::VARCHAR ELSE 'venue:h' || s::VARCHAR END AS t FROM i WHERE p % 3 > 0)
-SELECT qid, count(DISTINCT id) AS nodes, min_by(id, o) AS first_node, (SELECT count(DISTINCT (s, t)) FROM e WHERE e.qid = n.qid) AS edges FROM n GROUP BY qid"""
+SELECT n.qid, n.nodes, coalesce(e.edges, 0) AS edges, n.nodes > 64 OR coalesce(e.edges, 0) > 96 AS truncated FROM (SELECT qid, count(DISTINCT id) AS nodes FROM n GROUP BY qid) n LEFT JOIN (SELECT qid, count(DISTINCT (s, t)) AS edges FROM e GROUP BY qid) e USING (qid)"""
 
 
 @query(GRAPH_SQL)
@@ -179,5 +179,4 @@ def evidence_graph_nodes(spark, sf_dir) -> DataFrame:
         F.col("l_orderkey").alias("qid"), line.alias("place"), F.concat(F.lit("c:"), which(F.concat(F.lit("entity:"), event), F.concat(F.lit("fact:gold_raw:"), event), F.concat(F.lit("edge:HELD_AT:"), hall))).alias("evidence_id"),
         which(F.lit("entity"), F.lit("fact"), F.lit("edge")).alias("evidence_type"), event.alias("event_id"), none.alias("document_id"), none.alias("chunk_id"), which(F.lit("title"), F.lit("gold_raw"), F.lit("HELD_AT")).alias("field_name"), which(none, other, hall).alias("value"),
     )
-    nodes, _, totals = evidence_graph.graph_of(items, items.where("place = 1").select("qid", "evidence_id"))
-    return totals.join(nodes.where("ord = 1").select("qid", F.col("id").alias("first_node")), "qid").select("qid", "nodes", "first_node", "edges")
+    return evidence_graph.graph_of(items, items.where("place = 1").select("qid", "evidence_id"))[2]
