@@ -39,6 +39,10 @@ def _forest(batches):
             yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in some], kind.field(i).type) for i in (0, 1)], schema=pa.schema([pa.field("a", kind.field(0).type), pa.field("b", kind.field(1).type)]))
 
 
+#: A round's tables are written by a task for so many of their rows at most, so that short ones aren't hundreds of tiny files.
+ROWS_PER_TASK = 50_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of links (a, b), both of one type that has an order.
 
@@ -57,10 +61,11 @@ def components(links: DataFrame) -> DataFrame:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(_key(), F.least("a", "m").alias("m"))
         large = both.withColumn("k", _key()).join(least, "k").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = stash(large, "large-star")
+        tasks = max(1, -(-2 * state[0] // ROWS_PER_TASK))
+        large = stash(large.coalesce(tasks), "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.withColumn("k", _key()).join(low.select(_key(), "m"), "k").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        last, stars = stars, stash(low.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "small-star")
+        last, stars = stars, stash(low.select("a", F.col("m").alias("b")).unionByName(small).distinct().coalesce(tasks), "small-star")
         discard(last, large)
         before, state = state, _state(stars)
         if state == before:
