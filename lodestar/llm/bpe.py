@@ -205,8 +205,8 @@ class Encoder(Cache):
         self._odd_space = re.compile("[\x1c-\x1f]")
         self.whole = whole
         self.fed = 0  # words that went through the transducer
-        self._chunk = re.compile("[^\t-\r \x85\xa0  -     　]+")
-        self._space = re.compile("[\t-\r \x85\xa0  -     　]")
+        self._chunk = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+        self._space = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __missing__(self, chunk: str) -> bytes:
         known = self.older.get(chunk)
