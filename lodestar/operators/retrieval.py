@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.names import tokenize
-from lodestar.sources.files import stash
+from lodestar.sources.files import discard, stash
 
 K1, B, RRF = 1.5, 0.75, 60
 
@@ -23,30 +25,138 @@ def corpus(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.size(tokenize(F.col(text))), F.lit(1)).cast("double")).alias("avgdl"))
 
 
-def weighted_postings(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """token, doc, w: the BM25 weight of each of the given tokens in each document that has it, written once.
+#: Queries, and their distinct terms, that meet all documents in one pass; what they make is all that a task holds beside its documents.
+QUERIES_PER_PASS, TERMS_PER_PASS = 512, 100_000
+#: (document, query) terms that are added up at once, and hits that a task gathers before it cuts them to k for each query.
+TERMS_AT_ONCE, HITS_AT_ONCE = 2_000_000, 200_000
 
-    One scan cuts the texts: a mark for each document, which no token equals,
-    goes with its tokens, so that the number of documents and their mean length
-    come from the same rows.
-    """
-    mark = F.lit("")
-    cut = docs.select(F.col("doc_id").alias("doc"), tokenize(F.col("text")).alias("t"))
-    rows = cut.select("doc", F.greatest(F.size("t"), F.lit(1)).alias("dl"), F.explode(F.array_append("t", mark)).alias("token"))
-    wanted = tokens.select("token").distinct().unionByName(docs.sparkSession.range(1).select(mark.alias("token")))
-    tf = stash(rows.join(wanted, "token", "left_semi").groupBy("token", "doc", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    total = tf.where("token = ''").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
-    own = tf.where("token <> ''")
-    df = own.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return stash(own.join(df, "token").join(F.broadcast(total)).select("token", "doc", weight.alias("w")), "weights")
+
+def _bags(vocabulary):
+    """Tokens (doc, t) to bags: doc, its length, and the ids and counts of the vocabulary's tokens that it has, by id."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = pa.array(vocabulary.value, pa.string())
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            ids = pc.index_in(batch.column(1).flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype("i8")
+            row = np.repeat(np.arange(len(sizes)), sizes)[ids >= 0]
+            key, tf = np.unique(row * max(1, len(known)) + ids[ids >= 0], return_counts=True)
+            cuts = pa.array(np.searchsorted(key, np.arange(len(sizes) + 1) * max(1, len(known))), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (key % max(1, len(known)), tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.maximum(sizes, 1), pa.int32()), *lists], ["doc", "dl", "ids", "tfs"])
+
+    return run
 
 
-#: Rare tokens are scored first until their postings number so many times k.
-FIRST_POSTINGS = 8
-#: More than the rounding of a score to 6 digits.
-SCORE_SLACK = 1e-5
+def _merged(batches):
+    """Documents with all their bags to one row each: how many bags, their whole length, and their terms by length and id; counts of the same add up."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        own = batch.column(1)
+        bags = own.flatten()
+        dl, ids, tfs = bags.field("dl").to_numpy(zero_copy_only=False), bags.field("ids"), bags.field("tfs")
+        n = pc.list_value_length(own).to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(n)), n)
+        total = np.bincount(doc, dl, len(n)).astype("i8")
+        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        doc, length = np.repeat(doc, sizes), np.repeat(dl, sizes)
+        term, tf = (x.flatten().to_numpy(zero_copy_only=False) for x in (ids, tfs))
+        if len(bags) > len(n):
+            order = np.lexsort((term, length, doc))
+            doc, length, term, tf = doc[order], length[order], term[order], tf[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (length[1:] != length[:-1]) | (term[1:] != term[:-1])])) if len(doc) else np.empty(0, "i8")
+            tf = np.add.reduceat(tf, first) if len(first) else tf
+            doc, length, term = doc[first], length[first], term[first]
+        cuts = pa.array(np.searchsorted(doc, np.arange(len(n) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (length, term, tf)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total), *lists], ["doc", "n", "total", "dls", "ids", "tfs"])
+
+
+def _best(asked, k: int):
+    """Documents as _merged gives them to hits (q, doc, score): for each query the k best of a task, by score rounded to 6 digits, then doc."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names, first, query, times, idf, avgdl = asked.value
+        owners = np.diff(first)
+        floor, hits, held = np.zeros(len(names)), [], 0
+
+        def cut():
+            rows = pa.concat_tables(hits)
+            rows = rows.take(pc.sort_indices(rows, [("q", "ascending"), ("score", "descending"), ("doc", "ascending")]))
+            q, score = rows.column("q").to_numpy(), rows.column("score").to_numpy()
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            last = place == k - 1
+            floor[q[last]] = score[last]
+            return rows.filter(pa.array(place < k))
+
+        for batch in batches:
+            dls, ids, tfs = (batch.column(i) for i in (1, 2, 3))
+            doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(ids).to_numpy(zero_copy_only=False))
+            dl, term, tf = (x.flatten().to_numpy(zero_copy_only=False) for x in (dls, ids, tfs))
+            weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+            # each document's terms, and with them the queries that have them, stay together
+            work = np.concatenate([[0], np.cumsum(np.bincount(doc, owners[term], batch.num_rows) + len(names))])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))])
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(work, work[low] + TERMS_AT_ONCE, "right")) - 1)
+                part = slice(ends[low], ends[high])
+                many = owners[term[part]]
+                at = np.arange(many.sum()) + np.repeat(first[term[part]] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+                cell = np.repeat((doc[part] - low) * len(names), many) + query[at]
+                score = np.round(np.bincount(cell, np.repeat(weight[part], many) * times[at], (high - low) * len(names)), 6).reshape(high - low, len(names))
+                d, q = np.nonzero((score > 0) & (score >= floor))
+                hits.append(pa.table({"q": pa.array(q, pa.int64()), "doc": batch.column(0).take(pa.array(d + low)), "score": pa.array(score[d, q])}))
+                held += len(d)
+                low = high
+                if held > HITS_AT_ONCE:
+                    hits = [cut()]
+                    held = len(hits[0])
+        if held:
+            rows = cut()
+            yield from rows.set_column(0, "q", pa.array(names[rows.column("q").to_numpy()], pa.int64())).combine_chunks().to_batches()
+
+    return run
+
+
+def _pass(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """queries (q, terms) against all docs in one pass: the hits (q, doc, score) of every task, and the bags that they are made of."""
+    import numpy as np
+
+    spark = docs.sparkSession
+    rows = sorted(queries.select("q", "terms").collect())
+    vocabulary = sorted({t["token"] for r in rows for t in r["terms"]})
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    cut = docs.select(F.col("doc_id").alias("doc"), tokenize(F.col("text")).alias("t"))
+    bags = cut.mapInArrow(_bags(spark.sparkContext.broadcast(vocabulary)), f"doc {kind}, dl int, ids array<int>, tfs array<int>")
+    # rows of one document add up
+    bags = bags.groupBy("doc").agg(F.collect_list(F.struct("dl", "ids", "tfs")).alias("bags"))
+    bags = stash(bags.mapInArrow(_merged, f"doc {kind}, n long, total long, dls array<int>, ids array<int>, tfs array<int>"), "bags")
+    n, total = bags.agg(F.sum("n"), F.sum("total")).head()
+    df = np.zeros(len(vocabulary))
+    for row in bags.select(F.explode("ids").alias("id")).groupBy("id").count().collect():
+        df[row["id"]] = row["count"]
+    place = {token: i for i, token in enumerate(vocabulary)}
+    terms = np.array([(place[t["token"]], i, t["times"]) for i, r in enumerate(rows) for t in r["terms"]], "i8").reshape(-1, 3)
+    terms = terms[np.argsort(terms[:, 0], kind="stable")]
+    first = np.searchsorted(terms[:, 0], np.arange(len(vocabulary) + 1))
+    idf = np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5))
+    asked = spark.sparkContext.broadcast((np.array([r["q"] for r in rows], "i8"), first, terms[:, 1].copy(), terms[:, 2].copy(), idf, (total or 1) / (n or 1)))
+    hits = bags.select("doc", "dls", "ids", "tfs").mapInArrow(_best(asked, k), f"q long, doc {kind}, score double")
+    out = stash(hits, "hits")
+    discard(bags)
+    return out
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -56,26 +166,25 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     to, tell queries apart like query_id, so that many lists share one pass over
     the documents. A token that a query repeats adds repeatedly.
 
-    A query's rarest tokens alone give a floor under its k-th score. Common
-    tokens whose greatest weights together stay below it can't lift a document
-    that has nothing else; so only documents with one of the other, essential,
-    tokens are scored, and the postings of common tokens are looked up for these
-    alone. The result is that of scoring all.
+    A pass writes each document's counts of the queries' tokens once. Each task
+    then scores its documents for all queries of the pass and keeps k for each,
+    so that no row is made of a document and a query but those. Queries beyond
+    QUERIES_PER_PASS or TERMS_PER_PASS take further passes.
     """
     by = [c for c in queries.columns if c != "text"]
-    asked = stash(queries.select(*by, F.explode(tokenize(F.col("text"))).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("times")), "asked-tokens")
-    weights = weighted_postings(docs, asked)
-    tops = weights.groupBy("token").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("df"))
-    upto = lambda order: Window.partitionBy(*by).orderBy(*order, "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    terms = asked.join(tops, "token").withColumn("bound", F.col("times") * F.col("top"))
-    terms = stash(terms.withColumn("postings", F.sum("df").over(upto(["df"])) - F.col("df")).withColumn("reach", F.sum("bound").over(upto(["bound"]))), "query-terms")
-    part = F.sum(F.col("w") * F.col("times"))
-    rare = terms.where(F.col("postings") < FIRST_POSTINGS * k).join(weights, "token").groupBy(*by, "doc").agg(part.alias("part"))
-    floors = top_k(rare, by, [F.desc("part")], k).groupBy(*by).agg(F.when(F.count(F.lit(1)) == k, F.min("part")).alias("floor"))
-    split = terms.join(floors, by, "left").withColumn("essential", F.coalesce(F.col("reach") >= F.col("floor") - SCORE_SLACK, F.lit(True)))
-    candidates = split.where("essential").select(*by, "token").join(weights.select("token", "doc"), "token").select(*by, "doc").distinct()
-    scored = candidates.join(terms.select(*by, "token", "times"), by).join(weights, ["token", "doc"]).groupBy(*by, "doc").agg(F.round(part, 6).alias("score"))
-    return top_k(scored.where("score > 0"), by, [F.desc("score"), F.asc("doc")], k)
+    tokens = queries.select(*by, F.explode(tokenize(F.col("text"))).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("times"))
+    asked = tokens.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("token", "times"))).alias("terms"))
+    asked = stash(asked.withColumn("q", F.monotonically_increasing_id()), "asked-queries")
+    many, terms = asked.agg(F.count(F.lit(1)), F.sum(F.size("terms"))).head()
+    passes = max(1, -(-many // QUERIES_PER_PASS), -(-(terms or 0) // TERMS_PER_PASS))
+    block = F.pmod(F.xxhash64("q"), F.lit(passes))
+    found = [_pass(docs, asked.where(block == i), k) for i in range(passes)]
+    best = top_k(reduce(DataFrame.unionByName, found), ["q"], [F.desc("score"), F.asc("doc")], k)
+    # written, so that joins with documents know how few they are
+    out = stash(best.join(asked.select("q", *by), "q").select(*by, "doc", "score", "rank"), "bm25")
+    for hits in [asked, *found]:
+        discard(hits)
+    return out
 
 
 #: Words of a passage by which documents that may hold it are found.
@@ -96,7 +205,8 @@ def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
     anchored = asked.where(long).withColumn("anchor", F.xxhash64(F.array_join(F.slice("inner", 1, ANCHOR_WORDS), " ")))
     own = docs.select("doc", words(F.col("text")).alias("w")).where(F.size("w") >= ANCHOR_WORDS)
     runs = own.select("doc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR_WORDS + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(ANCHOR_WORDS)), " "))))).alias("anchor"))
-    near = runs.join(anchored.select("anchor", "query_id", "passage"), "anchor").select("doc", "query_id", "passage")
+    # written, so that the join with the texts knows how few they are
+    near = stash(runs.join(anchored.select("anchor", "query_id", "passage"), "anchor").select("doc", "query_id", "passage"), "near-passages")
     found = near.join(docs, "doc").where(F.contains("text", "passage"))
     short = docs.join(asked.where(~long).select("query_id", "passage"), F.contains("text", "passage"))
     return found.select("doc", "query_id").unionByName(short.select("doc", "query_id")).distinct()

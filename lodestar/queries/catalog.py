@@ -319,7 +319,7 @@ WORDS = "list_distinct(list_filter(string_split(lower({}), ' '), lambda w: w <>
 def token_jaccard(spark, sf_dir) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), _items(spark, sf_dir)
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: w != ""))
-    hits = retrieval.bm25(docs, items, 10).select("query_id", "doc").join(items.withColumnRenamed("text", "asked"), "query_id").join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    hits = retrieval.bm25(docs, items, 10).select("query_id", "doc").join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").join(items.withColumnRenamed("text", "asked"), "query_id")
     return hits.select("query_id", "doc", F.round(retrieval.jaccard(words(F.col("asked")), words(F.col("text"))), 6).alias("jaccard"))
 
 

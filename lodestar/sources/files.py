@@ -57,7 +57,15 @@ def stash(rows: DataFrame, name: str) -> DataFrame:
     """rows, written once to a scratch folder and read from there by all that follow; it survives lost executors."""
     path = scratch(rows.sparkSession, name)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(stashed: DataFrame) -> None:
+    """Delete a stashed table that no later plan reads."""
+    target = stashed.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(stashed._scratch)
+    target.getFileSystem(stashed.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def numbered(rows: DataFrame, name: str = "doc_ord") -> DataFrame:
