@@ -41,9 +41,9 @@ def _at_venue(asked: DataFrame, events: DataFrame) -> DataFrame:
     fits = answers.met(places, halls, ["year"], "year", score > 0).withColumn("score", score)
     fits = fits.select(F.col("q_venue").alias("f_venue"), F.col("q_year").alias("f_year"), "score", F.col("venue").alias("v"), F.col("year").alias("y"))
     own = q.join(fits, (F.col("q_venue") == F.col("f_venue")) & F.col("q_year").eqNullSafe(F.col("f_year")))
-    at = own.join(events.select("id", "venue", "year", "date"), (F.col("v") == F.col("venue")) & F.col("y").eqNullSafe(F.col("year")))
     open_date = F.col("q_date").isNull() | F.col("date").isNull() | F.coalesce(calendar.dates_overlap(F.col("date"), F.col("q_date")), F.lit(False))
-    kept = at.where(open_date).withColumn("top", F.max("score").over(Window.partitionBy("qid"))).where("score = top")
+    here = (F.col("v") == F.col("venue")) & F.col("y").eqNullSafe(F.col("year"))
+    kept = answers.met_on_dates(own, events.select("id", "venue", "year", "date"), here, open_date).withColumn("top", F.max("score").over(Window.partitionBy("qid"))).where("score = top")
     return kept.select("qid", "id")
 
 
