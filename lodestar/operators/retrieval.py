@@ -253,17 +253,22 @@ def best_in_tile(k: int):
         out: dict = {"query_id": [], "vec_id": [], "score": []}
         sizes = [pc.list_value_length(t.column(c)).to_numpy() for t, c in ((asks, "asked"), (rows, "own"))]
         for n in np.intersect1d(*sizes):
-            (q, asked), (v, own) = ((t.column(i).to_numpy()[at], np.array(t.column(c).take(pa.array(at)).to_pylist(), "f8").reshape(len(at), n)) for t, i, c, at in ((asks, "query_id", "asked", np.flatnonzero(sizes[0] == n)), (rows, "vec_id", "own", np.flatnonzero(sizes[1] == n))))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = np.round(asked @ own.T / (np.sqrt((asked * asked).sum(1))[:, None] * np.sqrt((own * own).sum(1))[None]), 6)
+            (q, asked), (v, own) = ((t.column(i).to_numpy()[at], pc.list_flatten(t.column(c).take(pa.array(at))).to_numpy().astype("f8").reshape(len(at), n)) for t, i, c, at in ((asks, "query_id", "asked", np.flatnonzero(sizes[0] == n)), (rows, "vec_id", "own", np.flatnonzero(sizes[1] == n))))
+            with np.errstate(invalid="ignore"):
+                left, right = (np.sqrt((x * x).sum(1)) for x in (asked, own))
             for i, query in enumerate(q):
-                good = np.flatnonzero(np.isfinite(score[i]) & (v != query))
+                if i % QUERIES_AT_ONCE == 0:
+                    some = slice(i, i + QUERIES_AT_ONCE)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        score = np.round(asked[some] @ own.T / (left[some, None] * right[None]), 6)
+                mine = score[i % QUERIES_AT_ONCE]
+                good = np.flatnonzero(np.isfinite(mine) & (v != query))
                 if len(good) > k:
-                    good = good[score[i, good] >= np.partition(score[i, good], len(good) - k)[len(good) - k]]
-                top = good[np.lexsort((v[good], -score[i, good]))[:k]]
+                    good = good[mine[good] >= np.partition(mine[good], len(good) - k)[len(good) - k]]
+                top = good[np.lexsort((v[good], -mine[good]))[:k]]
                 out["query_id"] += [int(query)] * len(top)
                 out["vec_id"] += v[top].tolist()
-                out["score"] += score[i, top].tolist()
+                out["score"] += mine[top].tolist()
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
     return run
@@ -271,6 +276,8 @@ def best_in_tile(k: int):
 
 BEST = "query_id long, vec_id long, score double"
 QUERIES_PER_TILE, VECTORS_PER_TILE = 2048, 16_384
+#: Queries whose scores with all vectors of a tile a task holds at once.
+QUERIES_AT_ONCE = 64
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -38,3 +38,26 @@ def test_names_meet_by_their_core(spark):
     assert {q: sorted(ids) for q, ids in found.items()} == {"a": [1], "b": [1, 2, 3], "c": [1, 2, 3, 4], "d": [6], "e": everything, "f": everything}
     # a pool of many names isn't compared with each of its questions
     assert "q_core" in start._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_tile_of_vectors_holds_few_scores():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestar.operators import retrieval
+
+    rng = np.random.default_rng(0)
+    table = lambda i, c, n: pa.table({i: pa.array(range(n), pa.int64()), c: pa.array(rng.random((n, 4)).tolist())})
+    asks, rows = table("query_id", "asked", 1000), table("vec_id", "own", 8000)
+    tracemalloc.start()
+    got = retrieval.best_in_tile(3)(asks, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    a, b = (np.array(t.column(1).to_pylist()) for t in (asks, rows))
+    score = np.round(a @ b.T / np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)[None]), 6)
+    np.fill_diagonal(score, -1)
+    assert np.allclose(np.sort(score, 1)[:, -3:], np.array(got.column("score").to_pylist()).reshape(1000, 3)[:, ::-1], atol=2e-6)
+    # all pairs would take 64 MB
+    assert peak < 20_000_000
