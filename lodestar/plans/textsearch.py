@@ -42,9 +42,11 @@ def candidates(plans: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
 def sweep(wanted: DataFrame, infoboxes: DataFrame) -> DataFrame:
     """wanted (qid, years, sport_tokens): qid and chunk_id of the infoboxes whose title holds one of the years, if any, and all the words, SWEEP at most by title.
 
-    Questions and titles meet on one word; the others are checked there.
+    Questions and titles meet on one word; the others are checked there. No
+    question keeps more than SWEEP of one title, so only so many of each meet questions.
     """
-    titles = infoboxes.where(F.col("document_title") != "").select("chunk_id", "document_title", F.array_distinct(tokenize(F.col("document_title"))).alias("words"))
+    own = infoboxes.where(F.col("document_title") != "").select("chunk_id", "document_title")
+    titles = retrieval.top_k(own, ["document_title"], ["chunk_id"], SWEEP).select("chunk_id", "document_title", F.array_distinct(tokenize(F.col("document_title"))).alias("words"))
     by_word = titles.select("*", F.explode("words").alias("word"))
     asked = wanted.where(F.size("sport_tokens") > 0).withColumn("word", F.get("sport_tokens", F.lit(0)))
     met = asked.join(by_word, "word").where(F.size(F.array_except("sport_tokens", "words")) == 0)

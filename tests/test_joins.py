@@ -61,3 +61,14 @@ def test_a_tile_of_vectors_holds_few_scores():
     assert np.allclose(np.sort(score, 1)[:, -3:], np.array(got.column("score").to_pylist()).reshape(1000, 3)[:, ::-1], atol=2e-6)
     # all pairs would take 64 MB
     assert peak < 20_000_000
+
+
+def test_sweep_takes_few_of_each_title(spark):
+    from lodestar.plans import textsearch
+
+    boxes = spark.range(3000).select(F.format_string("c%05d", "id").alias("chunk_id"), F.concat(F.lit("Run 1996 "), (F.col("id") % 2).cast("string")).alias("document_title"))
+    wanted = spark.range(20).select(F.col("id").alias("qid"), F.array(F.lit(1996)).alias("years"), F.array(F.lit("run")).alias("sport_tokens"))
+    rows = textsearch.sweep(wanted, boxes)
+    found = {r["qid"]: r["ids"] for r in rows.groupBy("qid").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids")).collect()}
+    assert found == {q: [f"c{2 * i:05d}" for i in range(textsearch.SWEEP)] for q in range(20)}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") == 2
