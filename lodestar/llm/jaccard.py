@@ -9,17 +9,20 @@ hashed set bounds the intersection of a pair from above; pairs that it can't
 refuse are settled by intersecting the sorted arrays.
 
 Only connectivity is asked for. A tile with many nodes pairs each with those at
-distances 1, 2, 4, ... first. After these links are verified, such tiles that
-still hold several components are joined into clusters, and all pairs of
-different components in a cluster are tried, block by block, where the arrays
-are: no pair leaves a task but as a link, and pairs that links connect already
-are skipped. So no link between components is lost, and groups of near copies
-cost no square of their size in rows.
+distances 1, 2, 4, ... first. Of the pairs, FIRST_PAIRS of each node are settled
+first, and only those that these links leave apart are dealt to chunk pairs, so
+that arrays aren't sent once for each chunk that a group of near copies fills.
+After these links are verified, long tiles that still hold several components
+are joined into clusters, and all pairs of different components in a cluster are
+tried, block by block, where the arrays are: no pair leaves a task but as a
+link, and pairs that links connect already are skipped. The largest component of
+a cluster meets the others only, not itself. So no link between components is
+lost, and groups of near copies cost no square of their size in rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import TRIM_FROM, columns_of, discard, free_name, groups_for, let_go, located, lookup, sparing, sparing_stream, stash, table, trim
@@ -33,6 +36,8 @@ FREQUENCY_SLICE_BITS = 14
 KEYS_PER_TILE_TASK = 500_000
 SHINGLES_PER_CHUNK = 1_000_000
 PAIRS_PER_CHUNK = 250
+#: Pairs of each node that are settled before all others; two random ones connect most of what links.
+FIRST_PAIRS = 2
 #: A shingle (hashed to FREQUENCY_BITS) that so many documents have is dealt to several tasks, by node.
 HOT_SHINGLE = 100_000
 ALL_PAIRS_UP_TO = 64
@@ -304,6 +309,17 @@ def _settled(pairs, sets):
     return out
 
 
+def _linked(batches):
+    """Of pairs (a, b) with their arrays those that link."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        x, y = ([np.frombuffer(r.as_buffer(), "u8") for r in batch.column(i)] for i in (2, 3))
+        keep = [len(np.intersect1d(u, v, assume_unique=True)) >= needed(len(u), len(v)) for u, v in zip(x, y, strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _arrays(batches):
     import pyarrow as pa
 
@@ -366,6 +382,23 @@ def _chunked(members: DataFrame, nodes: DataFrame, pairs: DataFrame | None = Non
     return lookup(sized, chunks, ["cluster"], members.count()).drop("copies").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
 
 
+def _first_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among FIRST_PAIRS of the pairs (a, b) of each node, taken by hash: each sends one array."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("a", "b"), "a", "b"))
+    few = ends.withColumn("place", place).where(F.col("place") <= FIRST_PAIRS).select("a", "b").distinct()
+    own = lambda x: sets.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}")).hint("merge")
+    met = few.join(own("a"), "a").join(own("b"), "b").select("a", "b", "own_a", "own_b")
+    return stash(met.mapInArrow(sparing_stream(_linked), "a binary, b binary"), "jaccard-first-links", arrow_rows=100)
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    at = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}"))
+    placed = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    return placed.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
+
+
 def _pair_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect what the given pairs (a, b) link. Pairs of one cluster of candidates meet in one place, or, for large clusters, in that of two chunks."""
     clusters = components(pairs)
@@ -383,13 +416,29 @@ def _pair_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
     return links
 
 
+def _blocks(members: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """The `total` members (node, cluster, component) in each block (cluster, x, y) that they go to, with n and side.
+
+    The largest component of a cluster has chunks of its own after those of all others, which meet each other and these.
+    """
+    sized = members.join(nodes.select("node", "n"), "node")
+    sums = sized.groupBy("cluster", "component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("copies"))
+    sums = sums.groupBy("cluster").agg(F.max(F.struct("total", "component")).alias("main"), F.sum("total").alias("total"), F.sum("copies").alias("copies"))
+    filled = lambda size: F.ceil(size / SHINGLES_PER_CHUNK)
+    chunks = sums.select("cluster", F.col("main.component").alias("main"), filled(F.col("main.total")).alias("own"), filled(F.col("total") - F.col("main.total")).alias("others"), "copies")
+    large = F.col("component") == F.col("main")
+    dealt = lambda most: F.pmod(F.xxhash64("node"), most)
+    placed = lookup(sized, chunks, ["cluster"], total).where("others > 0").withColumn("chunk", F.when(large, F.col("others") + dealt(F.greatest("own", F.lit(1)))).otherwise(dealt(F.col("others"))))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(large, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1)))
+    return sent.select("node", "n", "component", "cluster", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
+
+
 def _block_links(held: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components in the clusters that tiles (tile, node, component) make."""
     hubs = held.groupBy("tile").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("copies"))
     clusters = components(lookup(held, hubs, ["tile"], held.count()).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    members = _chunked(clusters.withColumnRenamed("component", "cluster"), nodes).join(held.select("node", "component").distinct(), "node")
-    sent = members.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    sent = sent.select("node", "n", "component", "cluster", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
+    members = clusters.withColumnRenamed("component", "cluster").join(held.select("node", "component").distinct(), "node")
+    sent = _blocks(members, nodes, clusters.count())
     blocks = sent.join(sets.hint("merge"), "node")
     links = stash(blocks.groupBy("cluster", "x", "y").applyInArrow(sparing(_join_block), "a binary, b binary"), "jaccard-block-links")
     discard(clusters)
@@ -439,7 +488,7 @@ def _joined(base: DataFrame) -> DataFrame:
     nodes = stash(nodes, "jaccard-nodes")
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     pairs = tiles.where("kind = 0").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    pairs = stash(pairs.mapInArrow(sparing_stream(_refuse_by_bits), "a binary, b binary, n_a long, n_b long"), "jaccard-candidates")
+    candidates = pairs = stash(pairs.mapInArrow(sparing_stream(_refuse_by_bits), "a binary, b binary, n_a long, n_b long"), "jaccard-candidates")
     held = tiles.where("kind = 1").select(F.col("a").alias("node"), "tile")
 
     # the arrays of all nodes that are compared, made from the text of one document each; merged whatever their number
@@ -447,17 +496,22 @@ def _joined(base: DataFrame) -> DataFrame:
     texts = base.join(wanted.hint("merge"), base["locator"] == wanted["place"]).select("node", "text")
     sets = stash(texts.mapInArrow(sparing_stream(_arrays), "node binary, own binary"), "jaccard-sets")
 
-    links = _pair_links(pairs.select("a", "b"), nodes, sets)
-    first = components(links)
-    discard(pairs)
+    pairs = pairs.select("a", "b")
+    few = _first_links(pairs, sets)
+    close = components(few)
+    apart = stash(_apart(pairs, close), "jaccard-apart")
+    discard(candidates, close)
+    links = _pair_links(apart, nodes, sets)
+    discard(apart)
+    first = components(few.unionByName(links))
 
     # long tiles that still hold several components
     held = stash(held.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-held")
     mixed = held.groupBy("tile").agg((F.min("component") != F.max("component")).alias("several"), F.count(F.lit(1)).alias("copies")).where("several").drop("several")
     several = stash(lookup(held, mixed, ["tile"], held.count()).drop("copies"), "jaccard-mixed")
     more = _block_links(several, nodes, sets)
-    found = components(links.unionByName(more))
-    discard(tiles, sets, first, held, several, links, more)
+    found = components(few.unionByName(links).unionByName(more))
+    discard(tiles, sets, few, first, held, several, links, more)
 
     # by node first, so that copies of one text needn't meet
     named = nodes.select("node", "least", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumnRenamed("copies", "rows")
