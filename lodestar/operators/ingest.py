@@ -42,13 +42,14 @@ def _provenance(fields: Column) -> Column:
     return F.map_from_entries(F.array_compact(F.array(*[entry(name, *pair) for name, pair in read.items()])))
 
 
-def parse_documents(records: DataFrame) -> DataFrame:
+def parse_documents(records: DataFrame, event_fields: list[str] | None = None) -> DataFrame:
     """Corpus records (doc_id, title, text; url and ids where present) with what their title and infobox say.
 
     Only a page with an infobox of an event is an event; then `event` is not
     NULL. Where title and infobox name different Games the title holds, and a
     flag says so. NULL title or text count as empty. Values that can't be read
-    are NULL, with a flag. Repeated records give repeated rows.
+    are NULL, with a flag. Repeated records give repeated rows. With
+    event_fields, `event` has only these fields, and the others aren't computed.
     """
     has = set(records.columns)
     own = [F.trim(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("doc_id"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "text")]]
@@ -81,18 +82,19 @@ def parse_documents(records: DataFrame) -> DataFrame:
         missing_gold=~F.exists("medals", lambda m: m["place"] == "gold"),
     )
     source = F.when(conflict, "title_preferred").when(title["year"].isNotNull(), "title").when(from_box, "infobox").otherwise("missing")
-    event = F.struct(
-        F.col("doc_id").alias("event_id"), F.col("doc_id").alias("document_id"), "title",
-        title["sport"].alias("sport_raw"), infobox.or_null(F.lower(infobox.strip(F.regexp_replace(title["sport"], r"(?U)\s+", " ")))).alias("sport"),
-        F.coalesce(title["event_name"], F.col("event_raw")).alias("event_name_raw"), F.col("event_raw").alias("infobox_event"), "year", "season",
-        (F.concat(F.col("year").cast("string"), F.lit("_"), F.col("season"))).alias("games_id"), F.col("games_raw").alias("infobox_games_raw"), source.alias("year_source"),
-        "venue_raw", infobox.or_null(F.lower(infobox.strip(F.regexp_replace(F.col("venue_raw"), r"(?U)\s+", " ")))).alias("venue_key"),
-        calendar.date_span(F.col("date_raw"), F.col("date_field"), F.col("year")).alias("date"),
-        "competitors_raw", "competitors", "nations_raw", "nations", "medals",
-        F.col("prev_raw").alias("prev_year_raw"), infobox.year_value(F.col("prev_raw")).alias("prev_year"),
-        F.col("next_raw").alias("next_year_raw"), infobox.year_value(F.col("next_raw")).alias("next_year"),
-        event_flags.alias("flags"), _provenance(fields).alias("provenance"),
-    )
+    own_fields = {
+        "event_id": F.col("doc_id"), "document_id": F.col("doc_id"), "title": F.col("title"),
+        "sport_raw": title["sport"], "sport": infobox.or_null(F.lower(infobox.strip(F.regexp_replace(title["sport"], r"(?U)\s+", " ")))),
+        "event_name_raw": F.coalesce(title["event_name"], F.col("event_raw")), "infobox_event": F.col("event_raw"), "year": F.col("year"), "season": F.col("season"),
+        "games_id": F.concat(F.col("year").cast("string"), F.lit("_"), F.col("season")), "infobox_games_raw": F.col("games_raw"), "year_source": source,
+        "venue_raw": F.col("venue_raw"), "venue_key": infobox.or_null(F.lower(infobox.strip(F.regexp_replace(F.col("venue_raw"), r"(?U)\s+", " ")))),
+        "date": calendar.date_span(F.col("date_raw"), F.col("date_field"), F.col("year")),
+        "competitors_raw": F.col("competitors_raw"), "competitors": F.col("competitors"), "nations_raw": F.col("nations_raw"), "nations": F.col("nations"), "medals": F.col("medals"),
+        "prev_year_raw": F.col("prev_raw"), "prev_year": infobox.year_value(F.col("prev_raw")),
+        "next_year_raw": F.col("next_raw"), "next_year": infobox.year_value(F.col("next_raw")),
+        "flags": event_flags, "provenance": _provenance(fields),
+    }
+    event = F.struct(*[value.alias(name) for name, value in own_fields.items() if event_fields is None or name in event_fields])
     page_flags = _flags(olympic_event_title=names_event, games_overview_title=title["parsed"] & ~names_event, rejected_event_title=names_event & ~boxed)
     return rows.select(
         "doc_id", "title", "url", "wikidata_qid", "wikipedia_pageid", "approx_tokens", "text", "has_olympic_infobox", "title_parse",
@@ -104,10 +106,14 @@ def parse_documents(records: DataFrame) -> DataFrame:
     )
 
 
-def solver_events(parsed: DataFrame) -> DataFrame:
-    """Events of parsed documents in the columns that questions are answered from."""
+#: The fields of an event that solver_events reads.
+SOLVER_FIELDS = ["event_id", "sport", "year", "season", "event_name_raw", "competitors", "nations", "venue_raw", "date", "medals", "prev_year", "next_year"]
+
+
+def solver_events(parsed: DataFrame, *more: Column) -> DataFrame:
+    """Events of parsed documents in the columns that questions are answered from, and more of the documents' where asked."""
     gold = F.try_element_at(F.filter("event.medals", lambda m: m["place"] == "gold"), F.lit(1))["name_raw"]
     return parsed.where("event is not null").select(
         F.col("event.event_id").alias("id"), "title", "event.sport", "event.year", "event.season", F.col("event.event_name_raw").alias("event_name"),
-        "event.competitors", "event.nations", F.col("event.venue_raw").alias("venue"), "event.date", gold.alias("gold"), "event.prev_year", "event.next_year",
+        "event.competitors", "event.nations", F.col("event.venue_raw").alias("venue"), "event.date", gold.alias("gold"), "event.prev_year", "event.next_year", *more,
     )

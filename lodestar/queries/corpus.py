@@ -28,10 +28,10 @@ def pages(events: DataFrame) -> DataFrame:
 @query(ev("""SELECT id::VARCHAR AS id, sport, year::INTEGER AS year, season, event_name, venue, competitors, nations, gold, CASE WHEN competitors IS NULL THEN 'olympic_event_title,missing_competitors,missing_nations' ELSE 'olympic_event_title' END AS flags,
 year::VARCHAR || '|' || month(event_date)::VARCHAR || '|' || day(event_date)::VARCHAR AS date FROM ev"""))
 def parse_infobox(spark, sf_dir) -> DataFrame:
-    parsed = ingest.parse_documents(pages(event_view(spark, sf_dir)))
+    parsed = ingest.parse_documents(pages(event_view(spark, sf_dir)), ingest.SOLVER_FIELDS)
     date = F.concat_ws("|", *[F.concat_ws(",", F.col(f"date.{p}").cast("array<string>")) for p in ("years", "months", "days")])
-    flags = parsed.select("doc_id", F.array_join("flags", ",").alias("flags"))
-    return ingest.solver_events(parsed).join(flags, F.col("id") == F.col("doc_id")).select("id", "sport", "year", "season", "event_name", "venue", "competitors", "nations", "gold", "flags", date.alias("date"))
+    events = ingest.solver_events(parsed, F.array_join("flags", ",").alias("flags"))
+    return events.select("id", "sport", "year", "season", "event_name", "venue", "competitors", "nations", "gold", "flags", date.alias("date"))
 
 
 @query("""SELECT o_orderkey, year(o_orderdate)::VARCHAR AS years, month(o_orderdate)::VARCHAR AS months, array_to_string(range(day(o_orderdate), day(o_orderdate) + 1 + (o_orderkey % 3 = 0 AND day(o_orderdate) < 31)::INTEGER), ',') AS days FROM orders""")
