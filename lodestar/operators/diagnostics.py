@@ -12,12 +12,16 @@ FIELDS = ["sport", "year", "season", "event_name_raw", "venue_raw", "date", "com
 
 
 def corpus_counts(parsed: DataFrame) -> DataFrame:
-    """One row: documents, event documents, others, infoboxes, titles of events, and those without an infobox."""
-    titled = F.array_contains("flags", "olympic_event_title")
+    """One row: documents, event documents, others, infoboxes, titles of events, and those without an infobox.
+
+    Reads what the title and the infobox's header say, so that no event need be made.
+    """
+    titled = F.col("title_parse.parsed") & F.col("title_parse.event_name").isNotNull()
+    event = F.col("kind") == "event"
     return parsed.agg(
         F.count(F.lit(1)).alias("total_documents"),
-        F.count("event").alias("event_documents"),
-        F.count_if(F.col("event").isNull()).alias("document_only"),
+        F.count_if(event).alias("event_documents"),
+        F.count_if(~event).alias("document_only"),
         F.count_if("has_olympic_infobox").alias("with_infobox"),
         F.count_if(titled).alias("event_titles"),
         F.count_if(F.col("rejection_reason") == "olympic_title_without_infobox").alias("rejected_titles"),

@@ -146,7 +146,7 @@ def _pages(spark, sf_dir) -> DataFrame:
 
 @query(ev("SELECT count(*) AS total_documents, count(*) AS event_documents, 0::BIGINT AS document_only, count(*) AS with_infobox, count(*) AS event_titles, 0::BIGINT AS rejected_titles FROM ev"))
 def corpus_counts(spark, sf_dir) -> DataFrame:
-    return diagnostics.corpus_counts(_pages(spark, sf_dir))
+    return diagnostics.corpus_counts(ingest.parse_documents(pages(event_view(spark, sf_dir))))
 
 
 @query(ev("SELECT field, count(*) AS n, count(*) FILTER (lost) AS missing, round_even(100.0::DOUBLE * count(*) FILTER (lost) / count(*), 1) AS rate FROM (SELECT unnest(['competitors', 'nations', 'prev_year', 'venue_raw', 'gold']) AS field, unnest([competitors IS NULL, nations IS NULL, true, venue IS NULL, gold IS NULL]) AS lost FROM ev) GROUP BY field"))
