@@ -139,11 +139,6 @@ def embedding_cache(spark, sf_dir) -> DataFrame:
     return found.join(chunks.select("chunk_id", F.char_length(F.coalesce("text", F.lit(""))).cast("double").alias("size")), "chunk_id").select("chunk_id", F.col("vector").isNotNull().alias("hit"), F.coalesce(F.get("vector", F.lit(0)), "size").alias("first"))
 
 
-def _pages(spark, sf_dir) -> DataFrame:
-    """Parsed once and written: profiles read fields of the event many times."""
-    return files.stash(ingest.parse_documents(pages(event_view(spark, sf_dir))), "parsed-pages")
-
-
 @query(ev("SELECT count(*) AS total_documents, count(*) AS event_documents, 0::BIGINT AS document_only, count(*) AS with_infobox, count(*) AS event_titles, 0::BIGINT AS rejected_titles FROM ev"))
 def corpus_counts(spark, sf_dir) -> DataFrame:
     return diagnostics.corpus_counts(ingest.parse_documents(pages(event_view(spark, sf_dir))))
@@ -151,7 +146,10 @@ def corpus_counts(spark, sf_dir) -> DataFrame:
 
 @query(ev("SELECT field, count(*) AS n, count(*) FILTER (lost) AS missing, round_even(100.0::DOUBLE * count(*) FILTER (lost) / count(*), 1) AS rate FROM (SELECT unnest(['competitors', 'nations', 'prev_year', 'venue_raw', 'gold']) AS field, unnest([competitors IS NULL, nations IS NULL, true, venue IS NULL, gold IS NULL]) AS lost FROM ev) GROUP BY field"))
 def missing_values(spark, sf_dir) -> DataFrame:
-    return diagnostics.missing_values(_pages(spark, sf_dir)).where(F.col("field").isin("competitors", "nations", "prev_year", "venue_raw", "gold"))
+    parsed = ingest.parse_documents(pages(event_view(spark, sf_dir)), [*diagnostics.FIELDS, "medals"])
+    # written, as counts read each field of an event
+    rows = files.stash(parsed.select("event"), "parsed-events")
+    return diagnostics.missing_values(rows).where(F.col("field").isin("competitors", "nations", "prev_year", "venue_raw", "gold"))
 
 
 @query(ev("SELECT count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM prior p WHERE p.sport = e.sport AND p.season = e.season AND p.event_name = e.event_name AND p.year = CASE WHEN e.season = 'Winter' AND e.year = 1994 THEN 1992 WHEN e.season = 'Winter' AND e.year = 1992 THEN 1988 ELSE e.year - 4 END)) AS matched FROM ev e", ", prior AS (SELECT DISTINCT sport, season, event_name, year FROM ev)"))
