@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import calendar, names
 from lodestar.operators import pools
 from lodestar.plans import answers
+from lodestar.sources.files import dealt, stash
 
 # Why no edition before the named year is known.
 NO_YEAR, NO_OLDER = "named_year_not_parsed", "no_gold_doc_older_than_named_year"
@@ -61,8 +62,10 @@ def previous_gold(questions: DataFrame, documents: DataFrame) -> DataFrame:
     equals; that of the named year is the first in the list too. Gold ids that
     aren't documents, and documents without a year, don't count.
     """
-    gold = questions.select("qid", "named_year", F.posexplode("gold_doc_ids").alias("place", "doc_id"))
-    dated = gold.join(documents.where("year is not null").select("doc_id", "year"), "doc_id")
+    questions = stash(questions, "gold-questions")
+    many = questions.agg(F.sum(F.size("gold_doc_ids"))).head()[0] or 0
+    gold = dealt(questions.select("qid", "named_year", F.posexplode("gold_doc_ids").alias("place", "doc_id")), many, "doc_id")
+    dated = dealt(gold.join(documents.where("year is not null").select("doc_id", "year"), "doc_id"), many, "qid")
     older, same = F.col("year") < F.col("named_year"), F.col("year") == F.col("named_year")
     found = dated.groupBy("qid").agg(
         F.max(F.when(older, F.struct("year", (-F.col("place")).alias("first"), "doc_id")))["doc_id"].alias("previous_doc_id"),
