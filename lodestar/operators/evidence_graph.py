@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.sources.files import dealt
+
 # The kind of vertex to which an edge leads, what a fact's value is, and how much of a graph is shown.
 NEIGHBOURS = {"HELD_AT": "venue", "IN_GAMES": "games", "OF_SPORT": "sport"}
 FACTS = {"gold_raw": "athlete"}
@@ -76,8 +78,9 @@ def graph_of(items: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFra
     which they are first named; MOST_NODES nodes are shown, and of the edges
     between shown nodes MOST_EDGES, so none leads to a node that was cut off.
     """
-    cited = citations.where("evidence_id is not null").select("qid", "evidence_id").distinct().withColumn("cited", F.lit(True))
-    rows = items.join(cited, ["qid", "evidence_id"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
+    many = items.count()
+    cited = dealt(citations.where("evidence_id is not null").select("qid", "evidence_id"), many, "qid", "evidence_id").distinct().withColumn("cited", F.lit(True))
+    rows = dealt(dealt(items, many, "qid", "evidence_id").join(cited, ["qid", "evidence_id"], "left"), many, "qid").withColumn("cited", F.coalesce("cited", F.lit(False)))
     kind, no = F.col("evidence_type"), F.lit(False)
     event = F.nullif(said(F.col("event_id")), F.lit(AGGREGATE))
     document, chunk, value = said(F.col("document_id")), said(F.col("chunk_id")), F.coalesce(F.col("value"), F.lit(""))
