@@ -22,6 +22,12 @@ def _parsed(events: DataFrame) -> DataFrame:
     return questions.parse_questions(asked(events), SPORTS)
 
 
+def _written(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Parsed questions and events, both written once: every family of questions reads them."""
+    events = files.stash(event_view(spark, sf_dir), "events")
+    return files.stash(_parsed(events), "parsed"), files.stash(_canonical(events), "canonical")
+
+
 KEY = "sport || ':' || year::VARCHAR || ':' || season"
 POOLED = f""", pool AS (SELECT DISTINCT sport, year, season, {KEY} AS key FROM ev),
 best AS (SELECT *, {KEY} AS key, max(competitors) OVER (PARTITION BY sport, year, season) AS top FROM ev)"""
@@ -54,8 +60,7 @@ UNION ALL SELECT 'nations:' || id::VARCHAR, 'c:fact:nations:' || id::VARCHAR, 'f
 UNION ALL SELECT 'top:' || key, 'c:fact:competitors:' || min(id)::VARCHAR, 'fact', min(top)::VARCHAR, 'gsql:argmax_competitors' FROM best WHERE competitors = top GROUP BY key HAVING count(*) = 1
 UNION ALL SELECT 'count:' || key, 'c:fact:count', 'fact', (count(*) FILTER (competitors > 4))::VARCHAR, 'gsql:count_over_threshold' FROM best GROUP BY key""", POOLED))
 def result_evidence(spark, sf_dir) -> DataFrame:
-    events = _canonical(event_view(spark, sf_dir))
-    parsed = files.stash(_parsed(event_view(spark, sf_dir)), "parsed")
+    parsed, events = _written(spark, sf_dir)
     items = contract.evidence(answers.solve(parsed, events), contract.matched(parsed, events), "c")
     return items.select("qid", "evidence_id", "evidence_type", "value", "retrieval_method")
 
