@@ -166,8 +166,7 @@ def previous_matchable(spark, sf_dir) -> DataFrame:
 SELECT 'count' AS qtype, 'supported' AS s FROM pool UNION ALL SELECT 'nations', CASE WHEN nations IS NULL THEN 'partial' ELSE 'supported' END FROM ev
 UNION ALL SELECT 'top', CASE WHEN count(*) FILTER (competitors = top) = 1 THEN 'supported' ELSE 'partial' END FROM best GROUP BY key) GROUP BY GROUPING SETS ((), (qtype))""", POOLED))
 def question_coverage(spark, sf_dir) -> DataFrame:
-    events = event_view(spark, sf_dir)
-    solved = answers.solve(_parsed(events), _canonical(events)).withColumn("qtype", F.split_part("qid", F.lit(":"), F.lit(1)))
+    solved = answers.solve(*_written(spark, sf_dir)).withColumn("qtype", F.split_part("qid", F.lit(":"), F.lit(1)))
     return diagnostics.question_coverage(solved).drop("supported_pct")
 
 
