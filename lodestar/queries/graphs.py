@@ -96,7 +96,8 @@ def observation_budget(spark, sf_dir) -> DataFrame:
 CASE WHEN id % 5 = 0 THEN 0 WHEN nations IS NULL THEN 1 WHEN id % 7 = 0 THEN 2 WHEN id % 2 = 0 THEN 3 ELSE 1 END AS tool_calls, CASE WHEN id % 5 = 0 OR nations IS NULL THEN 0 WHEN id % 7 = 0 OR id % 2 = 0 THEN 1 ELSE 0 END AS followups FROM ev"""))
 def investigation(spark, sf_dir) -> DataFrame:
     """Every event asked for its nations: some unparsed, some by two hops, some with two candidates."""
-    events = event_view(spark, sf_dir).withColumn("qid", F.col("id"))
+    # written, as every tool reads them in every round
+    events = files.stash(event_view(spark, sf_dir).withColumn("qid", F.col("id")), "events")
     status = F.when(F.col("nations").isNull(), "unresolved").when(F.col("id") % 7 == 0, "ambiguous").otherwise("supported")
     none = F.lit(None).cast("string")
     item = lambda tag, kind, event, field, value, method: F.struct(F.concat(F.lit(tag), event).alias("evidence_id"), F.lit(kind).alias("evidence_type"), event.alias("event_id"), F.lit(field).alias("field_name"), value.alias("value"), F.lit(method).alias("retrieval_method"))
