@@ -10,6 +10,7 @@ from lodestar.operators import scoring
 from lodestar.plans import textsearch
 from lodestar.queries.catalog import QUERIES, ev, query
 from lodestar.queries.corpus import pages
+from lodestar.sources import files
 from lodestar.sources.tables import event_view, read_table
 
 __all__ = ["QUERIES"]
@@ -168,6 +169,6 @@ def set_sweep(spark, sf_dir) -> DataFrame:
 @query(ev("SELECT 'count:' || sport AS qid, chunk_id FROM (SELECT DISTINCT sport FROM ev) JOIN titles USING (sport) WHERE y = '1995' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY title, chunk_id) <= 64", TITLES))
 def text_search(spark, sf_dir) -> DataFrame:
     """The whole search for a count of each sport; a sweep's hits don't depend on scores, so SQL can name them."""
-    events = event_view(spark, sf_dir)
+    events = files.stash(event_view(spark, sf_dir), "events")
     asked = events.select("sport").distinct().select(F.concat(F.lit("count:"), "sport").alias("qid"), F.format_string("How many %s events at the 1995 Summer Olympics had more than 4 competitors?", "sport").alias("question"))
-    return textsearch.search(asked, _infoboxes(events)).select("qid", "chunk_id")
+    return textsearch.search(asked, files.stash(_infoboxes(events), "infoboxes")).select("qid", "chunk_id")
