@@ -123,10 +123,12 @@ UNION ALL SELECT 'IN_GAMES', count(*), 0 FROM sent UNION ALL SELECT 'OF_SPORT',
 ", sent AS (SELECT * FROM ev WHERE id % 11 <> 0), line AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT id FROM ev))"))
 def graph_upsert(spark, sf_dir) -> DataFrame:
     """The whole graph exported, loaded and put into a base that has some of it already; edges to vertices that neither has are counted and left out."""
-    events = event_view(spark, sf_dir).select("id", "title", "sport", "year", "season", "event_name", "competitors", "venue")
+    events = files.stash(event_view(spark, sf_dir).select("id", "title", "sport", "year", "season", "event_name", "competitors", "venue"), "events")
     page = F.concat(F.lit("d"), F.col("id").cast("string"))
     documents = events.select(page.alias("id"), "title", F.col("id").cast("string").alias("event_id"))
-    lines = read_table(spark, sf_dir, "lineitem").join(events.select(F.col("id").alias("l_orderkey")), "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber").distinct()
+    lines = read_table(spark, sf_dir, "lineitem")
+    lines = files.dealt(lines, lines.count(), "l_orderkey").join(events.select(F.col("id").alias("l_orderkey")), "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber").distinct()
+    lines = files.stash(lines, "lines")
     key = F.col("l_orderkey").cast("string")
     chunks = lines.select(F.concat_ws("::", key, F.col("l_linenumber").cast("string")).alias("id"), F.concat(F.lit("d"), key).alias("document_id"), F.col("l_linenumber").alias("chunk_index"), F.lit("lead").alias("section"))
     sent = graph.whole_graph(documents, events.where("id % 11 <> 0"), chunks)
@@ -136,7 +138,8 @@ def graph_upsert(spark, sf_dir) -> DataFrame:
     loaded = export.load(spark, path)
     old = {"Document": documents.where("id like '%0'").withColumn("title", F.lit("old")).unionByName(spark.createDataFrame([("x", "own", None)], "id string, title string, event_id string")), "Event": events.where("id % 22 = 0").select(*[F.col(c).cast("string").alias(c) if c == "id" else F.col(c) for c in events.columns])}
     base = {name: old[name].select(*[F.col(c).cast(kind).alias(c) for c, kind in loaded[name].dtypes]) for name in old}
-    live = graph.merged_graph(base, loaded)
+    # written, as each table of vertices meets all its edges; counts need the keys only
+    live = {name: files.stash(table.select(*graph.keys_of(name)), f"live-{name}") for name, table in graph.merged_graph(base, loaded).items()}
     lost = graph.dangling(live).groupBy(F.col("edge").alias("table")).agg(F.countDistinct("src", "tgt").alias("dangling"))
     counted = graph.counts(graph.with_whole_edges(live))
     return counted.join(lost, "table", "left").select("table", "n", F.coalesce("dangling", F.lit(0)).cast("int").alias("dangling"))
