@@ -189,27 +189,37 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 #: Words of a passage by which documents that may hold it are found.
 ANCHOR_WORDS = 5
+#: Passages, and their characters, that all tasks hold in one pass over the documents.
+PASSAGES_PER_PASS, CHARACTERS_PER_PASS = 10_000, 16_000_000
 
 
 def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """docs (doc, text) with the passages (query_id, passage) that stand in their text, anywhere, even within words.
+    """docs (doc, text) with the passages (query_id, passage) that stand in their text, anywhere, even within words; a row for each row of both.
 
     The words of a passage but for its first and last, which may be cut, stand
     whole in any text that holds it. The first ANCHOR_WORDS of these meet the
     runs of as many words of the documents by equality, and only texts that
     share them are searched. Passages with fewer such words are searched for in all texts.
+
+    Passages go to the documents, so that no text and no run of words is
+    shuffled; more than PASSAGES_PER_PASS or CHARACTERS_PER_PASS take further passes.
     """
     words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    asked = passages.withColumn("inner", F.slice(words(F.col("passage")), F.lit(2), F.greatest(F.size(words(F.col("passage"))) - 2, F.lit(0))))
-    long = F.size("inner") >= ANCHOR_WORDS
-    anchored = asked.where(long).withColumn("anchor", F.xxhash64(F.array_join(F.slice("inner", 1, ANCHOR_WORDS), " ")))
-    own = docs.select("doc", words(F.col("text")).alias("w")).where(F.size("w") >= ANCHOR_WORDS)
-    runs = own.select("doc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR_WORDS + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(ANCHOR_WORDS)), " "))))).alias("anchor"))
-    # written, so that the join with the texts knows how few they are
-    near = stash(runs.join(anchored.select("anchor", "query_id", "passage"), "anchor").select("doc", "query_id", "passage"), "near-passages")
-    found = near.join(docs, "doc").where(F.contains("text", "passage"))
-    short = docs.join(asked.where(~long).select("query_id", "passage"), F.contains("text", "passage"))
-    return found.select("doc", "query_id").unionByName(short.select("doc", "query_id")).distinct()
+    inner = F.slice(words(F.col("passage")), F.lit(2), F.greatest(F.size(words(F.col("passage"))) - 2, F.lit(0)))
+    anchor = F.when(F.size(inner) >= ANCHOR_WORDS, F.xxhash64(F.array_join(F.slice(inner, 1, ANCHOR_WORDS), " ")))
+    asked = stash(passages.where("passage is not null").select("query_id", "passage", anchor.alias("anchor")), "passages")
+    many, characters = asked.agg(F.count(F.lit(1)), F.sum(F.length("passage"))).head()
+    passes = max(1, -(-many // PASSAGES_PER_PASS), -(-(characters or 0) // CHARACTERS_PER_PASS))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR_WORDS + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(ANCHOR_WORDS)), " ")))
+    own = docs.select("doc", "text", words(F.col("text")).alias("w")).select("doc", "text", F.when(F.size("w") >= ANCHOR_WORDS, runs).alias("runs"))
+    found = []
+    for i in range(passes):
+        some = asked.where(F.pmod(F.xxhash64("query_id", "passage"), F.lit(passes)) == i)
+        long, short = some.where("anchor is not null"), some.where("anchor is null")
+        shared = own.join(F.broadcast(long.agg(F.collect_set("anchor").alias("anchors")))).where(F.coalesce(F.arrays_overlap("runs", "anchors"), F.lit(False)))
+        near = shared.select("doc", "text", F.explode(F.array_intersect("runs", "anchors")).alias("anchor")).join(F.broadcast(long), "anchor")
+        found += [rows.where(F.contains("text", "passage")).select("doc", "query_id") for rows in (near, docs.join(F.broadcast(short)))]
+    return reduce(DataFrame.unionByName, found)
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""BM25 over documents that share their words: what is written, repeated ids, several passes."""
+"""BM25 and passages over documents that share their words: what is written, repeated ids, several passes."""
 
 import os
 
@@ -46,3 +46,30 @@ def test_passes_give_what_one_gives(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERIES_PER_PASS", 4)
     assert sorted(retrieval.bm25(docs, queries, 5).collect()) == one and len(one) == 45
     assert retrieval.bm25(docs.limit(0), queries, 5).count() == retrieval.bm25(docs, queries.limit(0), 5).count() == 0
+
+
+def test_passages_shuffle_no_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.range(4000).select(F.col("id").alias("doc"), F.array_join(F.shuffle(F.array(*map(F.lit, words)), seed=F.lit(1)), " ").alias("text")).localCheckpoint()
+    passages = docs.where("doc % 40 = 0").select(F.col("doc").alias("query_id"), F.substring("text", 20, 80).alias("passage"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = on_disk(spark)
+        assert {(r["doc"], r["query_id"]) for r in retrieval.holders(docs, passages).collect()} >= {(i, i) for i in range(0, 4000, 40)}
+        # 4000 documents have 224,000 runs of words
+        assert on_disk(spark) - before < 200_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_passages_row_by_row(spark, monkeypatch):
+    texts = ["one two three four five six seven eight nine", "one two three four five six seven eight nine", "a one two three four five six seven eight nine two three four five six seven", "short", "", None]
+    asked = ["ne two three four five six seven e", "ne two three four five six seven z", "hort", "", "two three four five six seven eight nine", None]
+    docs = spark.createDataFrame([*[(i // 2, t) for i, t in enumerate(texts)], (None, texts[0])], "doc long, text string")
+    passages = spark.createDataFrame([*[(i // 2, t) for i, t in enumerate(asked)], (7, asked[0]), (7, asked[0])], "query_id long, passage string")
+    order = lambda rows: sorted(rows, key=str)
+    want = order((d.doc, p.query_id) for d in docs.collect() for p in passages.collect() if None not in (d.text, p.passage) and p.passage in d.text)
+    for most in (10_000, 2):
+        monkeypatch.setattr(retrieval, "PASSAGES_PER_PASS", most)
+        assert order(tuple(r) for r in retrieval.holders(docs, passages).collect()) == want
+    assert retrieval.holders(docs, passages.limit(0)).count() == retrieval.holders(docs.limit(0), passages).count() == 0
