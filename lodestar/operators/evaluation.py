@@ -32,9 +32,9 @@ def last_rank(hits: DataFrame) -> DataFrame:
 
 
 def recall_at(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """For each query of gold (query_id, doc): whether some gold document is among the first k hits, and the share that is."""
+    """For each query of gold (query_id, doc): whether some gold document is among the first k hits, and the share that is; rows of gold count as often as they come."""
     near = hits.where(F.col("rank") <= k).select("query_id", "doc").distinct().withColumn("hit", F.lit(1))
-    joined = gold.select("query_id", "doc").distinct().join(near, ["query_id", "doc"], "left")
+    joined = gold.select("query_id", "doc").join(near, ["query_id", "doc"], "left")
     return joined.groupBy("query_id").agg(F.max(F.coalesce("hit", F.lit(0))).alias("recalled"), F.round(F.avg(F.coalesce("hit", F.lit(0)).cast("double")), 6).alias("set_recall"))
 
 

@@ -73,3 +73,19 @@ def test_passages_row_by_row(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "PASSAGES_PER_PASS", most)
         assert order(tuple(r) for r in retrieval.holders(docs, passages).collect()) == want
     assert retrieval.holders(docs, passages.limit(0)).count() == retrieval.holders(docs.limit(0), passages).count() == 0
+
+
+def test_recall_of_repeated_ids_as_in_sql(spark, tmp_path):
+    texts = [(1, "x p q r y"), (1, "z p q r y"), *[(i, "p q r" + " more" * i) for i in range(2, 9)], (None, "a p q r"), (None, None), (9, "none")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "p q r"), (1, "none"), (2, "absent")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    import duckdb
+
+    from lodestar.registry import oracle_sql, queries
+    from tests.conftest import same_rows
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("set_recall", "recall_at_k", "gold_join"):
+        same_rows(queries()[name](spark, str(tmp_path)), con.execute(oracle_sql()[name]))
