@@ -39,19 +39,23 @@ def candidates(plans: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
     return ranked.join(chunks.select("chunk_id", "document_id"), "chunk_id")
 
 
-def sweep(wanted: DataFrame, infoboxes: DataFrame) -> DataFrame:
-    """wanted (qid, years, sport_tokens): qid and chunk_id of the infoboxes whose title holds one of the years, if any, and all the words, SWEEP at most by title.
+def sweep(wanted: DataFrame, infoboxes: DataFrame, most: int | None = SWEEP) -> DataFrame:
+    """wanted (qid, years, sport_tokens): qid and chunk_id of the infoboxes whose title holds one of the years, if any, and all the words: `most` of them by title, or all.
 
-    Questions and titles meet on one word; the others are checked there. No
-    question keeps more than SWEEP of one title, so only so many of each meet questions.
+    Questions meet distinct titles on one word; the others are checked there. Infoboxes join
+    the titles that fit. With `most`, no question keeps more of one title, so only so many of each meet questions.
     """
     own = infoboxes.where(F.col("document_title") != "").select("chunk_id", "document_title")
-    titles = retrieval.top_k(own, ["document_title"], ["chunk_id"], SWEEP).select("chunk_id", "document_title", F.array_distinct(tokenize(F.col("document_title"))).alias("words"))
-    by_word = titles.select("*", F.explode("words").alias("word"))
+    titles = own.select("document_title").distinct().withColumn("words", F.array_distinct(tokenize(F.col("document_title"))))
+    # an outer explode, as the test for words that Spark infers of an inner one is made of every title before they are distinct
+    by_word = titles.select("*", F.explode_outer("words").alias("word"))
     asked = wanted.where(F.size("sport_tokens") > 0).withColumn("word", F.get("sport_tokens", F.lit(0)))
     met = asked.join(by_word, "word").where(F.size(F.array_except("sport_tokens", "words")) == 0)
-    met = met.where((F.size("years") == 0) | F.exists("years", lambda y: F.contains(F.col("document_title"), y.cast("string"))))
-    return retrieval.top_k(met, ["qid"], ["document_title", "chunk_id"], SWEEP).select("qid", "chunk_id")
+    met = met.where((F.size("years") == 0) | F.exists("years", lambda y: F.contains(F.col("document_title"), y.cast("string")))).select("qid", "document_title")
+    if most is None:
+        return own.join(met, "document_title").select("qid", "chunk_id")
+    few = retrieval.top_k(own, ["document_title"], ["chunk_id"], most).select("chunk_id", "document_title")
+    return retrieval.top_k(few.join(met, "document_title"), ["qid"], ["document_title", "chunk_id"], most).select("qid", "chunk_id")
 
 
 def expand(first: DataFrame, seed: Column, chunks: DataFrame, per_doc: int = 3) -> DataFrame:

@@ -159,11 +159,15 @@ def _infoboxes(events: DataFrame) -> DataFrame:
 TITLES = ", titles AS (SELECT id::VARCHAR || '::c000' AS chunk_id, upper(left(sport, 1)) || substr(sport, 2) || ' at the ' || year::VARCHAR || ' ' || season || ' Olympics – ' || event_name AS title, sport, year::VARCHAR AS y FROM ev)"
 
 
-@query(ev("SELECT tag || ':' || sport || ':' || y || ':' || season AS qid, chunk_id FROM own JOIN titles USING (sport, y), tags WHERE tag <> 'prev' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY title, chunk_id) <= 64", PLANS + TITLES))
+@query(ev("SELECT tag || ':' || sport || ':' || y || ':' || season AS qid, chunk_id FROM own JOIN titles USING (sport, y), tags WHERE tag <> 'prev'", PLANS + TITLES))
 def set_sweep(spark, sf_dir) -> DataFrame:
+    """All infoboxes of every question for a set."""
     events = event_view(spark, sf_dir)
-    plans = lexical.plan_queries(_questions(events)).where(textsearch.is_set())
-    return textsearch.sweep(plans.select("qid", "years", "sport_tokens"), _infoboxes(events))
+    # written, as questions and titles read them; a page has more columns, which nothing reads here
+    page = files.stash(_infoboxes(events).select("chunk_id", "document_title"), "infoboxes")
+    asked = files.stash(_questions(events), "questions")
+    plans = files.stash(lexical.plan_queries(asked).where(textsearch.is_set()).select("qid", "years", "sport_tokens"), "plans")
+    return textsearch.sweep(plans, page, None)
 
 
 @query(ev("SELECT 'count:' || sport AS qid, chunk_id FROM (SELECT DISTINCT sport FROM ev) JOIN titles USING (sport) WHERE y = '1995' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY title, chunk_id) <= 64", TITLES))

@@ -38,3 +38,16 @@ def test_events_are_made_once(spark, sf, duck, monkeypatch, name):
     df = queries()[name](spark, sf)
     assert not any(f.endswith("/orders.parquet") for f in df.inputFiles())
     same_rows(df, duck.execute(oracle_sql()[name]))
+
+
+def test_sweep_keeps_every_infobox(spark):
+    """At sf0.01 each question for a set finds some 400 infoboxes."""
+    import duckdb
+
+    large = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for name in ("orders", "customer", "nation", "lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{large}/{name}.parquet'")
+    df = queries()["set_sweep"](spark, large)
+    assert df.groupBy("qid").count().agg({"count": "min"}).head()[0] > 64
+    same_rows(df, con.execute(oracle_sql()["set_sweep"]))
