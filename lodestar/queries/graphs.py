@@ -61,7 +61,8 @@ UNION ALL SELECT 'top:' || key, 'c:fact:competitors:' || min(id)::VARCHAR, 'fact
 UNION ALL SELECT 'count:' || key, 'c:fact:count', 'fact', (count(*) FILTER (competitors > 4))::VARCHAR, 'gsql:count_over_threshold' FROM best GROUP BY key""", POOLED))
 def result_evidence(spark, sf_dir) -> DataFrame:
     parsed, events = _written(spark, sf_dir)
-    items = contract.evidence(answers.solve(parsed, events), contract.matched(parsed, events), "c")
+    steps = answers.Steps(parsed, events)
+    items = contract.evidence(files.stash(steps.outcomes(), "outcomes"), contract.matched(parsed, events, steps), "c")
     return items.select("qid", "evidence_id", "evidence_type", "value", "retrieval_method")
 
 

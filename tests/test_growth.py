@@ -51,3 +51,24 @@ def test_sweep_keeps_every_infobox(spark):
     df = queries()["set_sweep"](spark, large)
     assert df.groupBy("qid").count().agg({"count": "min"}).head()[0] > 64
     same_rows(df, con.execute(oracle_sql()["set_sweep"]))
+
+
+def test_families_without_questions_take_no_part(spark, sf):
+    """Events don't meet questions of editions and venues that nobody asks; a mixed table has the same rows."""
+    from lodestar.functions import questions
+    from lodestar.operators import contract
+    from lodestar.plans import answers
+    from lodestar.queries.corpus import SPORTS, _canonical
+    from lodestar.sources.tables import event_view
+
+    events = files.stash(_canonical(event_view(spark, sf)), "canonical")
+    nations = [(f"n{i}", f"What's the nation count for Order {i}?") for i in (1, 2, 10**6)]
+    more = [("e", "Who won gold in the x building event at the Summer Olympics held before 1996?"), ("v", "Who won gold at NATION_3 on 7 May at the 1995 Summer Olympics?")]
+    solved = []
+    for rows in (nations, nations + more):
+        steps = answers.Steps(files.stash(questions.parse_questions(spark.createDataFrame(rows, "qid string, question string"), SPORTS), "parsed"), events)
+        plan = steps.outcomes()
+        assert ("edition-rows" in str(plan.inputFiles())) == ("venue-asked" in str(plan.inputFiles())) == (len(rows) > 3)
+        found = contract.matched(steps.parsed, events, steps).where("qid like 'n%'").select("qid", "id").collect()
+        solved.append((sorted(map(str, plan.where("qid like 'n%'").collect())), sorted(found)))
+    assert solved[0] == solved[1] and len(solved[0][0]) == 3 and [r.id for r in solved[0][1]] == [1, 2]
