@@ -72,3 +72,18 @@ def test_sweep_takes_few_of_each_title(spark):
     found = {r["qid"]: r["ids"] for r in rows.groupBy("qid").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids")).collect()}
     assert found == {q: [f"c{2 * i:05d}" for i in range(textsearch.SWEEP)] for q in range(20)}
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") == 2
+
+
+def test_what_nobody_asks_meets_no_events(spark):
+    """Only questions that lack the key or the name, or ask in other words than the event's own, make a second join."""
+    events = spark.createDataFrame([(i, "run", y, "Summer", "100 metres", f"g{i}", None, None) for i, y in ((1, 1992), (2, 1996))], "id int, sport string, year int, season string, event_name string, gold string, prev_year int, next_year int")
+    schema = "qid string, operation string, sport string, season string, year int, named_year int, event_name string, temporal_relation string"
+    ask = lambda *rows: answers._edition_steps(spark.createDataFrame([(q, "previous_event_gold", sport, "Summer", None, 1996, name, "previous") for q, sport, name in rows], schema), events)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")
+    own, other = ask(("a", "run", "100 metres")), ask(("a", "run", "100 metres"), ("b", None, "100 meter"), ("c", "run", None))
+    assert joins(own[2]) == 1 and joins(other[2]) == 3
+    # the edition before is found under the event's own name; only b and c ask in other words
+    assert [(r.qid, r.id) for r in own[3].collect()] == [("a", 1)] and own[4].collect() == []
+    assert sorted((r.qid, r.id) for r in other[3].collect()) == [("a", 1), ("b", 1), ("c", 1)] and sorted((r.qid, r.id) for r in other[4].collect()) == [("b", 1), ("c", 1)]
+    pairs = answers.editions(other).collect()
+    assert sorted((r.qid, r.status, r.answer) for r in pairs) == [(q, "supported", "g1") for q in "abc"]
